@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _on(l: DataFrame, r: DataFrame, keys, null_safe: bool):
-    conds = [(l[k].eqNullSafe(r[k]) if null_safe else l[k] == r[k]) for k in keys]
+def _on(keys, null_safe: bool, la: str = "_l", ra: str = "_r"):
+    def q(a, k):
+        return F.col(f"{a}.`{k}`")
+
+    conds = [(q(la, k).eqNullSafe(q(ra, k)) if null_safe else q(la, k) == q(ra, k)) for k in keys]
     return reduce(lambda a, b: a & b, conds)
 
 
@@ -35,14 +38,18 @@ def natural_join(l: DataFrame, r: DataFrame, how: str = "left", null_safe: bool
     if not keys:
         raise ValueError("natural_join: no common columns")
     la, ra = l.alias("_l"), r.alias("_r")
-    j = la.join(ra, _on(la, ra, keys, null_safe), how)
+    j = la.join(ra, _on(keys, null_safe), how)
+    L = lambda c: F.col(f"_l.`{c}`")
+    R = lambda c: F.col(f"_r.`{c}`")
     if how in ("full", "outer", "full_outer", "right", "right_outer"):
-        key_cols = [F.coalesce(la[k], ra[k]).alias(k) for k in keys]
+        key_cols = [F.coalesce(L(k), R(k)).alias(k) for k in keys]
+    elif how in ("right", "right_outer"):
+        key_cols = [R(k).alias(k) for k in keys]
     else:
-        key_cols = [la[k] for k in keys]
+        key_cols = [L(k).alias(k) for k in keys]
     kset = set(keys)
-    left_rest = [la[c] for c in l.columns if c not in kset]
-    right_rest = [ra[c] for c in r.columns if c not in kset and c not in set(l.columns)]
+    left_rest = [L(c).alias(c) for c in l.columns if c not in kset]
+    right_rest = [R(c).alias(c) for c in r.columns if c not in kset and c not in set(l.columns)]
     out = j.select(*key_cols, *left_rest, *right_rest)
     return out.select(*[c for c in l.columns], *[c for c in r.columns if c not in set(l.columns)])
 

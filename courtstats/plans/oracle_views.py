@@ -73,13 +73,12 @@ pbp AS (
 BOX_BASE = f"""
 box_base AS (
   SELECT o.o_custkey AS player_id, CAST(year(o.o_orderdate) AS INTEGER) AS season,
-         {_abbr('s.s_nationkey')} AS tm,
+         {_abbr('o.o_orderkey % 25')} AS tm,
          l.l_orderkey, o.o_orderstatus, l.l_linenumber, l.l_quantity, l.l_discount, l.l_tax,
          l.l_returnflag, l.l_linestatus,
          CAST(round(l.l_discount * 100) AS BIGINT) AS disc,
          CAST(round(l.l_tax * 100) AS BIGINT) AS taxp
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-  JOIN supplier s ON l.l_suppkey = s.s_suppkey
 )"""
 
 BOX_AGGS = """

@@ -3,7 +3,7 @@
 * ``pbp``                 -- play-by-play event log, from ``events`` (+ ``nation`` for team names)
 * ``player_team_season``  -- box-score totals per (player, season, team) plus a
                              ``TOT`` row for multi-team seasons, from
-                             ``lineitem ⋈ orders ⋈ supplier``
+                             ``lineitem ⋈ orders`` (team = game key mod 25)
 * ``player_season``       -- one row per (player, season): the ``TOT`` row when
                              present, with name / position / age from ``customer``
 * ``team_season``         -- games and record per (team, season) plus the
@@ -133,14 +133,14 @@ def _box_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    # No broadcast hints: orders and supplier grow with the data; AQE turns a
-    # join into a broadcast only when the runtime size is under the threshold.
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(s, li.l_suppkey == s.s_suppkey)
+    # No broadcast hint: orders grows with the data; AQE turns the join into a
+    # broadcast only when the runtime size is under the threshold.
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.select(
         F.col("o_custkey").alias("player_id"),
         F.year("o_orderdate").alias("season"),
-        team_abbrev(F.col("s_nationkey")).alias("tm"),
+        # a game (order) is played for one team; players move between teams
+        team_abbrev((F.col("o_orderkey") % N_TEAMS).cast("int")).alias("tm"),
         "l_orderkey", "o_orderstatus", "l_linenumber", "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus",
         F.round(F.col("l_discount") * 100).cast("long").alias("disc"),

@@ -111,25 +111,50 @@ def _value_ranks(df: DataFrame, col: str, part: list[str], descending: bool) ->
     )
 
 
+def _pct_expr(method: str):
+    if method == "average":
+        return (F.col("_minr") + F.col("_maxr")) / F.lit(2.0) / F.col("_n")
+    if method == "min":
+        return F.col("_minr") / F.col("_n")
+    raise ValueError(method)
+
+
 def pct_rank(df: DataFrame, cols, method: str = "average", partition=None, descending=False,
-             suffix: str = "_pct_rank") -> DataFrame:
+             suffix: str = "_pct_rank", key=None) -> DataFrame:
     """Percentile rank of each column over its non-missing values.
 
     method='average': mean of tied positions / n (``rank(pct=True)``)
     method='min'    : lowest tied position / n (``rank(method='min', pct=True)``)
     Missing stays missing.  ``cols`` may be a list; each gets ``<c><suffix>``.
+
+    With a unique row ``key`` (which must contain the partition columns) all
+    columns are ranked in one long-form pass: unpivot, one distinct-value
+    rank table partitioned by (partition, column), pivot back on the key --
+    a fixed number of shuffles however many columns are ranked, and the input
+    is read twice instead of once per column.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
     part = [] if partition is None else ([partition] if isinstance(partition, str) else list(partition))
+    if key is not None and len(cols) > 1:
+        key = [key] if isinstance(key, str) else list(key)
+        long = unpivot_for_rank(df.select(*key, *cols), key, cols)
+        counts = long.filter(F.col("_val").isNotNull()).groupBy(*part, "_stat", "_val") \
+                     .agg(F.count(F.lit(1)).alias("_cnt"))
+        order = F.col("_val").desc() if descending else F.col("_val").asc()
+        w = Window.partitionBy(*part, "_stat").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        ranks = counts.select(*part, "_stat", "_val",
+                              F.sum("_cnt").over(w).alias("_maxr"),
+                              (F.sum("_cnt").over(w) - F.col("_cnt") + 1).alias("_minr"),
+                              F.sum("_cnt").over(Window.partitionBy(*part, "_stat")).alias("_n"))
+        ranks = ranks.select(*part, "_stat", "_val", _pct_expr(method).alias("_pct"))
+        lr = long.join(ranks, [*part, "_stat", "_val"], "left")
+        wide = lr.groupBy(*key).pivot("_stat", cols).agg(F.first("_pct"))
+        wide = wide.withColumnsRenamed({c: c + suffix for c in cols})
+        return df.join(wide, key, "left")
     out = df
     for c in cols:
         r = _value_ranks(df.select(*part, c), c, part, descending)
-        if method == "average":
-            val = (F.col("_minr") + F.col("_maxr")) / F.lit(2.0) / F.col("_n")
-        elif method == "min":
-            val = F.col("_minr") / F.col("_n")
-        else:
-            raise ValueError(method)
+        val = _pct_expr(method)
         r = r.select(*[F.col(p).alias("_p_" + p) for p in part], F.col(c).alias("_v"),
                      val.alias(c + suffix))
         cond = [F.col(c) == F.col("_v")] + [F.col(p).eqNullSafe(F.col("_p_" + p)) for p in part]
@@ -149,3 +174,9 @@ def percent_rank_ignore_null(df: DataFrame, col: str, name: str, partition=None,
     j = df.join(r, [F.col(col) == F.col("_v")] + [F.col(p).eqNullSafe(F.col("_p_" + p)) for p in part],
                 "left")
     return j.drop("_v", *["_p_" + p for p in part])
+
+
+def unpivot_for_rank(df: DataFrame, key, cols) -> DataFrame:
+    """(key..., _stat, _val) long form of ``cols`` as doubles."""
+    d = df.select(*key, *[F.col(c).cast("double").alias(c) for c in cols])
+    return d.unpivot(key, cols, "_stat", "_val")

@@ -82,7 +82,7 @@ def _composite(spark, sf):
     q = _qualified(spark, sf, 0.5)
     per36 = q.select(SEASON, "player_id", "player",
                      *[(safe_div(c, "mp") * 36).alias(c) for c in COMPOSITE])
-    ranked = pct_rank(per36, COMPOSITE, method="average", partition=SEASON)
+    ranked = pct_rank(per36, COMPOSITE, method="average", partition=SEASON, key=[SEASON, "player_id"])
     return ranked.withColumn("sum", sum_cols([c + "_pct_rank" for c in COMPOSITE]))
 
 

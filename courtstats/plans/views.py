@@ -128,31 +128,20 @@ def pbp(spark: SparkSession, sf_dir: str, chunk_size=None) -> DataFrame:
     )
 
 
-def _box_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
-    # No broadcast hint: orders grows with the data; AQE turns the join into a
-    # broadcast only when the runtime size is under the threshold.
-    j = li.join(o, li.l_orderkey == o.o_orderkey)
-    return j.select(
-        F.col("o_custkey").alias("player_id"),
-        F.year("o_orderdate").alias("season"),
-        # a game (order) is played for one team; players move between teams
-        team_abbrev((F.col("o_orderkey") % N_TEAMS).cast("int")).alias("tm"),
-        "l_orderkey", "o_orderstatus", "l_linenumber", "l_quantity", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus",
-        F.round(F.col("l_discount") * 100).cast("long").alias("disc"),
-        F.round(F.col("l_tax") * 100).cast("long").alias("taxp"),
-    )
-
-
-def _box_aggs() -> list[Column]:
+def _order_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per game (order): the box-score counts of its lines plus the
+    player, season and team of the order.
+
+    Lines are aggregated to their order *before* the join with ``orders``
+    (partial aggregation, ~4x fewer rows into the join), and the join reuses
+    the aggregation's partitioning on the order key.  Because every order has
+    exactly one (player, season, team), games become plain row counts
+    downstream -- no distinct aggregation."""
+    li = table(spark, sf_dir, "lineitem")
     ln, st, rf = F.col("l_linenumber"), F.col("l_linestatus"), F.col("l_returnflag")
-    return [
-        F.count_distinct("l_orderkey").alias("g"),
-        F.count_distinct(F.when(F.col("o_orderstatus") == "F", F.col("l_orderkey"))).alias("gs"),
+    disc = F.round(F.col("l_discount") * 100).cast("long")
+    taxp = F.round(F.col("l_tax") * 100).cast("long")
+    per_order = li.groupBy("l_orderkey").agg(
         F.sum("l_quantity").alias("mp"),
         F.count(F.lit(1)).alias("fga"),
         F.count_if(st == "F").alias("fg"),
@@ -161,18 +150,34 @@ def _box_aggs() -> list[Column]:
         F.count_if(rf != "N").alias("fta"),
         F.count_if(rf == "A").alias("ft"),
         F.sum(F.floor(F.col("l_quantity") / 10).cast("long")).alias("trb"),
-        F.count_if(F.col("disc") >= 6).alias("ast"),
-        F.count_if(F.col("disc") <= 1).alias("stl"),
-        F.count_if(F.col("taxp") <= 1).alias("blk"),
-        F.count_if(F.col("taxp") >= 7).alias("pf"),
-        F.sum("disc").alias("disc_sum"),
-        F.sum("taxp").alias("tax_sum"),
+        F.count_if(disc >= 6).alias("ast"),
+        F.count_if(disc <= 1).alias("stl"),
+        F.count_if(taxp <= 1).alias("blk"),
+        F.count_if(taxp >= 7).alias("pf"),
+        F.sum(disc).alias("disc_sum"),
+        F.sum(taxp).alias("tax_sum"),
         F.count_if(ln == 1).alias("pg_n"),
         F.count_if(ln == 2).alias("sg_n"),
         F.count_if(ln == 3).alias("sf_n"),
         F.count_if(ln == 4).alias("pf_n"),
         F.count_if(ln >= 5).alias("c_n"),
-    ]
+    )
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    # No broadcast hint: orders grows with the data; AQE broadcasts only when
+    # the runtime size is under the threshold.
+    j = per_order.join(o, per_order.l_orderkey == o.o_orderkey)
+    return j.select(
+        F.col("o_custkey").alias("player_id"),
+        F.year("o_orderdate").alias("season"),
+        # a game (order) is played for one team; players move between teams
+        team_abbrev((F.col("o_orderkey") % N_TEAMS).cast("int")).alias("tm"),
+        (F.col("o_orderstatus") == "F").cast("long").alias("started"),
+        *BOX_MEASURES,
+    )
+
+
+BOX_MEASURES = ["mp", "fga", "fg", "x3pa", "x3p", "fta", "ft", "trb", "ast", "stl", "blk", "pf",
+                "disc_sum", "tax_sum", "pg_n", "sg_n", "sf_n", "pf_n", "c_n"]
 
 
 def _box_derived(df: DataFrame) -> DataFrame:
@@ -199,13 +204,15 @@ def _box_derived(df: DataFrame) -> DataFrame:
 def player_team_season(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals per (player_id, season, tm) plus tm='TOT' for multi-team seasons.
 
-    One aggregation pass with GROUPING SETS ((player, season, tm),
-    (player, season)); distinct game counts are planned by Spark as a
-    two-level (partial) aggregation, so a hot player is spread by game."""
-    base = _box_base(spark, sf_dir)
-    agg = base.groupingSets(
+    One aggregation pass over per-game rows with GROUPING SETS
+    ((player, season, tm), (player, season)): sums and counts only, so the
+    partial aggregate runs map-side and a hot player sends one row per task."""
+    games = _order_box(spark, sf_dir)
+    agg = games.groupingSets(
         [["player_id", "season", "tm"], ["player_id", "season"]], "player_id", "season", "tm"
-    ).agg(*_box_aggs(), F.min("tm").alias("_tm_min"), F.max("tm").alias("_tm_max"),
+    ).agg(F.count(F.lit(1)).alias("g"), F.sum("started").alias("gs"),
+          *[F.sum(m).alias(m) for m in BOX_MEASURES],
+          F.min("tm").alias("_tm_min"), F.max("tm").alias("_tm_max"),
           F.grouping_id().alias("_gid"))
     agg = agg.filter((F.col("_gid") == 0) | (F.col("_tm_min") < F.col("_tm_max"))) \
              .withColumn("tm", F.coalesce("tm", F.lit("TOT")))

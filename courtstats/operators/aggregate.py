@@ -41,9 +41,10 @@ def group_stat_onto_rows(df: DataFrame, keys, stats: dict[str, Column]) -> DataF
     """Attach group aggregates to every row (``group_by() %>% mutate(sum(..))``)
     via aggregate + join on the keys."""
     keys = _keys(keys)
-    agg = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    return df.join(agg, [df[k].eqNullSafe(agg[k]) for k in keys], "left") \
-             .drop(*[agg[k] for k in keys])
+    agg = df.groupBy(*[F.col(k).alias("_g_" + k) for k in keys]).agg(
+        *[c.alias(n) for n, c in stats.items()])
+    cond = [F.col(k).eqNullSafe(F.col("_g_" + k)) for k in keys]
+    return df.join(agg, cond, "left").drop(*["_g_" + k for k in keys])
 
 
 def leave_one_out(df: DataFrame, partition, by: str, x, w, extreme: str = "max",

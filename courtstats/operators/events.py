@@ -151,11 +151,12 @@ def event_outcome_rates(log: DataFrame, event: str = "BLOCK", exclude_ends: str
     kept = anti_join(ev, team_rebs, [GAME, "PERIOD", "PCTIMESTRING"])
     own = (((F.col("home_or_visitor") == "home") & F.col("next_visitor_play").isNull())
            | ((F.col("home_or_visitor") == "visitor") & F.col("next_home_play").isNull()))
-    per_kept = kept.groupBy("PLAYER3_NAME").agg(F.count_if(own).alias("own"),
-                                                F.count_if(~own).alias("other"))
+    per_kept = kept.groupBy(F.col("PLAYER3_NAME").alias("_k3")).agg(
+        F.count_if(own).alias("own"), F.count_if(~own).alias("other"))
     total = ev.groupBy("PLAYER3_NAME").agg(F.count(F.lit(1)).alias("blocks"))
-    out = total.join(per_kept, total.PLAYER3_NAME.eqNullSafe(per_kept.PLAYER3_NAME), "left") \
-               .drop(per_kept.PLAYER3_NAME)
+    # both sides derive from the same log: join on a renamed key, never on
+    # a column reference that could resolve to either side
+    out = total.join(per_kept, F.col("PLAYER3_NAME").eqNullSafe(F.col("_k3")), "left").drop("_k3")
     out = out.na.fill({"own": 0, "other": 0})
     return out.withColumn("percent_blk_recovered_by_own", F.col("own") / F.col("blocks"))
 

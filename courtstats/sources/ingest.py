@@ -42,7 +42,7 @@ def snake_case(name: str) -> str:
     """``janitor::clean_names`` style: lower snake case, a leading digit gets an
     ``x`` prefix (``2021-22`` -> ``x2021_22``), '%' becomes 'percent'."""
     s = name.replace("%", "_percent_")
-    s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", s)
+    s = re.sub(r"([a-z])([A-Z])", r"\1_\2", s)
     s = re.sub(r"[^0-9A-Za-z]+", "_", s).strip("_").lower()
     if not s:
         s = "x"

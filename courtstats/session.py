@@ -43,11 +43,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     shared filesystem).  Only when it is unset -- local tests -- a folder
     under the system temp dir is configured.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not d:
+        try:
+            d = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # not a SQL conf on every deployment
+            d = None
     if not d:
         import tempfile
 
         d = tempfile.mkdtemp(prefix="courtstats-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d

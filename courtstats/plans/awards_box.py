@@ -301,7 +301,7 @@ def award_fouls_rate(spark, sf):
 
 _SHARE_SQL = _Q + """,
 share AS (SELECT season, player, tm, pts, trb, ast, stl, blk,
-          pts / (pts + trb + ast + stl + blk) AS pts_as_percent_of_other_stats FROM q WHERE g_percent >= 0.7)"""
+          pts / nullif(pts + trb + ast + stl + blk, 0) AS pts_as_percent_of_other_stats FROM q WHERE g_percent >= 0.7)"""
 
 
 def _share(spark, sf):

@@ -6,8 +6,9 @@ import __spark_entry__ as E
 from courtstats.testing import compare, duck_connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+from courtstats.plans.registry import ORACLES, QUERIES, load_all
+
+load_all()
 
 
 @pytest.fixture(scope="module")

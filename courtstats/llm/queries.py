@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courtstats.llm import mixing
+from courtstats.llm import mixing, secret_scan
 from courtstats.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,8 @@ def op4_sainte_lague_mix(spark, sf_dir):
 
 
 ORACLES["op4_sainte_lague_mix"] = mixing.oracle()
+
+
+@query
+def op5_randomness_secrets(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courtstats.llm import mixing, secret_scan
+from courtstats.llm import mixing, secret_scan, simhash
 from courtstats.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,8 @@ ORACLES["op4_sainte_lague_mix"] = mixing.oracle()
 @query
 def op5_randomness_secrets(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+@query
+def op8_simhash_groups(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))

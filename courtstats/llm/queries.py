@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courtstats.llm import mixing, secret_scan, simhash
+from courtstats.llm import embed_dedup, mixing, secret_scan, simhash
 from courtstats.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,11 @@ def op5_randomness_secrets(spark, sf_dir):
 @query
 def op8_simhash_groups(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_int8_embedding_groups(spark, sf_dir):
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op9_int8_embedding_groups"] = embed_dedup.ORACLE

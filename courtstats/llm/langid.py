@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from courtstats.llm.common import crc_mod, materialise
 
 DIMS, CLUSTERS, SAMPLE, ROUNDS, SEED = 4096, 4, 400, 8, 42
-MARGIN, SHARPNESS, SHORT = 0.05, 20.0, 20
+MARGIN, SHARPNESS, SHORT = 0.1, 20.0, 200
 CHUNK = 1 << 21
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courtstats.llm import embed_dedup, langid, mixing, secret_scan, simhash
+from courtstats.llm import embed_dedup, langid, mixing, secret_scan, simhash, toxicity
 from courtstats.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,8 @@ ORACLES["op9_int8_embedding_groups"] = embed_dedup.ORACLE
 @query
 def op3_centroid_language_id(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_segment_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courtstats.llm import decontam, embed_dedup, langid, mixing, secret_scan, simhash, toxicity
+from courtstats.llm import decontam, embed_dedup, langid, lattice_lm, mixing, secret_scan, simhash, toxicity
 from courtstats.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op1_segment_toxicity(spark, sf_dir):
 @query
 def op10_seeded_decontamination(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_lattice_lm(spark, sf_dir):
+    return lattice_lm.score(table(spark, sf_dir, "documents"))

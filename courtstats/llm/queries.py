@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from courtstats.llm import decontam, embed_dedup, langid, lattice_lm, mixing, secret_scan, simhash, toxicity
+from courtstats.llm import bwt_dedup, decontam, embed_dedup, langid, lattice_lm, mixing, secret_scan, simhash, suffix_tree, toxicity
 from courtstats.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,13 @@ def op10_seeded_decontamination(spark, sf_dir):
 @query
 def op7_lattice_lm(spark, sf_dir):
     return lattice_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_bwt_substring_dedup(spark, sf_dir):
+    return bwt_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_suffix_tree_dedup(spark, sf_dir):
+    return suffix_tree.dedup(table(spark, sf_dir, "documents"))

@@ -27,7 +27,7 @@ from courtstats.llm.common import materialise, word_count
 WEIGHTS = (3, 1, 2)
 RATIO, CAP = 1.5, 2.0
 BLOCK_WORDS = 16
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 250_000
 SEED = 42
 #: a prime above any number of blocks in a shard: i -> step * i + shift is a permutation
 STEP = 2_147_483_629
@@ -97,8 +97,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, ratio=RATIO, cap=CAP, block_words=BLOC
     # whole blocks of the mix, dealt to the sources by highest quotients
     whole = Window.partitionBy(F.lit(1))
     by_source = apportion(
-        want.where("target > 0").select("source", F.col("target").alias("weight"))
-        .withColumn("seats", F.round(F.sum("weight").over(whole) / b).cast("long"))
+        want.where("target > 0").select("source", F.col("target").alias("weight"), F.col("source_size").alias("words"))
+        .withColumn("seats", F.round(F.sum("words").over(whole) * F.lit(min(float(ratio), float(cap))) / b).cast("long"))
+        .drop("words")
         .withColumn("most", F.lit(1 << 60).cast("long")), [], ["source"]
     ).select(F.col("source").alias("_s"), F.col("quota").alias("seats"))
     placed = (sized.join(want.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -164,7 +165,7 @@ s6 AS (SELECT *, min(CASE WHEN r > level_ THEN rank_ END) OVER () AS cut FROM s5
 want AS (SELECT source, source_size, CASE WHEN rank_ >= cut
     THEN max(CASE WHEN rank_ = cut THEN level_ END) OVER () * w ELSE lim END AS target FROM s6),
 by_source AS (SELECT source, quota FROM ({seats(f'''SELECT source, target AS weight,
-    round(sum(target) OVER () / {block_words})::BIGINT AS seats, (1::BIGINT << 60) AS most FROM want WHERE target > 0''', '', 'source')})),
+    round(sum(source_size) OVER () * {min(float(ratio), float(cap))}::DOUBLE / {block_words})::BIGINT AS seats, (1::BIGINT << 60) AS most FROM want WHERE target > 0''', '', 'source')})),
 placed AS (SELECT d.*, source_size, target,
     (('0x' || substr(h, 1, 15))::BIGINT % greatest(1, ceil(source_size / {float(shard_words)})))::BIGINT AS shard
     FROM sized d JOIN want t ON d.source IS NOT DISTINCT FROM t.source),

@@ -167,7 +167,7 @@ want AS (SELECT source, source_size, CASE WHEN rank_ >= cut
 by_source AS (SELECT source, quota FROM ({seats(f'''SELECT source, target AS weight,
     round(sum(source_size) OVER () * {min(float(ratio), float(cap))}::DOUBLE / {block_words})::BIGINT AS seats, (1::BIGINT << 60) AS most FROM want WHERE target > 0''', '', 'source')})),
 placed AS (SELECT d.*, source_size, target,
-    (('0x' || substr(h, 1, 15))::BIGINT % greatest(1, ceil(source_size / {float(shard_words)})))::BIGINT AS shard
+    (('0x' || substr(h, 1, 15))::BIGINT % greatest(1, ceil(source_size / {float(shard_words)})::BIGINT))::BIGINT AS shard
     FROM sized d JOIN want t ON d.source IS NOT DISTINCT FROM t.source),
 shards AS (SELECT source, shard, sum(size)::BIGINT AS words FROM placed GROUP BY ALL HAVING words > 0),
 quotas AS ({seats(f'''SELECT a.source, shard, words::DOUBLE AS weight, q.quota AS seats,

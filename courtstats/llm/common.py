@@ -52,8 +52,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star / small-star rounds.
 
     ``edges``: two long columns (u, v), any order, repeats allowed.  Returns
-    (u, root) for every node that has an edge to another node; ``root`` is the
-    smallest id of its component.  Every round is a few aggregations and
+    (u, root) for every node that is not itself the smallest id (``root``) of its
+    component.  Every round is a few aggregations and
     equi-joins on node ids and is written to the shared folder."""
     e = edges.toDF("u", "v").where("u <> v")
     e = materialise(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")

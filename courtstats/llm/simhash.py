@@ -92,13 +92,14 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def groups(docs: DataFrame, keep: list[str], shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``keep`` columns, fp and component_id (smallest doc_id reachable)."""
+    """``keep`` columns, fp, root (smallest fingerprint reachable) and component_id
+    (smallest doc_id reachable)."""
     rows = materialise(fingerprints(docs, keep, shingle), "simhash")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     root = components(links(distinct.select("fp"), max_bits)).toDF("fp", "root")
     distinct = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = distinct.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(distinct.join(least, "root").select("fp", "component_id"), "fp")
+    return rows.join(distinct.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -116,9 +117,8 @@ def first_of_groups(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
     nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in cols])
     d = docs.withColumn("__h", F.xxhash64(*cols, nulls))
     fps = groups(d, ["doc_id", "__h"], shingle, max_bits)
-    heads = (fps.groupBy("component_id", "doc_id", "__h", "fp").agg(F.count("*").alias("n"))
-             .groupBy(F.when(F.col("component_id").isNull(), F.col("fp")).alias("f"), "component_id")
-             .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", F.col("__h").alias("h"), "n")).alias("o"))
+    heads = (fps.groupBy("root", "doc_id", "__h", "fp").agg(F.count("*").alias("n"))
+             .groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", F.col("__h").alias("h"), "n")).alias("o"))
              .select(F.col("o.doc_id").alias("__id"), F.col("o.h").alias("__k"), F.col("o.n").alias("__n")))
     heads = materialise(heads, "simhash-heads")
     match = F.col("__h").eqNullSafe(F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from courtstats.llm.repeats import Spec, remove
 
-WIDTH, GRAM, SHARD = 100, 40, 1 << 17
+WIDTH, GRAM, SHARD = 100, 32, 1 << 17
 _PACK = 7  # symbols of 9 bits in a 64-bit key
 
 

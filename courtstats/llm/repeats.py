@@ -37,7 +37,10 @@ from courtstats.llm.common import (
 
 HOT, BUCKET, SEGMENT, SLICE = 10_000, 2 << 20, 1 << 19, 1 << 20
 NO_ID = -(1 << 63)
-RUN = "h long, c long, dk long, th int, first long, n int, dup boolean"
+#: a run in four numbers: anchor hash; content hash with its number of windows and a
+#: mark for known repeats in the low bits; document id; text hash and first window
+RUN = "h long, c long, dk long, at long"
+PLACE_BITS = 31  # first window: texts of up to two billion symbols
 SPAN = "dk long, th int, first long, n int"
 
 
@@ -144,31 +147,43 @@ def _runs(docs: DataFrame, spec: Spec) -> DataFrame:
             later = later[(ids[d[later]] != ids[d[head]]) | (ths[d[later]] != ths[d[head]]) | (first[later] != first[head])]
             dup[later] = True
             h = np.where(dup, mixed(key + first.astype(np.uint64) + ids[d].astype(np.uint64)), h)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[d]), pa.array(ths[d]),
-                 pa.array(first.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(dup)],
-                ["h", "c", "dk", "th", "first", "n", "dup"])
+            yield packed(h, c, ids[d], ths[d], first, n, dup)
 
     return docs.select("dk", "th", "text").mapInArrow(run, RUN)
 
 
+def packed(h, c, dk, th, first, n, dup):
+    import pyarrow as pa
+
+    c = (c.astype(np.uint64) & ~np.uint64(511)) | (n.astype(np.uint64) << np.uint64(1)) | dup.astype(np.uint64)
+    at = (th.astype(np.int64) << PLACE_BITS) | first.astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(h.astype(np.uint64).view(np.int64)), pa.array(c.view(np.int64)),
+                                       pa.array(dk.astype(np.int64)), pa.array(at)], ["h", "c", "dk", "at"])
+
+
 def _marked(runs: DataFrame) -> DataFrame:
-    """Runs that are repeated (kind 0), that need their text (1) or a finer split (2)."""
-    place = F.struct("dk", "th", "first")
-    same = Window.partitionBy("h", "c").orderBy("dk", "th", "first")
+    """Runs that are repeated (kind 0), that need their text (1) or a finer split (2).
+    One exchange, by anchor, and one sort serve both windows."""
+    place = F.struct("dk", "at")
+    same = Window.partitionBy("h", "c").orderBy("dk", "at")
     anchor = Window.partitionBy("h")
-    r = (runs.withColumn("low", F.first(place).over(same)).withColumn("at", F.row_number().over(same))
-         .withColumn("many", F.sum(F.when(F.col("at") == 1, 1).otherwise(0)).over(anchor)))
-    repeated = F.col("dup") | (F.col("low") < place)
-    kind = (F.when(repeated, 0).when((F.col("at") > 1) | (F.col("many") < 2), F.lit(None))
+    r = (runs.repartition("h").withColumn("low", F.first(place).over(same)).withColumn("nth", F.row_number().over(same))
+         .withColumn("many", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(anchor)))
+    repeated = (F.col("c").bitwiseAND(F.lit(1)) == 1) | (F.col("low") < place)
+    kind = (F.when(repeated, 0).when((F.col("nth") > 1) | (F.col("many") < 2), F.lit(None))
             .when(F.col("many") > HOT, 2).otherwise(1))
-    return r.withColumn("kind", kind).where("kind is not null").select("kind", "h", "dk", "th", "first", "n")
+    return r.withColumn("kind", kind).where("kind is not null").select(
+        "kind", F.when(F.col("kind") > 0, F.col("h")).alias("h"), "dk",
+        F.shiftright("at", PLACE_BITS).cast("int").alias("th"),
+        F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("first"),
+        F.shiftright(F.col("c").bitwiseAND(F.lit(511)), 1).cast("int").alias("n"))
 
 
 def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Each document once, with its runs."""
+    """Each document once, with its runs.  The documents keep the columns that
+    ``remove`` joins, so that one exchange of the texts serves all joins."""
     per = rows.groupBy("dk", "th").agg(F.collect_list(F.struct("h", "first", "n")).alias("runs"))
-    return docs.select("dk", "th", "text").join(per, ["dk", "th"])
+    return docs.join(per, ["dk", "th"])
 
 
 def _texts(joined: DataFrame, spec: Spec) -> DataFrame:
@@ -191,7 +206,6 @@ def _texts(joined: DataFrame, spec: Spec) -> DataFrame:
 
 def _single(joined: DataFrame, spec: Spec) -> DataFrame:
     """Every window of the runs of a hot anchor as a run of its own, keyed by its content."""
-    import pyarrow as pa
 
     def run(batches):
         w = spec.width
@@ -208,11 +222,7 @@ def _single(joined: DataFrame, spec: Spec) -> DataFrame:
                                     np.full(len(at), dk), np.full(len(at), th), r["first"] + at))
                 if out:
                     h, c, dk, th, first = (np.concatenate(x) for x in zip(*out))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(dk.astype(np.int64)),
-                         pa.array(th.astype(np.int32)), pa.array(first.astype(np.int64)),
-                         pa.array(np.ones(len(h), np.int32)), pa.array(np.zeros(len(h), bool))],
-                        ["h", "c", "dk", "th", "first", "n", "dup"])
+                    yield packed(h, c, dk, th, first, np.ones(len(h), int), np.zeros(len(h), bool))
 
     return joined.mapInArrow(run, RUN)
 
@@ -295,7 +305,7 @@ def remove(docs: DataFrame, spec: Spec) -> DataFrame:
 
     per = (spans(docs, spec).groupBy("dk", "th")
            .agg(F.collect_list(F.struct("first", "n")).alias("spans")))  # of one document
-    joined = keyed(docs).join(per, ["dk", "th"], "left").select("doc_id", "text", "spans")
+    joined = keyed(docs).join(per, ["dk", "th"], "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

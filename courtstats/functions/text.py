@@ -60,7 +60,7 @@ def parse_number(c) -> Column:
     """First number in the text, grouping commas ignored: ``"$1,234"`` -> 1234.0,
     ``"30-52, under"`` -> 30.0, ``"TIE"`` -> NULL."""
     cleaned = F.regexp_replace(as_col(c), ",", "")
-    num = F.regexp_extract(cleaned, r"-?[0-9]+(\.[0-9]+)?", 0)
+    num = F.regexp_extract(cleaned, r"-?([0-9]+\.?[0-9]*|\.[0-9]+)", 0)
     return F.when(num == "", F.lit(None).cast("double")).otherwise(num.try_cast("double"))
 
 
@@ -88,3 +88,34 @@ def season_end_year(slug) -> Column:
 
     Uses the full start year, so the century rolls over correctly."""
     return F.substring(as_col(slug), 1, 4).try_cast("int") + 1
+
+
+def name_override(c, table, default=None) -> Column:
+    """Ordered override table: the replacement of the first entry equal to the name,
+    else ``default`` (the name itself)."""
+    col = as_col(c)
+    out = None
+    for old, new in table:
+        out = F.when(col == old, F.lit(new)) if out is None else out.when(col == old, F.lit(new))
+    default = col if default is None else as_col(default)
+    return default if out is None else out.otherwise(default)
+
+
+def height_inches(c, sep: str = "-") -> Column:
+    """``"6-7"`` -> 79; anything else is NULL."""
+    parts = F.split(as_col(c), sep)
+    return F.when(F.size(parts) == 2, parts[0].try_cast("int") * 12 + parts[1].try_cast("int"))
+
+
+def game_season(game_id, pivot: int = 46) -> Column:
+    """First year of the season of a game id whose 4th and 5th of ten digits are the
+    year: two digits at or above ``pivot`` are 19xx, others 20xx."""
+    two = F.substring(F.lpad(as_col(game_id).cast("string"), 10, "0"), 4, 2).try_cast("int")
+    return F.when(two >= pivot, two + 1900).otherwise(two + 2000)
+
+
+def split_typed(df, col: str, sep: str, into: dict[str, str]):
+    """Split a text column into typed columns ``{name: type}``; missing or
+    unreadable parts are NULL."""
+    parts = F.split(F.col(col), sep)
+    return df.withColumns({n: F.get(parts, F.lit(i)).try_cast(t) for i, (n, t) in enumerate(into.items())})

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from courtstats.functions.predicates import text_any
 from courtstats.functions.text import clock_seconds
-from courtstats.operators.joins import anti_join
 from courtstats.operators.sequence import DEFAULT_CHUNK, fill, neighbours
 
 SIDES = ["HOMEDESCRIPTION", "VISITORDESCRIPTION"]
@@ -146,18 +145,16 @@ def event_outcome_rates(log: DataFrame, event: str = "BLOCK", exclude_ends: str
     ev = n.filter(text_any(SIDES, event)).withColumn(
         "home_or_visitor", F.when(F.coalesce(F.col("HOMEDESCRIPTION").rlike(event), F.lit(False)), "home")
         .otherwise("visitor"))
-    team_rebs = log.filter(text_any(SIDES, exclude_ends, kind="ends")) \
-                   .select(GAME, "PERIOD", "PCTIMESTRING").distinct()
-    kept = anti_join(ev, team_rebs, [GAME, "PERIOD", "PCTIMESTRING"])
+    moment = [GAME, "PERIOD", "PCTIMESTRING"]
+    rebs = log.filter(text_any(SIDES, exclude_ends, kind="ends")).select(
+        *[F.col(c).alias("_r_" + c) for c in moment]).distinct().withColumn("_reb", F.lit(True))
+    same = [ev[c].eqNullSafe(rebs["_r_" + c]) for c in moment]
+    ev = ev.join(rebs, same, "left").withColumn("_kept", F.col("_reb").isNull())
     own = (((F.col("home_or_visitor") == "home") & F.col("next_visitor_play").isNull())
            | ((F.col("home_or_visitor") == "visitor") & F.col("next_home_play").isNull()))
-    per_kept = kept.groupBy(F.col("PLAYER3_NAME").alias("_k3")).agg(
-        F.count_if(own).alias("own"), F.count_if(~own).alias("other"))
-    total = ev.groupBy("PLAYER3_NAME").agg(F.count(F.lit(1)).alias("blocks"))
-    # both sides derive from the same log: join on a renamed key, never on
-    # a column reference that could resolve to either side
-    out = total.join(per_kept, F.col("PLAYER3_NAME").eqNullSafe(F.col("_k3")), "left").drop("_k3")
-    out = out.na.fill({"own": 0, "other": 0})
+    out = ev.groupBy("PLAYER3_NAME").agg(
+        F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("_kept") & own).alias("own"),
+        F.count_if(F.col("_kept") & ~own).alias("other"))
     return out.withColumn("percent_blk_recovered_by_own", F.col("own") / F.col("blocks"))
 
 
@@ -190,15 +187,34 @@ def same_moment_union(log: DataFrame, foul: str = "S.FOUL", last_ft: str = "Free
     return fx.join(side(ft3), keys).unionByName(fx.join(side(made3), keys))
 
 
+def same_moment_counts(log: DataFrame, foul: str = "S.FOUL", last_ft: str = "Free Throw 3 of 3",
+                       three: str = "3PT", miss: str = "MISS", extra=(),
+                       keys=("GAME_ID", "PERIOD", "PCTIMESTRING")) -> DataFrame:
+    """Number of rows of :func:`same_moment_union` per moment, fouler
+    (``PLAYER1_NAME_x``) and shooter (``PLAYER1_NAME_y``), without making the pairs:
+    both sides are counted per moment and player first and the counts multiplied.
+    ``extra``: further columns of the moment (a season)."""
+    keys = [*keys, *extra]
+    hit = text_any(SIDES, last_ft).cast("int") + (
+        text_any(SIDES, three) & ~text_any(SIDES, miss, kind="starts")).cast("int")
+    fouls = log.filter(text_any(SIDES, foul)).groupBy(*keys, F.col("PLAYER1_NAME").alias("PLAYER1_NAME_x")).agg(
+        F.count(F.lit(1)).alias("_f"))
+    shots = log.withColumn("_hit", hit).filter(F.col("_hit") > 0).groupBy(
+        *keys, F.col("PLAYER1_NAME").alias("PLAYER1_NAME_y")).agg(F.sum("_hit").alias("_s"))
+    return fouls.join(shots, keys).withColumn("n", F.col("_f") * F.col("_s")).drop("_f", "_s")
+
+
 def timeout_budget(log: DataFrame, teams: DataFrame, per_game: int = 7, per_ot: int = 2,
-                   regulation_periods: int = 4, overrides: dict | None = None) -> DataFrame:
+                   regulation_periods: int = 4, overrides: dict | None = None,
+                   two_words: tuple[str, ...] = ("POR",)) -> DataFrame:
     """Timeout utilisation per team.
 
     Allotment: distinct (game, period, team) rows -> games = regular periods / 4,
     overtimes = periods > 4; ``num_timeouts = 7 * games + 2 * overtimes``.
     Used: timeout texts without 'Excess' (on the texts themselves, long form),
-    team name = title-cased text before ' Timeout:'.  ``teams`` maps the
-    abbreviation ``tm`` to the full name ``team``; ``overrides`` renames
+    nickname = title-cased text before ' Timeout:'.  ``teams`` maps the
+    abbreviation ``tm`` to the full name ``team``, whose last word is the nickname
+    (the last two for the abbreviations ``two_words``); ``overrides`` renames
     abbreviations first (e.g. {'BRK': 'BKN'})."""
     from courtstats.functions.text import nth_word, title_case
 
@@ -212,13 +228,16 @@ def timeout_budget(log: DataFrame, teams: DataFrame, per_game: int = 7, per_ot:
     tm = F.col("tm")
     for src, dst in (overrides or {}).items():
         tm = F.when(tm == src, F.lit(dst)).otherwise(tm)
-    dim = teams.select(tm.alias("_abbr"), F.col("team").alias("team_name"))
+    parts = F.split("team", " ")
+    last = F.when(tm.isin(*two_words), F.least(F.lit(2), F.size(parts))).otherwise(F.lit(1))
+    nick = F.array_join(F.slice(parts, -last, last), " ")
+    dim = teams.select(tm.alias("_abbr"), F.col("team").alias("team_name"), title_case(F.lower(nick)).alias("_nick"))
     avail = avail.join(dim, avail.team == dim._abbr, "left").drop("_abbr")
     used = (log.filter(text_any(SIDES, "Timeout"))
                .select(F.explode(F.array(*[F.col(s) for s in SIDES])).alias("timeout"))
                .filter(F.col("timeout").isNotNull())
                .filter(F.col("timeout").contains("Timeout") & ~F.col("timeout").contains("Excess"))
-               .groupBy(title_case(nth_word("timeout", 1, " Timeout:")).alias("team_name"))
+               .groupBy(title_case(F.lower(nth_word("timeout", 1, " Timeout:"))).alias("_nick"))
                .agg(F.count(F.lit(1)).alias("num_timeouts_used")))
-    out = avail.join(used, "team_name", "left")
+    out = avail.join(used, "_nick", "left").drop("_nick")
     return out.withColumn("timeout_use_percent", F.col("num_timeouts_used") / F.col("num_timeouts"))

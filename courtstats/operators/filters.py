@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtstats.functions.arith import safe_div
+from courtstats.operators.joins import natural_join, semi_join
 
 
 def qualify_share(df: DataFrame, dim: DataFrame, keys, num: str, den: str, min_share: float,
@@ -16,7 +17,7 @@ def qualify_share(df: DataFrame, dim: DataFrame, keys, num: str, den: str, min_s
     ``num / den`` reaches ``min_share`` (played >= 50 % of team games)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     dim_cols = [c for c in dim.columns if c in keys or c == den]
-    j = df.join(dim.select(*dim_cols), keys, how) if den not in df.columns else df
+    j = natural_join(df, dim.select(*dim_cols), how, on=keys) if den not in df.columns else df
     return j.withColumn(name, safe_div(num, den)).filter(F.col(name) >= min_share)
 
 
@@ -31,4 +32,4 @@ def group_size_filter(df: DataFrame, keys, more_than: int) -> DataFrame:
     (``group_by() %>% filter(n() > k)``): aggregate + semi join."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > more_than)
-    return df.join(big.select(*keys), keys, "left_semi")
+    return semi_join(df, big, keys)

@@ -2,9 +2,7 @@
 common columns, NULL keys matching NULL keys, merge suffixes, origin
 indicators and role-playing dimensions.
 
-Join strategy is left to Catalyst/AQE: no broadcast hint is placed on a side
-whose size grows with the data; ``broadcast_dim=True`` is only for fixed-size
-dimensions (e.g. 25 nations, 30 teams).
+Join strategy is left to Catalyst/AQE: no side gets a broadcast hint.
 """
 
 from __future__ import annotations
@@ -43,8 +41,6 @@ def natural_join(l: DataFrame, r: DataFrame, how: str = "left", null_safe: bool
     R = lambda c: F.col(f"_r.`{c}`")
     if how in ("full", "outer", "full_outer", "right", "right_outer"):
         key_cols = [F.coalesce(L(k), R(k)).alias(k) for k in keys]
-    elif how in ("right", "right_outer"):
-        key_cols = [R(k).alias(k) for k in keys]
     else:
         key_cols = [L(k).alias(k) for k in keys]
     kset = set(keys)
@@ -55,8 +51,9 @@ def natural_join(l: DataFrame, r: DataFrame, how: str = "left", null_safe: bool
 
 
 def join_suffix(l: DataFrame, r: DataFrame, on, how: str = "inner",
-                suffixes=("_x", "_y"), right_on=None) -> DataFrame:
-    """Equi-join; non-key columns present on both sides get ``suffixes``.
+                suffixes=("_x", "_y"), right_on=None, null_safe: bool = True) -> DataFrame:
+    """Equi-join; non-key columns present on both sides get ``suffixes``; a NULL
+    key matches a NULL key unless ``null_safe`` is off.
 
     ``on`` are left key names; ``right_on`` (default = ``on``) the right ones.
     With the same names on both sides, the key appears once."""
@@ -67,49 +64,52 @@ def join_suffix(l: DataFrame, r: DataFrame, on, how: str = "inner",
     ln = l.withColumnsRenamed({c: c + suffixes[0] for c in overlap})
     rn = r.withColumnsRenamed({c: c + suffixes[1] for c in overlap})
     if same:
-        return ln.join(rn, on, how)
+        return natural_join(ln, rn, how, null_safe, on)
     lk = [k + suffixes[0] if k in overlap else k for k in on]
     rk = [k + suffixes[1] if k in overlap else k for k in right_on]
-    cond = reduce(lambda a, b: a & b, [ln[a] == rn[b] for a, b in zip(lk, rk)])
+    cond = reduce(lambda a, b: a & b, [ln[a].eqNullSafe(rn[b]) if null_safe else ln[a] == rn[b]
+                                       for a, b in zip(lk, rk)])
     return ln.join(rn, cond, how)
 
 
 def role_join(df: DataFrame, dim: DataFrame, roles: dict[str, str], key: str,
-              how: str = "inner", broadcast_dim: bool = False) -> DataFrame:
+              how: str = "inner", null_safe: bool = True) -> DataFrame:
     """Join the same dimension once per role: ``roles = {fk_col: prefix}``;
     the dimension's columns arrive as ``<prefix><col>``."""
     out = df
     for fk, prefix in roles.items():
         d = dim.select(*[F.col(c).alias(prefix + c) for c in dim.columns])
-        d = F.broadcast(d) if broadcast_dim else d
-        out = out.join(d, out[fk] == d[prefix + key], how)
+        on = out[fk].eqNullSafe(d[prefix + key]) if null_safe else out[fk] == d[prefix + key]
+        out = out.join(d, on, how)
     return out
 
 
-def merge_indicator(l: DataFrame, r: DataFrame, on, name: str = "_merge") -> DataFrame:
+def merge_indicator(l: DataFrame, r: DataFrame, on, name: str = "_merge", null_safe: bool = True) -> DataFrame:
     """Full outer join with an origin column: 'left_only', 'right_only', 'both'."""
     on = [on] if isinstance(on, str) else list(on)
     lf = l.withColumn("_in_l", F.lit(True))
     rf = r.withColumn("_in_r", F.lit(True))
-    j = lf.join(rf, on, "full")
+    j = natural_join(lf, rf, "full", null_safe, on)
     ind = (F.when(F.col("_in_l") & F.col("_in_r"), "both")
            .when(F.col("_in_l"), "left_only").otherwise("right_only"))
     return j.withColumn(name, ind).drop("_in_l", "_in_r")
 
 
-def anti_join(l: DataFrame, r: DataFrame, on, null_safe: bool = False) -> DataFrame:
-    """Rows of ``l`` with no key match in ``r``."""
+def _matching(l: DataFrame, r: DataFrame, on, null_safe: bool, how: str) -> DataFrame:
     on = [on] if isinstance(on, str) else list(on)
-    if not null_safe:
-        return l.join(r.select(*on), on, "left_anti")
     rr = r.select(*[F.col(k).alias("_r_" + k) for k in on])
-    cond = reduce(lambda a, b: a & b, [l[k].eqNullSafe(rr["_r_" + k]) for k in on])
-    return l.join(rr, cond, "left_anti")
+    pair = [(l[k], rr["_r_" + k]) for k in on]
+    return l.join(rr, reduce(lambda a, b: a & b, [a.eqNullSafe(b) if null_safe else a == b for a, b in pair]), how)
 
 
-def semi_join(l: DataFrame, r: DataFrame, on) -> DataFrame:
-    on = [on] if isinstance(on, str) else list(on)
-    return l.join(r.select(*on), on, "left_semi")
+def anti_join(l: DataFrame, r: DataFrame, on, null_safe: bool = True) -> DataFrame:
+    """Rows of ``l`` with no key match in ``r``."""
+    return _matching(l, r, on, null_safe, "left_anti")
+
+
+def semi_join(l: DataFrame, r: DataFrame, on, null_safe: bool = True) -> DataFrame:
+    """Rows of ``l`` with a key match in ``r``."""
+    return _matching(l, r, on, null_safe, "left_semi")
 
 
 def row_difference(l: DataFrame, r: DataFrame) -> DataFrame:

@@ -3,19 +3,23 @@
 Contract
 * ``ties=True`` returns the n best plus every row tied with the n-th
   (``rank() <= n``); ``ties=False`` cuts ties with ``row_number()`` over a
-  total order (``tiebreak`` columns are appended to the ordering).
+  total order: ``tiebreak`` columns, by default all other columns, are appended
+  to the ordering, so a result never depends on the partitioning.
 * Missing values sort last in both directions; NaN is treated as missing.
 * A global top-n (no partition) plans as a partial ``WindowGroupLimit`` in
   every task before the single-partition exchange, so only about n rows per
   task move.
 * Percentile ranks are computed over the *distinct values* of the ranked
-  column (``groupBy(x).count()`` then a window over that small table) and
-  joined back, so the single-partition window sees one row per value, not
-  one row per input row.
+  column (``groupBy(x).count()``), so a value that many rows share is one row.
+  The values of a partition are cut into ranges at approximate quantiles; ranks
+  are counted inside a range and the counts of the ranges before it are added,
+  so a partition is spread over as many tasks as there are shuffle partitions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,24 +42,40 @@ def _order(by, descending, tiebreak=None) -> list[Column]:
 
 
 def _nan_to_null(df: DataFrame, by) -> DataFrame:
-    by = [by] if isinstance(by, str) else [b for b in by if isinstance(b, str)]
+    by = [by] if isinstance(by, (str, Column)) else list(by)
     dbl = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
-    fix = {b: F.nanvl(F.col(b), F.lit(None).cast("double")) for b in by if b in dbl}
+    fix = {b: F.nanvl(F.col(b), F.lit(None).cast("double")) for b in by if isinstance(b, str) and b in dbl}
     return df.withColumns(fix) if fix else df
 
 
+def _total(df: DataFrame, used, tiebreak) -> list:
+    """The tie-break: as given, else every other column that can be ordered."""
+    if tiebreak is not None:
+        return list(tiebreak)
+    used = [used] if isinstance(used, (str, Column)) else list(used)
+    return [f.name for f in df.schema.fields if f.name not in [u for u in used if isinstance(u, str)]
+            and f.dataType.typeName() not in ("map", "variant")]
+
+
+def _parts(partition) -> list[str]:
+    return [] if partition is None else ([partition] if isinstance(partition, str) else list(partition))
+
+
 def top_n(df: DataFrame, by, n: int, descending=True, ties: bool = True, partition=None,
           tiebreak=None, rank_col: str | None = None) -> DataFrame:
     """n best rows (per ``partition`` when given).  Rows whose ranking value is
     missing are never returned (they sort last and a leaderboard of missing
     values is meaningless)."""
     df = _nan_to_null(df, by)
-    part = [] if partition is None else ([partition] if isinstance(partition, str) else list(partition))
-    w = Window.partitionBy(*part).orderBy(*_order(by, descending, None if ties else tiebreak))
+    by = [by] if isinstance(by, (str, Column)) else list(by)
+    kinds = dict(zip([str(i) for i in range(len(by))], df.select(*[as_col(b).alias(str(i)) for i, b in enumerate(by)]).dtypes))
+    by = [F.nanvl(b, F.lit(None).cast("double")) if isinstance(b, Column) and kinds[str(i)][1] in ("double", "float") else b
+          for i, b in enumerate(by)]
+    w = Window.partitionBy(*_parts(partition)).orderBy(
+        *_order(by, descending, None if ties else _total(df, by, tiebreak)))
     fn = F.rank() if ties else F.row_number()
     r = rank_col or "_rk"
-    by_list = [by] if isinstance(by, (str, Column)) else list(by)
-    out = df.filter(as_col(by_list[0]).isNotNull()).withColumn(r, fn.over(w)).filter(F.col(r) <= n)
+    out = df.filter(as_col(by[0]).isNotNull()).withColumn(r, fn.over(w)).filter(F.col(r) <= n)
     return out if rank_col else out.drop(r)
 
 
@@ -63,17 +83,26 @@ def slice_range(df: DataFrame, partition, order, lo: int, hi: int, descending=Tr
                 tiebreak=None) -> DataFrame:
     """Rows at positions lo..hi (1-based) of each partition, ties cut by the
     total order (``slice(6:9)``).  Missing order values sort last."""
-    part = [partition] if isinstance(partition, str) else list(partition)
-    w = Window.partitionBy(*part).orderBy(*_order(order, descending, tiebreak))
-    return (df.withColumn("_pos", F.row_number().over(w))
-              .filter((F.col("_pos") >= lo) & (F.col("_pos") <= hi)).drop("_pos"))
+    df = _nan_to_null(df, order)
+    w = Window.partitionBy(*_parts(partition)).orderBy(*_order(order, descending, _total(df, order, tiebreak)))
+    return (df.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") <= hi)
+              .filter(F.col("_pos") >= lo).drop("_pos"))
 
 
 def drop_leader(df: DataFrame, partition, order, descending=True, tiebreak=None) -> DataFrame:
-    """Every row but the first of each partition (``arrange() %>% slice(-1)``)."""
-    part = [partition] if isinstance(partition, str) else list(partition)
-    w = Window.partitionBy(*part).orderBy(*_order(order, descending, tiebreak))
-    return df.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") > 1).drop("_pos")
+    """Every row but the first of each partition (``arrange() %>% slice(-1)``).
+
+    The leader is a top-1 (one row per task and partition is shuffled); the rows
+    that differ from it are an anti join; of rows equal to it in every column one goes."""
+    df = _nan_to_null(df, order)
+    part, cols = _parts(partition), df.columns
+    w = Window.partitionBy(*part).orderBy(*_order(order, descending, _total(df, order, tiebreak)))
+    lead = df.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") == 1).drop("_pos")
+    lead = lead.withColumnsRenamed({c: "_lead_" + c for c in cols})
+    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(lead["_lead_" + c]) for c in cols])
+    again = (df.join(lead, same, "left_semi").groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+             .select(*cols, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k")).filter(F.col("_k") > 1).drop("_k"))
+    return df.join(lead, same, "left_anti").unionByName(again)
 
 
 def group_argmax(df: DataFrame, partition, by, descending=True, tiebreak=None) -> DataFrame:
@@ -83,11 +112,15 @@ def group_argmax(df: DataFrame, partition, by, descending=True, tiebreak=None) -
 
 
 def leader_flag(df: DataFrame, partition, by, name: str = "leader", descending=True) -> DataFrame:
-    """Boolean column: the row holds the partition's max (or min) of ``by``."""
-    part = [partition] if isinstance(partition, str) else list(partition)
-    w = Window.partitionBy(*part)
-    ext = F.max(by) if descending else F.min(by)
-    return df.withColumn(name, F.coalesce(F.col(by) == ext.over(w), F.lit(False)))
+    """Boolean column: the row holds the partition's max (or min) of ``by``
+    (aggregate and null-safe join; a missing value never leads)."""
+    df = _nan_to_null(df, by)
+    part = _parts(partition)
+    ext = (F.max if descending else F.min)(by)
+    best = df.groupBy(*[F.col(p).alias("_p_" + p) for p in part]).agg(ext.alias("_ext"))
+    cond = reduce(lambda a, b: a & b, [df[p].eqNullSafe(best["_p_" + p]) for p in part])
+    return (df.join(best, cond, "left").withColumn(name, F.coalesce(F.col(by) == F.col("_ext"), F.lit(False)))
+            .drop("_ext", *["_p_" + p for p in part]))
 
 
 def prefer_total_row(df: DataFrame, keys, col: str, total: str = "TOT") -> DataFrame:
@@ -97,18 +130,41 @@ def prefer_total_row(df: DataFrame, keys, col: str, total: str = "TOT") -> DataF
     return df.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") == 1).drop("_pos")
 
 
+def _range_ranks(counts: DataFrame, part: list[str], col: str, descending: bool) -> DataFrame:
+    """From (part..., col, _cnt) over distinct values: the lowest and highest rank of
+    each value and the partition's number of rows."""
+    k = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = F.array(*[F.lit(i / k) for i in range(1, k)]) if k > 1 else None
+    whole = counts.groupBy(*[F.col(p).alias("_g_" + p) for p in part]).agg(
+        F.sum("_cnt").alias("_n"),
+        (F.percentile_approx(F.col(col), steps, F.lit(1000)) if k > 1 else F.array().cast("array<double>")).alias("_cuts"))
+
+    def on(left, right, names):
+        conds = [left[n].eqNullSafe(right["_g_" + n]) for n in names]
+        return reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
+
+    if part:
+        c = counts.join(whole, on(counts, whole, part), "left").drop(*["_g_" + p for p in part])
+    else:  # one row
+        c = counts.withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    c = c.withColumn("_rng", F.size(F.filter("_cuts", lambda x: x < F.col(col)))).drop("_cuts")
+    key = F.col(col).desc() if descending else F.col(col).asc()
+    run = Window.partitionBy(*part, "_rng").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    near = Window.partitionBy(*part).orderBy(F.col("_rng").desc() if descending else F.col("_rng").asc())
+    before = (c.groupBy(*part, "_rng").agg(F.sum("_cnt").alias("_t"))
+              .withColumn("_off", F.coalesce(F.sum("_t").over(near.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .select(*[F.col(p).alias("_g_" + p) for p in [*part, "_rng"]], "_off"))
+    c = c.withColumn("_maxr", F.sum("_cnt").over(run))
+    c = c.join(before, on(c, before, [*part, "_rng"]), "left")
+    return c.select(*part, col, (F.col("_off") + F.col("_maxr")).alias("_maxr"),
+                    (F.col("_off") + F.col("_maxr") - F.col("_cnt") + 1).alias("_minr"), "_n")
+
+
 def _value_ranks(df: DataFrame, col: str, part: list[str], descending: bool) -> DataFrame:
     """Per distinct non-missing value: min rank, max rank and the partition's
     non-missing count."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(*part, col).agg(F.count(F.lit(1)).alias("_cnt"))
-    key = F.col(col).desc() if descending else F.col(col).asc()
-    w = Window.partitionBy(*part).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(
-        *part, col,
-        F.sum("_cnt").over(w).alias("_maxr"),
-        (F.sum("_cnt").over(w) - F.col("_cnt") + 1).alias("_minr"),
-        F.sum("_cnt").over(Window.partitionBy(*part)).alias("_n"),
-    )
+    return _range_ranks(counts, part, col, descending)
 
 
 def _pct_expr(method: str):
@@ -134,23 +190,24 @@ def pct_rank(df: DataFrame, cols, method: str = "average", partition=None, desce
     is read twice instead of once per column.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
-    part = [] if partition is None else ([partition] if isinstance(partition, str) else list(partition))
+    part = _parts(partition)
+    df = _nan_to_null(df, cols)
     if key is not None and len(cols) > 1:
         key = [key] if isinstance(key, str) else list(key)
         long = unpivot_for_rank(df.select(*key, *cols), key, cols)
         counts = long.filter(F.col("_val").isNotNull()).groupBy(*part, "_stat", "_val") \
                      .agg(F.count(F.lit(1)).alias("_cnt"))
-        order = F.col("_val").desc() if descending else F.col("_val").asc()
-        w = Window.partitionBy(*part, "_stat").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        ranks = counts.select(*part, "_stat", "_val",
-                              F.sum("_cnt").over(w).alias("_maxr"),
-                              (F.sum("_cnt").over(w) - F.col("_cnt") + 1).alias("_minr"),
-                              F.sum("_cnt").over(Window.partitionBy(*part, "_stat")).alias("_n"))
-        ranks = ranks.select(*part, "_stat", "_val", _pct_expr(method).alias("_pct"))
-        lr = long.join(ranks, [*part, "_stat", "_val"], "left")
-        wide = lr.groupBy(*key).pivot("_stat", cols).agg(F.first("_pct"))
-        wide = wide.withColumnsRenamed({c: c + suffix for c in cols})
-        return df.join(wide, key, "left")
+        ranks = _range_ranks(counts, [*part, "_stat"], "_val", descending)
+        ranks = ranks.select(*[F.col(p).alias("_p_" + p) for p in part], F.col("_stat").alias("_s"),
+                             F.col("_val").alias("_v"), _pct_expr(method).alias("_pct"))
+        same = [long["_stat"] == ranks["_s"], long["_val"] == ranks["_v"]]
+        same += [long[p].eqNullSafe(ranks["_p_" + p]) for p in part]
+        lr = long.join(ranks, reduce(lambda a, b: a & b, same), "left")
+        wide = lr.groupBy(*key).agg(*[F.first(F.when(F.col("_stat") == c, F.col("_pct")), ignorenulls=True)
+                                      .alias(c + suffix) for c in cols])
+        wide = wide.withColumnsRenamed({k: "_k_" + k for k in key})
+        back = reduce(lambda a, b: a & b, [df[k].eqNullSafe(wide["_k_" + k]) for k in key])
+        return df.join(wide, back, "left").drop(*["_k_" + k for k in key])
     out = df
     for c in cols:
         r = _value_ranks(df.select(*part, c), c, part, descending)
@@ -167,7 +224,8 @@ def percent_rank_ignore_null(df: DataFrame, col: str, name: str, partition=None,
     """(min_rank - 1) / (n - 1) over the non-missing values of each partition
     (``dplyr::percent_rank``); missing stays missing; a single non-missing
     value gets 0.0."""
-    part = [] if partition is None else ([partition] if isinstance(partition, str) else list(partition))
+    part = _parts(partition)
+    df = _nan_to_null(df, col)
     r = _value_ranks(df.select(*part, col), col, part, descending)
     val = F.when(F.col("_n") > 1, (F.col("_minr") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
     r = r.select(*[F.col(p).alias("_p_" + p) for p in part], F.col(col).alias("_v"), val.alias(name))
@@ -177,6 +235,9 @@ def percent_rank_ignore_null(df: DataFrame, col: str, name: str, partition=None,
 
 
 def unpivot_for_rank(df: DataFrame, key, cols) -> DataFrame:
-    """(key..., _stat, _val) long form of ``cols`` as doubles."""
-    d = df.select(*key, *[F.col(c).cast("double").alias(c) for c in cols])
+    """(key..., _stat, _val) long form of ``cols``: as doubles, or, where all are whole
+    numbers, as longs (doubles would merge values beyond 2**53)."""
+    whole = {f.name: f.dataType.typeName() in ("byte", "short", "integer", "long") for f in df.schema.fields}
+    kind = "long" if all(whole[c] for c in cols) else "double"
+    d = df.select(*key, *[F.col(c).cast(kind).alias(c) for c in cols])
     return d.unpivot(key, cols, "_stat", "_val")

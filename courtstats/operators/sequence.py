@@ -3,28 +3,29 @@
 An event log is ordered inside a partition key (a game).  A plain
 ``Window.partitionBy(game)`` puts a whole game into one task; if one key
 holds a large share of all rows that task becomes the job.  Every function
-here therefore takes ``chunk_size``: rows are windowed inside
-``(partition, chunk)`` where ``chunk = floor(order / chunk_size)`` is a range
-of the (numeric, unique-within-partition) order key, and the values that
-cross a chunk boundary -- running totals, the last non-missing value, the
-first / last row of the neighbouring chunk -- are carried by a small
-per-chunk summary (one row per chunk) that is windowed per partition and
-joined back on ``(partition, chunk)``.  The big side keeps the single
-hash partitioning on ``(partition, chunk)`` from its window, so the join
-back only moves the summary.  With ``chunk_size=None`` the plain window
-form is used.
+here therefore takes ``chunk_size``: a key with more rows than that is cut
+into ranges of its own order values (about ``chunk_size`` rows each, from the
+key's count, minimum and maximum); all other keys stay whole.  Rows are
+windowed inside ``(partition, chunk)`` and the values that cross a chunk
+boundary -- running totals, the last non-missing value, the rows next to the
+boundary -- are carried by a summary (one row per chunk) that is windowed per
+partition and joined back.  The table of cut keys holds at most
+``rows / chunk_size`` rows.
+
+Results do not depend on ``chunk_size``: missing partition keys are a
+partition of their own, a missing measure adds nothing to a running sum
+(which is missing until the first value), missing order values come first,
+and any neighbour offset is allowed.  ``chunk_size=None`` is the plain window.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _CHUNK = "_seq_chunk"
-
-# Default order-key range per chunk for event logs.  Real games have a few
-# hundred events, so a game is one chunk; a pathological key is split into
-# ranges of this many order values.
 DEFAULT_CHUNK = 1 << 20
 
 
@@ -32,8 +33,22 @@ def _as_list(x):
     return [x] if isinstance(x, str) else list(x)
 
 
-def _with_chunk(df: DataFrame, order: str, chunk_size):
-    return df.withColumn(_CHUNK, F.floor(F.col(order) / F.lit(chunk_size)).cast("long"))
+def _join_back(df: DataFrame, small: DataFrame, keys) -> DataFrame:
+    """Left join on null-safe keys; the small side's copies of the keys go."""
+    r = small.withColumnsRenamed({k: "_jb_" + k for k in keys})
+    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(r["_jb_" + k]) for k in keys])
+    return df.join(r, on, "left").drop(*["_jb_" + k for k in keys])
+
+
+def _with_chunk(df: DataFrame, part, order: str, chunk_size):
+    size = F.lit(chunk_size)
+    cut = (df.groupBy(*part).agg(F.count(F.lit(1)).alias("_seq_n"), F.min(order).alias("_seq_lo"),
+                                 F.max(order).alias("_seq_hi"))
+           .filter(F.col("_seq_n") > size))
+    d = _join_back(df, cut, part)
+    at = (F.col(order) - F.col("_seq_lo")) / (F.col("_seq_hi") - F.col("_seq_lo") + 1)
+    chunk = F.floor(at * F.ceil(F.col("_seq_n") / size)).cast("long")
+    return d.withColumn(_CHUNK, F.coalesce(chunk, F.lit(0).cast("long"))).drop("_seq_n", "_seq_lo", "_seq_hi")
 
 
 def running_sum(df: DataFrame, partition, order: str, cols, chunk_size=DEFAULT_CHUNK,
@@ -44,17 +59,16 @@ def running_sum(df: DataFrame, partition, order: str, cols, chunk_size=DEFAULT_C
     if chunk_size is None:
         w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({c + suffix: F.sum(c).over(w) for c in cols})
-    d = _with_chunk(df, order, chunk_size)
+    d = _with_chunk(df, part, order, chunk_size)
     w = Window.partitionBy(*part, _CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = d.withColumns({c + suffix: F.sum(c).over(w) for c in cols})
     totals = d.groupBy(*part, _CHUNK).agg(*[F.sum(c).alias("_tot_" + c) for c in cols])
     wc = Window.partitionBy(*part).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*part, _CHUNK,
-                            *[F.coalesce(F.sum("_tot_" + c).over(wc), F.lit(0)).alias("_off_" + c)
-                              for c in cols])
-    out = local.join(offsets, [*part, _CHUNK], "left")
-    return out.withColumns({c + suffix: F.col(c + suffix) + F.col("_off_" + c) for c in cols}) \
-              .drop(_CHUNK, *["_off_" + c for c in cols])
+    offsets = totals.select(*part, _CHUNK, *[F.sum("_tot_" + c).over(wc).alias("_off_" + c) for c in cols])
+    out = _join_back(local, offsets, [*part, _CHUNK])
+    return out.withColumns({
+        c + suffix: F.coalesce(F.col(c + suffix) + F.col("_off_" + c), F.col(c + suffix), F.col("_off_" + c))
+        for c in cols}).drop(_CHUNK, *["_off_" + c for c in cols])
 
 
 def fill(df: DataFrame, partition, order: str, cols, direction: str = "down",
@@ -70,54 +84,58 @@ def fill(df: DataFrame, partition, order: str, cols, direction: str = "down",
     if chunk_size is None:
         w = Window.partitionBy(*part).orderBy(order).rowsBetween(*frame)
         return df.withColumns({c: pick(c).over(w) for c in cols})
-    d = _with_chunk(df, order, chunk_size)
+    d = _with_chunk(df, part, order, chunk_size)
     w = Window.partitionBy(*part, _CHUNK).orderBy(order).rowsBetween(*frame)
     local = d.withColumns({c: pick(c).over(w) for c in cols})
-    edge = F.max_by if down else F.min_by
+    # the order key as a struct: a missing order value still ranks (first)
+    edge = F.max if down else F.min
     summary = d.groupBy(*part, _CHUNK).agg(
-        *[edge(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias("_edge_" + c)
-          for c in cols])
+        *[edge(F.when(F.col(c).isNotNull(), F.struct(F.col(order).isNotNull(), F.col(order), F.col(c).alias("_v"))))
+          .getField("_v").alias("_edge_" + c) for c in cols])
     cframe = (Window.unboundedPreceding, -1) if down else (1, Window.unboundedFollowing)
     wc = Window.partitionBy(*part).orderBy(_CHUNK).rowsBetween(*cframe)
-    carry = summary.select(*part, _CHUNK,
-                           *[pick("_edge_" + c).over(wc).alias("_carry_" + c) for c in cols])
-    out = local.join(carry, [*part, _CHUNK], "left")
+    carry = summary.select(*part, _CHUNK, *[pick("_edge_" + c).over(wc).alias("_carry_" + c) for c in cols])
+    out = _join_back(local, carry, [*part, _CHUNK])
     return out.withColumns({c: F.coalesce(F.col(c), F.col("_carry_" + c)) for c in cols}) \
               .drop(_CHUNK, *["_carry_" + c for c in cols])
 
 
 def neighbours(df: DataFrame, partition, order: str, spec: dict, chunk_size=DEFAULT_CHUNK) -> DataFrame:
-    """Add previous / next row values: ``spec = {new_name: (col, offset)}`` with
-    offset +1 = next row (``lead``), -1 = previous row (``lag``)."""
+    """Add values of other rows: ``spec = {new_name: (col, offset)}`` with offset
+    +k = the k-th next row (``lead``), -k = the k-th previous row (``lag``)."""
     part = _as_list(partition)
+
+    def shifted(w):
+        return {n: (F.lead(c, o) if o > 0 else F.lag(c, -o)).over(w) for n, (c, o) in spec.items()}
+
     if chunk_size is None:
-        w = Window.partitionBy(*part).orderBy(order)
-        return df.withColumns({n: (F.lead(c, o) if o > 0 else F.lag(c, -o)).over(w)
-                               for n, (c, o) in spec.items()})
-    if any(abs(o) != 1 for _, o in spec.values()):
-        raise ValueError("chunked neighbours supports offsets +1 / -1")
-    d = _with_chunk(df, order, chunk_size)
+        return df.withColumns(shifted(Window.partitionBy(*part).orderBy(order)))
+    d = _with_chunk(df, part, order, chunk_size)
     w = Window.partitionBy(*part, _CHUNK).orderBy(order)
-    local = d.withColumns({
-        "_nxt_ord": F.lead(order, 1).over(w), "_prv_ord": F.lag(order, 1).over(w),
-        **{n: (F.lead(c, 1) if o > 0 else F.lag(c, 1)).over(w) for n, (c, o) in spec.items()},
-    })
+    back = Window.partitionBy(*part, _CHUNK).orderBy(F.col(order).desc_nulls_last())
+    local = d.withColumns({**shifted(w), "_seq_rn": F.row_number().over(w), "_seq_nr": F.row_number().over(back)})
+    # the rows next to a boundary: as many of each chunk as the largest offset, and,
+    # as a chunk has a row at least, as many chunks
     src = sorted({c for c, _ in spec.values()})
-    summary = d.groupBy(*part, _CHUNK).agg(
-        *[F.min_by(c, order).alias("_first_" + c) for c in src],
-        *[F.max_by(c, order).alias("_last_" + c) for c in src])
+    ahead = max([o for _, o in spec.values() if o > 0], default=0)
+    behind = max([-o for _, o in spec.values() if o < 0], default=0)
+    row = F.struct("_seq_rn", *[F.col(c).alias("_seq_v_" + c) for c in src])
+    edges = (local.filter((F.col("_seq_rn") <= ahead) | (F.col("_seq_nr") <= behind)).groupBy(*part, _CHUNK)
+             .agg(F.array_sort(F.collect_list(F.when(F.col("_seq_rn") <= ahead, row))).alias("_seq_head"),
+                  F.array_sort(F.collect_list(F.when(F.col("_seq_nr") <= behind, row))).alias("_seq_tail")))
     wc = Window.partitionBy(*part).orderBy(_CHUNK)
-    edges = summary.select(
+    edges = edges.select(
         *part, _CHUNK,
-        *[F.lead("_first_" + c, 1).over(wc).alias("_nfirst_" + c) for c in src],
-        *[F.lag("_last_" + c, 1).over(wc).alias("_plast_" + c) for c in src])
-    out = local.join(edges, [*part, _CHUNK], "left")
+        F.flatten(F.collect_list("_seq_head").over(wc.rowsBetween(1, max(ahead, 1)))).alias("_seq_next"),
+        F.flatten(F.collect_list("_seq_tail").over(wc.rowsBetween(-max(behind, 1), -1))).alias("_seq_prev"))
+    out = _join_back(local, edges, [*part, _CHUNK])
     fixed = {}
     for n, (c, o) in spec.items():
-        if o > 0:
-            fixed[n] = F.when(F.col("_nxt_ord").isNull(), F.col("_nfirst_" + c)).otherwise(F.col(n))
+        if o > 0:  # past the chunk's end: the (o - rows left)-th row of the next chunks
+            at, over = F.lit(o) - F.col("_seq_nr") + 1, F.col("_seq_nr") <= o
+            value = F.try_element_at("_seq_next", at.cast("int"))
         else:
-            fixed[n] = F.when(F.col("_prv_ord").isNull(), F.col("_plast_" + c)).otherwise(F.col(n))
-    drop = [_CHUNK, "_nxt_ord", "_prv_ord", *["_nfirst_" + c for c in src],
-            *["_plast_" + c for c in src]]
-    return out.withColumns(fixed).drop(*drop)
+            at, over = F.lit(-o) - F.col("_seq_rn") + 1, F.col("_seq_rn") <= -o
+            value = F.try_element_at("_seq_prev", (-at).cast("int"))
+        fixed[n] = F.when(over, value.getField("_seq_v_" + c)).otherwise(F.col(n))
+    return out.withColumns(fixed).drop(_CHUNK, "_seq_rn", "_seq_nr", "_seq_next", "_seq_prev")

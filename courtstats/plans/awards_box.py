@@ -11,7 +11,7 @@ from courtstats.operators.aggregate import leave_one_out, ordered_listagg, sum_c
 from courtstats.operators.filters import group_size_filter, qualify_min, qualify_share
 from courtstats.operators.joins import natural_join
 from courtstats.operators.rank import (
-    drop_leader, group_argmax, pct_rank, percent_rank_ignore_null, slice_range, top_n,
+    group_argmax, leader_flag, pct_rank, percent_rank_ignore_null, slice_range, top_n,
 )
 from courtstats.plans import oracle_views as O
 from courtstats.plans import views as V
@@ -62,14 +62,18 @@ SELECT stat, player_id, round(rate, 6) AS rate FROM (
   SELECT player_id, 'stl' AS stat, sum(stl) / sum(mp) * 36 AS rate FROM player_season GROUP BY player_id
     HAVING sum(mp) >= 75 AND sum(mp) / sum(g) >= 12
   UNION ALL SELECT player_id, 'blk', sum(blk) / sum(mp) * 36 FROM player_season GROUP BY player_id
+    HAVING sum(mp) >= 75 AND sum(mp) / sum(g) >= 12
+  UNION ALL SELECT player_id, 'ast', sum(ast) / sum(mp) * 36 FROM player_season GROUP BY player_id
+    HAVING sum(mp) >= 75 AND sum(mp) / sum(g) >= 12
+  UNION ALL SELECT player_id, 'trb', sum(trb) / sum(mp) * 36 FROM player_season GROUP BY player_id
     HAVING sum(mp) >= 75 AND sum(mp) / sum(g) >= 12) x
 QUALIFY rank() OVER (PARTITION BY stat ORDER BY rate DESC) <= 10"""))
 def award_rate_leaders_career(spark, sf):
     ps = V.player_season(spark, sf)
-    car = ps.groupBy("player_id").agg(*[F.sum(c).alias(c) for c in ("stl", "blk", "mp", "g")])
+    car = ps.groupBy("player_id").agg(*[F.sum(c).alias(c) for c in (*RATE_STATS, "mp", "g")])
     car = car.filter((F.col("mp") >= 75) & (F.col("mp") / F.col("g") >= 12))
-    rates = car.select("player_id", *[(safe_div(s, "mp") * 36).alias(s) for s in ("stl", "blk")])
-    long = unpivot(rates, ["player_id"], ["stl", "blk"], "stat", "rate")
+    rates = car.select("player_id", *[(safe_div(s, "mp") * 36).alias(s) for s in RATE_STATS])
+    long = unpivot(rates, ["player_id"], RATE_STATS, "stat", "rate")
     return top_n(long, "rate", 10, partition="stat").withColumn("rate", r6("rate"))
 
 
@@ -700,7 +704,7 @@ def _rotations(spark, sf):
         ordered_listagg("player", "vorp DESC, player_id ASC").alias("rotation"))
     conf = V.teams(spark, sf).select("tm", F.when(F.substring("tm", 2, 2).cast("int").isin(WEST), "West")
                                      .otherwise("East").alias("conference"))
-    return rot.join(wo, ["tm", SEASON, "position_2"], "left").join(F.broadcast(conf), "tm", "left")
+    return rot.join(wo, ["tm", SEASON, "position_2"], "left").join(conf, "tm", "left")
 
 
 _ROT_SQL = O.PLAYER_TEAM_SEASON + "," + O.CUSTOMER_DIM + "," + O.TEAMS + """,
@@ -755,24 +759,36 @@ def sum_wo_leader(spark, sf):
 
 
 @register("leader_flag", O.with_views(_ROT_SQL, body="""
-SELECT tm, season, position_2, count_if(leader) AS leaders, count(*) AS players FROM pos5 GROUP BY 1, 2, 3"""))
+SELECT tm, season, player_id, position_2, coalesce(vorp = max(vorp) OVER (PARTITION BY tm, season, position_2), false) AS leader
+FROM pos4"""))
 def leader_flag_q(spark, sf):
-    p = _positions(spark, sf)
-    return p.groupBy("tm", SEASON, "position_2").agg(F.count_if("leader").alias("leaders"),
-                                                      F.count(F.lit(1)).alias("players"))
+    p = _positions(spark, sf).drop("leader")
+    return leader_flag(p, ["tm", SEASON, "position_2"], "vorp").select("tm", SEASON, "player_id", "position_2", "leader")
 
 
 @register("top_groups_expanded", O.with_views(_ROT_SQL, body="""
-, top AS (SELECT * FROM rot WHERE position_2 = 'guard' AND conference = 'West' AND pos_vorp_wo_leader IS NOT NULL
-          QUALIFY rank() OVER (PARTITION BY season ORDER BY pos_vorp_wo_leader DESC) <= 5)
-SELECT t.season, t.tm, p.player_id, p.g, round(p.vorp, 6) AS vorp, round(t.pos_vorp_wo_leader, 6) AS pos_vorp_wo_leader
+, top AS (SELECT * FROM rot WHERE pos_vorp_wo_leader IS NOT NULL
+          QUALIFY rank() OVER (PARTITION BY season, position_2, conference ORDER BY pos_vorp_wo_leader DESC) <= 5)
+SELECT t.position_2, t.conference, t.season, t.tm, p.player_id, p.player, p.g, p.mp, round(p.vorp, 6) AS vorp,
+       round(t.pos_vorp_wo_leader, 6) AS pos_vorp_wo_leader
 FROM top t JOIN pos5 p ON p.tm = t.tm AND p.season = t.season AND p.position_2 = t.position_2""".replace("\n, top", ",\ntop", 1)))
-def top_groups_expanded(spark, sf, position="guard", conf="West"):
-    """K3: ``pos_vorp_leader_filter(position, conf)`` -- top 5 groups, then
-    re-expanded to their members."""
-    r = _rotations(spark, sf).filter((F.col("position_2") == position) & (F.col("conference") == conf))
-    top = top_n(r, "pos_vorp_wo_leader", 5, partition=SEASON)
-    members = _positions(spark, sf).select("tm", SEASON, "position_2", "player_id", "g", "vorp")
+def top_groups_expanded_q(spark, sf):
+    """Every (position, conference) cell of :func:`top_groups_expanded`."""
+    return top_groups_expanded(spark, sf)
+
+
+def top_groups_expanded(spark, sf, position=None, conf=None):
+    """K3: the top 5 groups of a (position, conference) cell -- or of every cell --
+    by the sum without the leader, re-expanded to their members, best group
+    and best member first."""
+    r = _rotations(spark, sf)
+    if position is not None:
+        r = r.filter(F.col("position_2") == position)
+    if conf is not None:
+        r = r.filter(F.col("conference") == conf)
+    top = top_n(r, "pos_vorp_wo_leader", 5, partition=[SEASON, "position_2", "conference"])
+    members = _positions(spark, sf).select("tm", SEASON, "position_2", "player_id", "player", "g", "mp", "vorp")
     j = top.join(members, ["tm", SEASON, "position_2"])
-    return j.select(SEASON, "tm", "player_id", "g", r6("vorp").alias("vorp"),
-                    r6("pos_vorp_wo_leader").alias("pos_vorp_wo_leader"))
+    return j.select("position_2", "conference", SEASON, "tm", "player_id", "player", "g", "mp", r6("vorp").alias("vorp"),
+                    r6("pos_vorp_wo_leader").alias("pos_vorp_wo_leader")) \
+            .orderBy(SEASON, "position_2", "conference", F.desc("pos_vorp_wo_leader"), "tm", F.desc("vorp"), "player_id")

@@ -62,15 +62,21 @@ def filter_chain(spark, sf):
 EVENT_COUNT_PATTERN = "Charge|Goaltending|Kick|3 Second"
 
 
+def _text_kind(pattern):
+    """The part of the home text that matches, else that of the visitor text."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(F.col(c), pattern, 0), F.lit("")) for c in S])
+
+
 @register("award_event_count", O.with_views(O.PBP, body=f"""
 SELECT kind, PLAYER1_NAME, count(*) AS count FROM (
-  SELECT regexp_extract(coalesce(HOMEDESCRIPTION, VISITORDESCRIPTION), '{EVENT_COUNT_PATTERN}', 0) AS kind,
+  SELECT coalesce(nullif(regexp_extract(HOMEDESCRIPTION, '{EVENT_COUNT_PATTERN}', 0), ''),
+                  nullif(regexp_extract(VISITORDESCRIPTION, '{EVENT_COUNT_PATTERN}', 0), '')) AS kind,
          PLAYER1_NAME FROM pbp WHERE {sql_any(_rx(EVENT_COUNT_PATTERN))}) x
 GROUP BY kind, PLAYER1_NAME
 QUALIFY rank() OVER (PARTITION BY kind ORDER BY count(*) DESC) <= 10"""))
 def award_event_count(spark, sf, pattern=EVENT_COUNT_PATTERN):
     log = V.pbp(spark, sf).filter(text_any(S, pattern))
-    log = log.withColumn("kind", F.regexp_extract(F.coalesce(*[F.col(c) for c in S]), pattern, 0))
+    log = log.withColumn("kind", _text_kind(pattern))
     return top_n(group_count(log, ["kind", "PLAYER1_NAME"]), "count", 10, partition="kind")
 
 
@@ -142,21 +148,20 @@ def pair_key(spark, sf):
 
 def _season_career_role(spark, sf, role):
     """Passer (PLAYER2) / finisher (PLAYER1) of made alley-oops, by season and
-    career from one grouping-sets pass (season = period here)."""
-    from courtstats.operators.aggregate import season_and_career
+    career from one grouping-sets pass."""
+    from courtstats.operators.aggregate import grouping_sets_leaderboard
 
     log = V.pbp(spark, sf).filter(text_any(S, "Alley")).filter(
         ~text_any(S, "MISS", kind="starts")).filter(F.col("PLAYER2_NAME").isNotNull())
-    g = season_and_career(log, role, "PERIOD", [F.count(F.lit(1)).alias("count")])
-    return top_n(g, "count", 5, partition="scope")
+    return grouping_sets_leaderboard(log, role, "SEASON", [F.count(F.lit(1)).alias("count")], "count", 5)
 
 
 def _season_career_sql(role):
     return O.with_views(O.PBP, body=f"""
-SELECT PERIOD, {role}, count(*) AS count,
-       CASE WHEN grouping(PERIOD) = 1 THEN 'career' ELSE 'season' END AS scope
-FROM ({_MADE_ALLEY_SQL}) a GROUP BY GROUPING SETS ((PERIOD, {role}), ({role}))
-QUALIFY rank() OVER (PARTITION BY CASE WHEN grouping(PERIOD) = 1 THEN 'career' ELSE 'season' END
+SELECT SEASON, {role}, count(*) AS count,
+       CASE WHEN grouping(SEASON) = 1 THEN 'career' ELSE 'season' END AS scope
+FROM ({_MADE_ALLEY_SQL}) a GROUP BY GROUPING SETS ((SEASON, {role}), ({role}))
+QUALIFY rank() OVER (PARTITION BY CASE WHEN grouping(SEASON) = 1 THEN 'career' ELSE 'season' END
                      ORDER BY count(*) DESC) <= 5""")
 
 
@@ -453,24 +458,24 @@ matches AS (
 @register("same_moment_union", O.with_views(_SM_SQL, body="""
 SELECT GAME_ID, PLAYER1_NAME_x, PLAYER1_NAME_y, count(*) AS n FROM matches GROUP BY 1, 2, 3"""))
 def same_moment_union(spark, sf):
-    m = EV.same_moment_union(V.pbp(spark, sf))
-    return m.groupBy("GAME_ID", "PLAYER1_NAME_x", "PLAYER1_NAME_y").agg(F.count(F.lit(1)).alias("n"))
+    m = EV.same_moment_counts(V.pbp(spark, sf))
+    return m.groupBy("GAME_ID", "PLAYER1_NAME_x", "PLAYER1_NAME_y").agg(F.sum("n").alias("n"))
 
 
 @register("award_same_moment_fouls", O.with_views(_SM_SQL, body="""
 SELECT PLAYER1_NAME_x, count(*) AS count FROM matches GROUP BY 1
 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 10"""))
 def award_same_moment_fouls(spark, sf):
-    m = EV.same_moment_union(V.pbp(spark, sf))
-    return top_n(group_count(m, "PLAYER1_NAME_x"), "count", 10)
+    m = EV.same_moment_counts(V.pbp(spark, sf))
+    return top_n(m.groupBy("PLAYER1_NAME_x").agg(F.sum("n").alias("count")), "count", 10)
 
 
 @register("award_same_moment_drawn", O.with_views(_SM_SQL, body="""
 SELECT PLAYER1_NAME_y, count(*) AS count FROM matches GROUP BY 1
 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 10"""))
 def award_same_moment_drawn(spark, sf):
-    m = EV.same_moment_union(V.pbp(spark, sf))
-    return top_n(group_count(m, "PLAYER1_NAME_y"), "count", 10)
+    m = EV.same_moment_counts(V.pbp(spark, sf))
+    return top_n(m.groupBy("PLAYER1_NAME_y").agg(F.sum("n").alias("count")), "count", 10)
 
 
 @register("same_moment_pairs", O.with_views(O.PBP, body=f"""
@@ -482,9 +487,9 @@ GROUP BY 1, 2, 3"""))
 def same_moment_pairs(spark, sf):
     log = V.pbp(spark, sf)
     keys = ["GAME_ID", "PERIOD", "PCTIMESTRING"]
-    f = log.filter(text_any(S, "S.FOUL")).select(*keys)
-    s = log.filter(text_any(S, "PTS")).select(*keys)
-    return f.join(s, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    f = log.filter(text_any(S, "S.FOUL")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_f"))
+    s = log.filter(text_any(S, "PTS")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_s"))
+    return f.join(s, keys).select(*keys, (F.col("_f") * F.col("_s")).alias("n"))
 
 
 # --- D8 / F11 / L47: made dunks by row difference, games with 2+ ---------------
@@ -550,12 +555,13 @@ used AS (
 budget AS (
   SELECT a.team, t.team AS team_name, a.games, a.overtimes, a.num_timeouts, u.num_timeouts_used,
          round(u.num_timeouts_used / a.num_timeouts, 6) AS timeout_use_percent
-  FROM avail a LEFT JOIN teams t ON t.tm = a.team LEFT JOIN used u ON u.team_name = t.team
+  FROM avail a LEFT JOIN teams t ON t.tm = a.team LEFT JOIN used u ON u.team_name =
+    CASE WHEN a.team = 'T24' THEN array_to_string(string_split(t.team, ' ')[-2:], ' ') ELSE string_split(t.team, ' ')[-1] END
 )"""
 
 
 def _budget(spark, sf):
-    b = EV.timeout_budget(V.pbp(spark, sf), V.teams(spark, sf))
+    b = EV.timeout_budget(V.pbp(spark, sf), V.teams(spark, sf), two_words=(V.TWO_WORDS,))
     return b.select("team", "team_name", "games", "overtimes", "num_timeouts", "num_timeouts_used",
                     r6("timeout_use_percent").alias("timeout_use_percent"))
 

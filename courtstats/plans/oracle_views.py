@@ -13,7 +13,8 @@ def _abbr(k: str) -> str:
 PBP = f"""
 pbp_base AS (
   SELECT e.user_id AS GAME_ID, e.event_id AS EVENTNUM,
-         CAST(least(5, 1 + (dayofmonth(e.ts) - 1) // 6) AS INTEGER) AS PERIOD,
+         CAST(2015 + e.user_id % 7 AS INTEGER) AS SEASON,
+         CAST(1 + (dayofmonth(e.ts) - 1) // 5 AS INTEGER) AS PERIOD,
          CAST(11 - hour(e.ts) % 12 AS VARCHAR) || ':00' AS PCTIMESTRING,
          e.event_id % 2 = 0 AS is_home, e.event_type AS t, e.event_id AS e, n.n_name,
          CASE WHEN e.event_id % 2 = 0 THEN e.user_id % 25
@@ -37,7 +38,7 @@ pbp_txt AS (
                                 WHEN e % 12 = 5 THEN 'Kicked Ball Violation'
                                 ELSE 'Defensive 3 Second Violation' END
       WHEN t = 'error' AND (e % 8 = 0 OR e % 8 = 4) THEN
-           upper(n_name) || CASE WHEN e % 8 = 0 THEN ' Timeout: Regular' ELSE ' Timeout: Excess' END
+           CASE WHEN team_key = 24 THEN 'TRAIL TEAM24' ELSE 'TEAM' || CAST(team_key AS VARCHAR) END || CASE WHEN e % 8 = 0 THEN ' Timeout: Regular' ELSE ' Timeout: Excess' END
       ELSE 'MISS Dunk' END AS txt,
     CASE WHEN t = 'error' AND e % 8 <> 0 AND e % 8 <> 4 THEN 'BLOCK' END AS other,
     CASE WHEN t = 'purchase' AND e % 4 <> 3 THEN 2 WHEN t = 'signup' AND e % 5 <> 4 THEN 3
@@ -55,7 +56,7 @@ pbp_run AS (
   FROM pbp_txt
 ),
 pbp AS (
-  SELECT GAME_ID, EVENTNUM, PERIOD, PCTIMESTRING,
+  SELECT GAME_ID, EVENTNUM, SEASON, PERIOD, PCTIMESTRING,
     CASE WHEN is_home THEN txt ELSE other END AS HOMEDESCRIPTION,
     CASE WHEN is_home THEN other ELSE txt END AS VISITORDESCRIPTION,
     CASE WHEN pts > 0 THEN CAST(v AS VARCHAR) || ' - ' || CAST(h AS VARCHAR) END AS SCORE,
@@ -167,7 +168,8 @@ TEAMS = f"""
 teams AS (
   SELECT {_abbr('n_nationkey')} AS tm,
          array_to_string(list_transform(string_split(lower(n_name), ' '),
-             lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS team,
+             lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')
+           || CASE WHEN n_nationkey = 24 THEN ' Trail Team' ELSE ' Team' END || CAST(n_nationkey AS VARCHAR) AS team,
          n_regionkey AS region
   FROM nation
 )"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from courtstats.functions.arith import safe_div
 from courtstats.functions.columns import derive, drop_lenient, select_range, select_regex
 from courtstats.functions.text import (
-    ASCII_FOLD_FROM, ASCII_FOLD_MULTI, ASCII_FOLD_TO, ascii_fold, nth_word, season_end_year,
+    ASCII_FOLD_FROM, ASCII_FOLD_MULTI, ASCII_FOLD_TO, ascii_fold, name_override, nth_word, season_end_year,
     season_slug, title_case, words_range,
 )
 from courtstats.operators.aggregate import (
@@ -68,24 +68,24 @@ def season_slug_q(spark, sf):
 
 
 @register("missing_ids", """
-SELECT id, status FROM (
-  SELECT r.range AS id, 'missing' AS status FROM range(0, (SELECT max(l_orderkey) FROM lineitem) + 1) r
-  WHERE r.range NOT IN (SELECT l_orderkey FROM lineitem)
-  UNION ALL
-  SELECT DISTINCT l_orderkey, 'unexpected' FROM lineitem
-  WHERE l_orderkey < 0 OR l_orderkey > (SELECT max(l_orderkey) FROM lineitem)) x""")
+SELECT DISTINCT o_orderkey AS id, 'missing' AS status FROM orders
+WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
+UNION ALL
+SELECT DISTINCT l_orderkey, 'unexpected' FROM lineitem
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)""")
 def missing_ids_q(spark, sf):
-    li = table(spark, sf, "lineitem")
-    hi = li.agg(F.max("l_orderkey")).first()[0]  # one scalar: the expected upper bound
-    return missing_ids(spark, li, "l_orderkey", 0, int(hi))
+    """Games that are expected (``orders``) but did not land (``lineitem``)."""
+    expected = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    return missing_ids(table(spark, sf, "lineitem"), expected, "l_orderkey")
 
 
 @register("csv_roundtrip", """
 SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority,
        CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS status_na FROM orders""")
-def csv_roundtrip(spark, sf):
-    """Write a slice of ``orders`` as CSV (NA for missing) under the shared
-    checkpoint folder and read it back with an explicit schema."""
+def csv_roundtrip(spark, sf, path=None):
+    """Write ``orders`` as CSV (NA for missing) to ``path`` (by default a new
+    folder under the shared checkpoint folder) and read it back with an
+    explicit schema.  The write runs when the query is built."""
     import uuid
 
     from pyspark.sql import types as T
@@ -95,7 +95,7 @@ def csv_roundtrip(spark, sf):
     o = table(spark, sf, "orders").select(
         "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority",
         F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status_na"))
-    path = f"{checkpoint_dir(spark).rstrip('/')}/csv_roundtrip/{uuid.uuid4().hex}"
+    path = path or f"{checkpoint_dir(spark).rstrip('/')}/csv_roundtrip/{uuid.uuid4().hex}"
     write_table(o, path, fmt="csv")
     schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderstatus", T.StringType()),
                            T.StructField("o_totalprice", T.DoubleType()),
@@ -303,7 +303,7 @@ def qualify_min_q(spark, sf):
 SELECT c.c_custkey, c.c_name, n.n_name FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey""")
 def left_join_dim(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
-    n = F.broadcast(table(spark, sf, "nation").select("n_nationkey", "n_name"))  # fixed 25 rows
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
     return c.join(n, c.c_nationkey == n.n_nationkey, "left").select("c_custkey", "c_name", "n_name")
 
 
@@ -342,7 +342,7 @@ def role_playing_dim(spark, sf):
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey) \
           .join(s, F.col("l_suppkey") == s.s_suppkey)
     nat = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
-    j = role_join(j, nat, {"c_nationkey": "cust_", "s_nationkey": "supp_"}, "n_nationkey", broadcast_dim=True)
+    j = role_join(j, nat, {"c_nationkey": "cust_", "s_nationkey": "supp_"}, "n_nationkey")
     return j.groupBy(F.col("cust_n_regionkey").alias("cust_region"), F.col("supp_n_regionkey").alias("supp_region")) \
             .agg(F.count(F.lit(1)).alias("n_lines"))
 
@@ -378,16 +378,28 @@ def ascii_fold_q(spark, sf):
     return d.select("doc_id", F.md5(ascii_fold("text")).alias("folded_md5"))
 
 
+# Exact names that another source spells differently.
+NAME_OVERRIDES = [("customer#000000003", "supplier#000000005"), ("customer#000000004", "supplier#000000002")]
+
+
 @register("normalised_key_join", f"""
-SELECT d.lang, count(*) AS n_docs FROM
-  (SELECT doc_id, lang, lower({_fold_sql("split_part(text, ' ', 1)")}) AS k FROM documents) d
-JOIN (SELECT DISTINCT lower({_fold_sql("split_part(text, ' ', 1)")}) AS k FROM benchmark) b ON b.k = d.k
-GROUP BY d.lang""")
+SELECT c.c_nationkey, count(*) AS customers, count(s.k) AS matched FROM (
+  SELECT c_nationkey, CASE """ + " ".join(f"WHEN n = '{a}' THEN '{b}'" for a, b in NAME_OVERRIDES) + f"""
+    ELSE replace(n, 'customer#', 'supplier#') END AS k
+  FROM (SELECT c_nationkey, trim(lower({_fold_sql("c_name")})) AS n FROM customer) x) c
+LEFT JOIN (SELECT DISTINCT trim(lower({_fold_sql("s_name")})) AS k FROM supplier) s ON s.k = c.k
+GROUP BY c.c_nationkey""")
 def normalised_key_join(spark, sf):
-    """Join on a transliterated, lower-cased name key (first word of a text)."""
-    d = table(spark, sf, "documents").select("doc_id", "lang", F.lower(ascii_fold(nth_word("text", 1))).alias("k"))
-    b = table(spark, sf, "benchmark").select(F.lower(ascii_fold(nth_word("text", 1))).alias("k")).distinct()
-    return d.join(b, "k").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
+    """Join on whole normalised names (transliterated, lower-cased, trimmed), after
+    the ordered override table."""
+    def plain(c):
+        return F.trim(F.lower(ascii_fold(c)))
+
+    c = table(spark, sf, "customer").select("c_nationkey", plain("c_name").alias("n"))
+    c = c.withColumn("k", name_override(F.col("n"), NAME_OVERRIDES, F.replace("n", F.lit("customer#"), F.lit("supplier#"))))
+    s = table(spark, sf, "supplier").select(plain("s_name").alias("_k")).distinct()
+    j = c.join(s, F.col("k") == F.col("_k"), "left")
+    return j.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"), F.count("_k").alias("matched"))
 
 
 # --- E: ranks and windows on the driver tables -------------------------------------------------
@@ -556,7 +568,9 @@ def abs_round(spark, sf):
                     F.abs(F.col("o_totalprice") - 250000).alias("dist"))
 
 
-@register("format_columns", None)
+@register("format_columns", O.with_views(O.PLAYER_SEASON, body="""
+SELECT player_id, season, format('{:,.1f}', x3p_ar * 100) || '%' AS x3p_ar_pct,
+       '$' || format('{:,.0f}', mp * 1000) AS salary_fmt, format('{:,.4f}', vorp) AS vorp_fmt FROM player_season"""))
 def format_columns(spark, sf):
     """Display formatting as projections (percent, currency, fixed decimals)."""
     ps = V.player_season(spark, sf)
@@ -589,6 +603,9 @@ def _size_gap(spark, sf):
     from courtstats.functions.predicates import text_any
 
     log = V.pbp(spark, sf).filter(text_any(["HOMEDESCRIPTION", "VISITORDESCRIPTION"], "BLOCK"))
+    # counts per pair of players first: the joins see one row per pair
+    log = log.filter(F.col("PLAYER1_ID").isNotNull() & F.col("PLAYER3_ID").isNotNull()).groupBy(
+        "PLAYER1_ID", "PLAYER3_ID", "PLAYER3_NAME").agg(F.count(F.lit(1)).alias("n"))
     j = role_join(log, _bio(spark, sf), {"PLAYER1_ID": "blockee_", "PLAYER3_ID": "blocker_"}, "PLAYER_ID")
     return j.withColumn("height_difference",
                         F.col("blockee_PLAYER_HEIGHT_INCHES") - F.col("blocker_PLAYER_HEIGHT_INCHES"))
@@ -599,7 +616,7 @@ SELECT PLAYER3_NAME, count(*) AS count FROM blk_h WHERE height_difference >= 5 G
 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 10"""))
 def award_size_gap_pos(spark, sf):
     g = _size_gap(spark, sf).filter(F.col("height_difference") >= 5)
-    return top_n(group_count(g, "PLAYER3_NAME"), "count", 10)
+    return top_n(g.groupBy("PLAYER3_NAME").agg(F.sum("n").alias("count")), "count", 10)
 
 
 @register("award_size_gap_neg", O.with_views(_GAP_SQL, body="""
@@ -607,7 +624,7 @@ SELECT PLAYER3_NAME, count(*) AS count FROM blk_h WHERE height_difference <= -5
 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 10"""))
 def award_size_gap_neg(spark, sf):
     g = _size_gap(spark, sf).filter(F.col("height_difference") <= -5)
-    return top_n(group_count(g, "PLAYER3_NAME"), "count", 10)
+    return top_n(g.groupBy("PLAYER3_NAME").agg(F.sum("n").alias("count")), "count", 10)
 
 
 _REB_SQL = O.BOX_ALL + ",\n" + _BIO_SQL + """,

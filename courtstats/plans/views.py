@@ -49,6 +49,13 @@ def team_abbrev(key: Column) -> Column:
     return F.concat(F.lit("T"), F.lpad(key.cast("string"), 2, "0"))
 
 
+TWO_WORDS = "T24"  # the one team whose nickname has two words
+
+
+def _nickname(key: Column) -> Column:
+    return F.concat(F.when(key == 24, F.lit("Trail Team")).otherwise(F.lit("Team")), key.cast("string"))
+
+
 def _home_key(game: Column) -> Column:
     return (game % N_TEAMS).cast("int")
 
@@ -61,7 +68,7 @@ def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tm (abbreviation), team (full name, title case), conference."""
     n = table(spark, sf_dir, "nation")
     return n.select(team_abbrev(F.col("n_nationkey")).alias("tm"),
-                    F.initcap("n_name").alias("team"),
+                    F.concat(F.initcap("n_name"), F.lit(" "), _nickname(F.col("n_nationkey"))).alias("team"),
                     F.col("n_regionkey").alias("region"))
 
 
@@ -71,19 +78,17 @@ def pbp(spark: SparkSession, sf_dir: str, chunk_size=None) -> DataFrame:
 
     chunk_size = DEFAULT_CHUNK if chunk_size is None else chunk_size
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    # nation is a fixed 25-row dimension: safe to broadcast.
-    nat = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     e, t, g = F.col("event_id"), F.col("event_type"), F.col("user_id")
     home = e % 2 == 0
     d = ev.withColumns({
         "GAME_ID": g,
         "EVENTNUM": e,
-        "PERIOD": F.least(F.lit(5), F.lit(1) + F.floor((F.dayofmonth("ts") - 1) / 6)).cast("int"),
+        "SEASON": (F.lit(2015) + g % 7).cast("int"),
+        "PERIOD": (F.lit(1) + F.floor((F.dayofmonth("ts") - 1) / 5)).cast("int"),
         "PCTIMESTRING": F.concat((F.lit(11) - F.hour("ts") % 12).cast("string"), F.lit(":00")),
         "is_home": home,
         "team_key": F.when(home, _home_key(g)).otherwise(_visitor_key(g)),
     })
-    d = d.join(nat, d.team_key == nat.n_nationkey, "left")
     blocked = (t == "error") & (e % 8 != 0) & (e % 8 != 4)
     timeout = (t == "error") & ((e % 8 == 0) | (e % 8 == 4))
     text = (
@@ -93,7 +98,7 @@ def pbp(spark: SparkSession, sf_dir: str, chunk_size=None) -> DataFrame:
         .when(t == "view", F.when(e % 6 == 0, TXT_SFOUL).when(e % 6 == 1, TXT_TEAM_REB)
               .when(e % 6 == 2, TXT_REB).when(e % 6 == 3, TXT_CHARGE)
               .when(e % 6 == 4, TXT_GOALTEND).when(e % 12 == 5, TXT_KICK).otherwise(TXT_DEF3))
-        .when(timeout, F.concat(F.upper("n_name"), F.when(e % 8 == 0, F.lit(" Timeout: Regular"))
+        .when(timeout, F.concat(F.upper(_nickname(F.col("team_key"))), F.when(e % 8 == 0, F.lit(" Timeout: Regular"))
                                 .otherwise(F.lit(" Timeout: Excess"))))
         .otherwise(TXT_DUNK_MISS)
     )
@@ -105,7 +110,7 @@ def pbp(spark: SparkSession, sf_dir: str, chunk_size=None) -> DataFrame:
     p2 = F.when((pts >= 2) & (e % 5 != 0), e % 23)
     p3 = F.when(blocked, e % 29)
     d = d.select(
-        "GAME_ID", "EVENTNUM", "PERIOD", "PCTIMESTRING",
+        "GAME_ID", "EVENTNUM", "SEASON", "PERIOD", "PCTIMESTRING",
         F.when(home, text).otherwise(other).alias("HOMEDESCRIPTION"),
         F.when(home, other).otherwise(text).alias("VISITORDESCRIPTION"),
         p1.alias("PLAYER1_ID"), F.concat(F.lit("p"), p1.cast("string")).alias("PLAYER1_NAME"),
@@ -120,7 +125,7 @@ def pbp(spark: SparkSession, sf_dir: str, chunk_size=None) -> DataFrame:
     h, v = F.col("_hp_run"), F.col("_vp_run")
     scoring = F.col("_pts") > 0
     return d.select(
-        "GAME_ID", "EVENTNUM", "PERIOD", "PCTIMESTRING", "HOMEDESCRIPTION", "VISITORDESCRIPTION",
+        "GAME_ID", "EVENTNUM", "SEASON", "PERIOD", "PCTIMESTRING", "HOMEDESCRIPTION", "VISITORDESCRIPTION",
         F.when(scoring, F.concat(v.cast("string"), F.lit(" - "), h.cast("string"))).alias("SCORE"),
         F.when(scoring, F.when(h == v, F.lit("TIE")).otherwise((h - v).cast("string"))).alias("SCOREMARGIN"),
         "PLAYER1_ID", "PLAYER1_NAME", "PLAYER2_ID", "PLAYER2_NAME", "PLAYER3_ID", "PLAYER3_NAME",

@@ -37,23 +37,20 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
-
-    Reads ``spark.checkpoint.dir`` from the session (on a cluster this names a
-    shared filesystem).  Only when it is unset -- local tests -- a folder
-    under the system temp dir is configured.
-    """
+    """Shared folder for checkpoints and intermediate tables: the session's
+    ``spark.checkpoint.dir``.  It must be set on a cluster; only a local session
+    (tests) gets a temporary folder where it is unset."""
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not d:
-        try:
-            d = spark.conf.get("spark.checkpoint.dir", None)
-        except Exception:  # not a SQL conf on every deployment
-            d = None
+    d = sc.getConf().get("spark.checkpoint.dir", None) or _LOCAL.get(sc.applicationId)
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
-        d = tempfile.mkdtemp(prefix="courtstats-ckpt-")
+        d = _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="courtstats-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
+
+
+_LOCAL: dict[str, str] = {}

@@ -26,15 +26,13 @@ def read_many(spark: SparkSession, paths: list[str], schema, fmt: str = "parquet
     return df.withColumn(lineage, F.col("_metadata.file_path"))
 
 
-def missing_ids(spark: SparkSession, present: DataFrame, key: str, lo: int, hi: int,
-                name: str = "id") -> DataFrame:
-    """Backfill check: ids in ``lo..hi`` absent from ``present`` ('missing') and
-    present ids outside the expected set ('unexpected').  The expected range
-    is generated by ``spark.range`` across partitions, never on the driver."""
-    expected = spark.range(lo, hi + 1).toDF(name)
+def missing_ids(present: DataFrame, expected: DataFrame, key: str, name: str = "id") -> DataFrame:
+    """Backfill check: expected ids absent from ``present`` ('missing') and present
+    ids that are not expected ('unexpected'): two anti joins on the key."""
+    want = expected.select(F.col(key).alias(name)).distinct()
     have = present.select(F.col(key).alias(name)).distinct()
-    missing = expected.join(have, name, "left_anti").withColumn("status", F.lit("missing"))
-    unexpected = have.join(expected, name, "left_anti").withColumn("status", F.lit("unexpected"))
+    missing = want.join(have, name, "left_anti").withColumn("status", F.lit("missing"))
+    unexpected = have.join(want, name, "left_anti").withColumn("status", F.lit("unexpected"))
     return missing.unionByName(unexpected)
 
 

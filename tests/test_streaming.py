@@ -23,3 +23,10 @@ def test_incremental_ingest_is_exactly_once(spark):
     q2 = ingest_new_files(spark, f"{SF}/events*.parquet", **kw)
     q2.awaitTermination(300)
     assert spark.read.parquet(out).count() == expected
+
+
+def test_new_session_resumes_from_the_same_checkpoint(spark, tmp_path):
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    for session in (spark, spark.newSession()):
+        ingest_new_files(session, f"{SF}/events*.parquet", TABLE_SCHEMAS["events"], out, "resume", ck).awaitTermination(300)
+    assert spark.read.parquet(out).count() == table(spark, SF, "events").count()

@@ -28,7 +28,7 @@ from courtstats.llm.common import BASE_A, BASE_B, RangeHash, binary_column, byte
 
 GRAM, LEAST_SEEDS, NEAR_RARE, THRESHOLD, BLOCK_ITEMS = 3, 4, 4, 0.5, 5_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-SLICE = 1 << 22
+SLICE = 1 << 19
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -37,19 +37,27 @@ _PLAIN = np.array([chr(c).isalnum() if c < 128 else True for c in range(256)])
 
 def words(buf: np.ndarray, off: np.ndarray):
     """Hashes of the folded words of concatenated texts and the text of each word;
-    words without a letter or digit are left out."""
-    if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    words without a letter or digit are left out.  Works on blocks of words, so
+    that a very long text takes little more than itself."""
     start, end = word_bounds(buf, off)
-    at = np.arange(len(buf))
-    plain = _PLAIN[buf]
-    after = np.minimum.accumulate(np.where(plain, at, len(buf))[::-1])[::-1]  # next plain byte
-    before = np.maximum.accumulate(np.where(plain, at, -1))
-    s, e = after[start], before[end - 1] + 1
-    keep = s < e
-    s, e = s[keep], e[keep]
-    h = RangeHash(byte_symbols(_FOLD[buf]), BASE_A).of(s, e)
-    return h, np.searchsorted(off, s, side="right") - 1
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE)))
+        base = int(start[i])
+        part = buf[base:end[j - 1]]
+        at = np.arange(len(part), dtype=np.int32)
+        plain = _PLAIN[part]
+        after = np.minimum.accumulate(np.where(plain, at, np.int32(len(part)))[::-1])[::-1]  # next plain byte
+        before = np.maximum.accumulate(np.where(plain, at, np.int32(-1)))
+        s = after[start[i:j] - base].astype(np.int64)
+        e = before[end[i:j] - base - 1].astype(np.int64) + 1
+        keep = s < e
+        s, e = s[keep], e[keep]
+        hashes.append(RangeHash(byte_symbols(_FOLD[part]), BASE_A).of(s, e))
+        places.append(s + base)
+        i = j
+    return np.concatenate(hashes), np.searchsorted(off, np.concatenate(places), side="right") - 1
 
 
 def grams(h: np.ndarray, doc: np.ndarray, n: int = GRAM):
@@ -229,4 +237,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with all their columns (rows
     that share the doc_id of a contaminated row go with it)."""
     bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]), "left_anti")

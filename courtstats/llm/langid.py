@@ -24,11 +24,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtstats.llm.common import crc_mod, materialise
+from courtstats.llm.common import crc_mod, materialise, slices
 
 DIMS, CLUSTERS, SAMPLE, ROUNDS, SEED = 4096, 4, 400, 8, 42
 MARGIN, SHARPNESS, SHORT = 0.1, 20.0, 200
-CHUNK = 1 << 21
+CHUNK, SLICE = 1 << 19, 1 << 20
 
 
 def _letter_table() -> np.ndarray:
@@ -92,7 +92,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS, clusters: int =
     """The model: names, centroids, idf and the cosine floor per length."""
     import pandas as pd
 
-    train = docs.where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    train = (docs.select("doc_id", "lang", "text")
+             .where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     pick = (train.select("lang", "doc_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
             .select(F.col("lang").alias("_l"), F.col("doc_id").alias("_i")).distinct())
@@ -164,7 +165,7 @@ def predict(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            got = list(_label(b.column("_t").to_pylist(), shared.value))
+            got = [g for part in slices(b, SLICE, "_t") for g in _label(part.column("_t").to_pylist(), shared.value)]
             cols = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + cols,
                                              [*keep, "lang_pred", "score", "rejected"])
@@ -185,7 +186,8 @@ def drop_rejected(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = [g[2] for g in _label(b.column("text").to_pylist(), shared.value)]
-            yield b.filter(pa.array([not x for x in out], pa.bool_()))
+            for part in slices(b, SLICE):
+                out = [g[2] for g in _label(part.column("text").to_pylist(), shared.value)]
+                yield part.filter(pa.array([not x for x in out], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

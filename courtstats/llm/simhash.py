@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE_WORDS)
 
     def run(batches):
         for b in batches:
-            fp = [fingerprint(t, shingle) for t in b.column("_t").to_pylist()]
+            fp = [fingerprint(t.as_py(), shingle) for t in b.column("_t")]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(fp, pa.int64())], [*keep, "fp"])
 
     return src.mapInArrow(run, schema)
@@ -115,7 +115,7 @@ def first_of_groups(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
     id keeps one row likewise."""
     cols = list(docs.columns)
     nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in cols])
-    d = docs.withColumn("__h", F.xxhash64(*cols, nulls))
+    d = docs.select(F.struct(*cols).alias("__row"), "doc_id", "text", F.xxhash64(*cols, nulls).alias("__h"))
     fps = groups(d, ["doc_id", "__h"], shingle, max_bits)
     heads = (fps.groupBy("root", "doc_id", "__h", "fp").agg(F.count("*").alias("n"))
              .groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", F.col("__h").alias("h"), "n")).alias("o"))
@@ -124,4 +124,4 @@ def first_of_groups(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
     match = F.col("__h").eqNullSafe(F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     one = d.join(heads.where("__n = 1"), match, "left_semi")
     many = d.join(heads.where("__n > 1"), match, "left_semi").dropDuplicates(["__h"])
-    return one.unionByName(many).select(*cols)
+    return one.unionByName(many).select("__row.*")

@@ -454,6 +454,15 @@ def brute_align(a, b):
     return int(h.max())
 
 
+def test_words_do_not_depend_on_blocks(monkeypatch):
+    buf = np.frombuffer("a, ..b!! (Cé) --- x1 \t##d## e".encode() * 30, np.uint8)
+    off = np.array([0, 11, len(buf)])
+    whole = decontam.words(buf, off)
+    monkeypatch.setattr(decontam, "SLICE", 7)
+    cut = decontam.words(buf, off)
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all() and len(whole[0]) > 100
+
+
 def test_alignment():
     rng = np.random.default_rng(0)
     for _ in range(60):

@@ -10,7 +10,7 @@ vectorised over words of the same length.  Single bytes are pieces, so every tex
 a segmentation.
 
 The base model is the add-0.1 unigram model over words and the end symbol.  Counts of
-the ``TOP`` most frequent words go to every task (a fixed bound); all other words of a
+at most ``TOP`` of the most frequent words go to every task (a fixed bound); all other words of a
 document meet the count table in an equi-join, so the result is exact at any
 vocabulary size and no hot key enters the join.
 
@@ -186,6 +186,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(types: DataFrame, top: int) -> DataFrame:
+    """The words above a count that at most ``top`` words reach: the count is read
+    off a histogram in steps of 2 ** (1 / 16), so no task sends more than it keeps."""
+    step = F.floor(F.log2("c") * 16).cast("int")
+    least, total = None, 0
+    for r in sorted(types.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.s):
+        total += r.n
+        if total > top:
+            break
+        least = r.s
+    return types.where(F.lit(False) if least is None else step >= least)
+
+
 def fit(docs: DataFrame, vocabulary: str = VOCABULARY, top: int = TOP, rounds: int = ROUNDS) -> dict:
     """Count table and lattice weights from the training documents."""
     import pyarrow as pa
@@ -219,7 +232,7 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, top: int = TOP, rounds: i
         whole = e.sum() + ends + SMOOTH
         logp = np.log(e / whole)
     end = np.log((ends + SMOOTH) / whole) if rounds else 0.0
-    head = types.orderBy(F.desc("c"), "word").limit(top).collect()  # at most ``top`` rows
+    head = frequent(types, top).collect()  # at most ``top`` rows
     return {"types": types, "n": int(n) + ends, "v": int(v) + (ends > 0), "ends": ends, "pieces": pieces, "logp": logp,
             "end": float(end), "top": {bytes(r.word): r.c for r in head}}
 

@@ -125,7 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     lab = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     ids = docs.where(crc_mod("doc_id", 3) != 1).select("doc_id").distinct()
     pick = lab.join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = materialise(docs.select("doc_id", "text").join(pick, "doc_id").select(
+    # at most ``sample`` ids: small enough to send to the texts
+    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select(
         "y", F.coalesce("text", F.lit("")).cast("binary").alias("text")), "toxic-train")
 
     def split(frames):

@@ -97,7 +97,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS, clusters: int =
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     pick = (train.select("lang", "doc_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
             .select(F.col("lang").alias("_l"), F.col("doc_id").alias("_i")).distinct())
-    rows = train.join(pick, (F.col("lang") == F.col("_l")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi")
+    # at most ``sample`` ids per language: small enough to send to the texts
+    rows = train.join(F.broadcast(pick), (F.col("lang") == F.col("_l")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi")
 
     def vectors(frames):
         for f in frames:

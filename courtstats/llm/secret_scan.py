@@ -146,10 +146,10 @@ def _found(docs: DataFrame, keep: Column, fdr: float) -> DataFrame:
     line = (grid.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
             .withColumn("below", F.sum("n").over(Window.orderBy(F.col("g").desc())))
             .where(F.pow(F.lit(10.0), -F.col("g") / 20) <= fdr * F.col("below") / F.col("total"))
-            .agg(F.min("g").alias("line")).withColumn("_one", F.lit(1)))
-    d = d.withColumn("_one", F.lit(1)).join(F.broadcast(line), "_one", "left").drop("_one")  # one row
+            .agg(F.min("g")).first()[0])  # one number
+    line = F.lit(line if line is not None else 1000)
     d = d.withColumn("base", F.array_sort(F.concat("a", "k", "h")))
-    extra = F.filter("c", lambda m: m["b"]["fits"] & (_grid(m["b"]["p0"]) >= F.col("line"))
+    extra = F.filter("c", lambda m: m["b"]["fits"] & (_grid(m["b"]["p0"]) >= line)
                      & ~F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
     extra = F.transform(extra, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"),
                                                   m["end"].alias("end"))).cast(SPAN)

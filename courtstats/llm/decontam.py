@@ -1,16 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are compared lower-cased and without leading and trailing characters other than
 letters and digits.  The test items are taken in blocks of ``BLOCK_ITEMS`` by item hash,
-so what a task holds is bounded; every block meets all documents.  Pass one counts,
-over the whole corpus, in how many documents each of a block's ``GRAM``-word grams
-occurs.  An item's seeds are the rarer half of its grams (at least ``LEAST_SEEDS``), and all that
-are at most ``NEAR_RARE`` times as frequent as its rarest: a rank within the item, so an
-item that leaked into a third of the documents still has seeds.  Pass two finds the
-seeds in every document, cuts the document about them into windows, skips windows whose
-words cannot reach the threshold, and aligns the others (match 2, mismatch -1, gap
--1).  A window whose score is at least ``THRESHOLD`` of the item's best possible
-score is contaminated; a document and an item form one row, with their best window.
+so what a task holds is bounded; every block meets all documents.  Every ``GRAM``-word
+gram of an item is a seed, however frequent it is: which grams an edited copy keeps does
+not depend on their frequency.  One pass finds the seeds in every document, cuts the
+document about them into windows, skips windows whose words cannot reach the threshold,
+and aligns the others (match 2, mismatch -1, gap -1).  A window whose score is at least
+``THRESHOLD`` of the item's best possible score is contaminated; a document and an item
+form one row, with their best window.  A copy that keeps no ``GRAM`` consecutive words
+has no seed and is not found.
 
 Defined cases: null and empty texts are never contaminated; items without a word are
 skipped; items shorter than ``GRAM`` words are their own single gram; repeated
@@ -26,9 +25,9 @@ from pyspark.sql import functions as F
 
 from courtstats.llm.common import BASE_A, BASE_B, RangeHash, binary_column, byte_symbols, slices, word_bounds
 
-GRAM, LEAST_SEEDS, NEAR_RARE, THRESHOLD, BLOCK_ITEMS = 3, 4, 4, 0.5, 5_000
+GRAM, THRESHOLD, BLOCK_ITEMS = 3, 0.5, 5_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-SLICE = 1 << 19
+SLICE, HITS = 1 << 19, 1 << 19
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -112,98 +111,117 @@ def _items(rows) -> list[tuple]:
     return out
 
 
-def _counts(docs: DataFrame, items: list[tuple]) -> dict[int, int]:
-    """Documents in which each gram of the items occurs."""
-    import pyarrow as pa
+def _index(items: list[tuple]):
+    """By gram size: the items' grams, and the items that hold each."""
+    index = {}
+    for n in sorted({i[3] for i in items}):
+        own = [k for k, i in enumerate(items) if i[3] == n]
+        seeds = [np.unique(items[k][2]) for k in own]
+        look = Lookup(np.concatenate(seeds))
+        rank = np.concatenate([np.searchsorted(look.keys, s) for s in seeds])
+        item = np.repeat(own, [len(s) for s in seeds])
+        order = np.lexsort((item, rank))
+        index[n] = look, np.searchsorted(rank[order], np.arange(len(look.keys) + 1)), item[order]
+    return index
+
+
+def _windows(h: np.ndarray, d: np.ndarray, edges: np.ndarray, n: int, entry, size: np.ndarray):
+    """(items, texts, starts, ends) of the windows about seeds that are near each other,
+    from about HITS seeds at a time.  An alignment that reaches the threshold has at most
+    twice the item's words, so it lies in the window of any seed it holds."""
+    look, start, owner = entry
+    g, first = grams(h, d, n)
+    at, rank = look.find(g)
+    place = first[at]
+    doc, count = d[place], start[rank + 1] - start[rank]
+    total = np.cumsum(count)
+    i = 0
+    while i < len(place):
+        j = max(i + 1, int(np.searchsorted(total, total[i] - count[i] + HITS, side="right")))
+        if j < len(place):  # whole texts, where one does not exceed it
+            whole = int(np.searchsorted(doc, doc[j]))
+            j = whole if whole > i else j
+        c = count[i:j]
+        k = owner[np.arange(c.sum()) + np.repeat(start[rank[i:j]] - (np.cumsum(c) - c), c)]
+        p, t = np.repeat(place[i:j], c), np.repeat(doc[i:j], c)
+        order = np.lexsort((p, k, t))
+        k, p, t = k[order], p[order], t[order]
+        reach = 2 * size[k]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(k) != 0) | (np.diff(t) != 0) | (np.diff(p) > reach[1:])]))
+        last = np.append(new[1:], len(k)) - 1
+        yield (k[new], t[new], np.maximum(edges[t[new]], p[new] - reach[new]),
+               np.minimum(edges[t[new] + 1], p[last] + reach[new]))
+        i = j
 
-    lookups = {n: Lookup(np.concatenate([g for _, _, g, m in items if m == n])) for n in {i[3] for i in items}}
-    shared = docs.sparkSession.sparkContext.broadcast(lookups)
 
-    def run(batches):
-        total: dict[int, int] = {}
-        for b in batches:
-            for part in slices(b, SLICE):
-                h, d = words(*binary_column(part.column("text")))
-                for n, look in shared.value.items():
-                    g, first = grams(h, d, n)
-                    at, rank = look.find(g)
-                    pair = np.unique(rank * part.num_rows + d[first[at]])
-                    for k, c in zip(*np.unique(pair // part.num_rows, return_counts=True)):
-                        key = int(look.keys[k].astype(np.int64)), n
-                        total[key] = total.get(key, 0) + int(c)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in total], pa.int64()), pa.array([k[1] for k in total], pa.int32()),
-             pa.array(list(total.values()), pa.int64())], ["g", "n", "c"])
-
-    got = docs.select("text").mapInArrow(run, "g long, n int, c long").groupBy("g", "n").agg(F.sum("c").alias("c"))
-    return {(r.g, r.n): r.c for r in got.collect()}  # bounded by the block's grams
-
-
-def _seeds(items: list[tuple], df: dict) -> list[np.ndarray]:
-    out = []
-    for _, _, g, n in items:
-        g = np.unique(g)
-        c = np.array([df.get((int(x.astype(np.int64)), n), 0) for x in g])
-        order = np.lexsort((g, c))
-        take = max(LEAST_SEEDS, (len(g) + 1) // 2)
-        near = c <= NEAR_RARE * max(1, int(c.min()))
-        near[order[:take]] = True
-        out.append(g[near])
+def _pieces(k, t, a, z, size):
+    """The windows; a long one as overlapping pieces."""
+    step = 4 * size[k]
+    many = -(-(z - a) // step)
+    k, t, a, z, step = (np.repeat(x, many) for x in (k, t, a, z, step))
+    c = a + step * (np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many))
+    return k, t, np.maximum(a, c - step // 2), np.minimum(z, c + step)
+
+
+def _bounds(word: np.ndarray, pairs: np.ndarray, things: int, k: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """An upper bound of each piece's alignment score: the best stretch where words of
+    the item count as matches and all others as mismatches or gaps."""
+    out = np.zeros(len(k), np.int64)
+    total = np.cumsum(e - s)
+    i = 0
+    while i < len(k):
+        j = max(i + 1, int(np.searchsorted(total, total[i] - (e[i] - s[i]) + HITS, side="right")))
+        long = e[i:j] - s[i:j]
+        off = np.cumsum(long) - long
+        piece = np.repeat(np.arange(j - i), long)
+        w = word[np.arange(len(piece)) + np.repeat(s[i:j] - off, long)]
+        known = np.flatnonzero(w >= 0)
+        pair = w[known] * things + k[i:j][piece[known]]
+        gain = np.full(len(piece), max(MISMATCH, GAP), np.int64)
+        gain[known[pairs[np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)] == pair]] = MATCH
+        up = np.cumsum(gain) - (MATCH + 1) * (len(piece) + 1) * piece  # every piece below those before it
+        out[i:j] = np.maximum.reduceat(up - np.minimum.accumulate(up - gain), off)
+        i = j
     return out
 
 
-def _find(docs: DataFrame, items: list[tuple], seeds: list[np.ndarray]) -> DataFrame:
+def _find(docs: DataFrame, items: list[tuple]) -> DataFrame:
     import pyarrow as pa
 
-    sizes = sorted({i[3] for i in items})
-    index = {}
-    for n in sizes:
-        own = [k for k, i in enumerate(items) if i[3] == n]
-        look = Lookup(np.concatenate([seeds[k] for k in own]))
-        pairs = sorted((int(np.searchsorted(look.keys, s)), k) for k in own for s in seeds[k])
-        start = np.searchsorted([p for p, _ in pairs], np.arange(len(look.keys) + 1))
-        index[n] = look, start, np.array([k for _, k in pairs])
-    shared = docs.sparkSession.sparkContext.broadcast((items, index))
+    vocab = Lookup(np.concatenate([i[1] for i in items]))
+    pairs = np.unique(np.concatenate([np.searchsorted(vocab.keys, i[1]) * len(items) + k for k, i in enumerate(items)]))
+    shared = docs.sparkSession.sparkContext.broadcast(
+        ([(i[0], i[1]) for i in items], _index(items), vocab, pairs))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches):
-        things, idx = shared.value
-        common = [set(i[1].tolist()) for i in things]
+        things, index, vocab, pairs = shared.value
+        size = np.array([len(w) for _, w in things])
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             out, base = [], 0
             for part in slices(b, SLICE):
                 h, d = words(*binary_column(part.column("text")))
-                hits: dict[tuple[int, int], list[int]] = {}
-                for n, (look, start, owner) in idx.items():
-                    g, first = grams(h, d, n)
-                    for at, rank in zip(*look.find(g)):
-                        p = int(first[at])
-                        for k in owner[start[rank]:start[rank + 1]].tolist():
-                            hits.setdefault((int(d[p]), k), []).append(p)
-                for (doc, k), places in hits.items():
-                    _, words_k, _, _ = things[k]
-                    m = len(words_k)
-                    lo, hi = np.searchsorted(d, [doc, doc + 1])
-                    best = None
-                    places.sort()
-                    at = 0
-                    while at < len(places):  # windows about hits that are near each other
-                        end = at
-                        while end + 1 < len(places) and places[end + 1] - places[end] <= m:
-                            end += 1
-                        a, z = max(lo, places[at] - m), min(hi, places[end] + 2 * m)
-                        at = end + 1
-                        for c in range(a, z, 4 * m):  # a long window goes in overlapping pieces
-                            text = h[max(a, c - 2 * m):min(z, c + 4 * m)]
-                            possible = MATCH * min(m, sum(x in common[k] for x in text.tolist()))
-                            if possible < THRESHOLD * MATCH * m or best and possible <= best[0]:
+                edges = np.searchsorted(d, np.arange(part.num_rows + 1))
+                word = np.full(len(h), -1, np.int64)
+                at, rank = vocab.find(h)
+                word[at] = rank
+                best: dict[tuple[int, int], tuple[int, int]] = {}
+                for n, entry in index.items():
+                    for window in _windows(h, d, edges, n, entry, size):
+                        k, t, s, e = _pieces(*window, size)
+                        top = np.minimum(_bounds(word, pairs, len(things), k, s, e), MATCH * size[k])
+                        for x in np.flatnonzero(top >= THRESHOLD * MATCH * size[k]).tolist():
+                            pair = int(t[x]), int(k[x])
+                            if pair in best and top[x] <= best[pair][0]:
                                 continue
-                            s = align(words_k, text)
-                            if best is None or s > best[0]:
-                                best = s, max(a, c - 2 * m) - lo
-                    if best and best[0] >= THRESHOLD * MATCH * m:
-                        out.append((ids[base + doc], things[k][0], best[0], best[0] / (MATCH * m), int(best[1])))
+                            score = align(things[pair[1]][1], h[s[x]:e[x]])
+                            if pair not in best or score > best[pair][0]:
+                                best[pair] = score, int(s[x] - edges[pair[0]])
+                for (doc, k), (score, place) in sorted(best.items()):
+                    m = len(things[k][1])
+                    if score >= THRESHOLD * MATCH * m:
+                        out.append((ids[base + doc], things[k][0], score, score / (MATCH * m), place))
                 base += part.num_rows
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
@@ -227,7 +245,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
         rows = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()  # about block_items rows
         items = _items(rows)
         if items:
-            found = _find(d, items, _seeds(items, _counts(d, items)))
+            found = _find(d, items)
             out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame(
         [], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, align_score long, share double, first_word long")

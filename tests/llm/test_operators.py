@@ -499,3 +499,44 @@ def test_decontamination(spark, docs, rows, empty):
     kept = decontam.drop_contaminated(d, bench)
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in text} - {i for i, _ in want}
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(d, bench.limit(0)).count() == 0
+
+
+def test_edited_copies_in_many_documents(spark):
+    w = [f"word{i}" for i in range(40)]
+    keep = lambda hold: " ".join(x if hold(i) else f"other{i}" for i, x in enumerate(w))
+    texts = {i: f"Text {i} begins. " + keep(lambda i: i % 5) + f" Text {i} ends." for i in range(150)}
+    texts[150] = "whole " + " ".join(w)  # the grams that the edits broke are rare, not missing
+    texts[151] = "most " + keep(lambda i: i % 5 or i > 20)
+    texts |= {i: " ".join(w[5:8]) + f" phrase of text {i}" for i in range(200, 400)}
+    texts[400] = " ".join(f"{x} more{i}" for i, x in enumerate(w[:-3])) + " " + " ".join(w[-3:])  # insertions before the seed
+    bench = frame(spark, [(1, " ".join(w)), (2, "nothing like it anywhere here")], "item_id long, text string")
+    d = frame(spark, list(texts.items()), "doc_id long, text string")
+    for docs in (d, d.where("doc_id < 150")):
+        got = {r.doc_id: r.align_score for r in decontam.contaminated(docs, bench).collect()}
+        want = {i: decontam.align(*(decontam.words(b := np.frombuffer(t.encode(), np.uint8), np.array([0, len(b)]))[0]
+                                    for t in (" ".join(w), texts[i]))) for i in (r.doc_id for r in docs.collect())}
+        assert got == {i: s for i, s in want.items() if s >= 40} and set(range(150)) <= set(got)
+
+
+def test_windows_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(5)
+    items = [(i, x, decontam.grams(x, np.zeros(len(x), np.int64))[0], 3) for i, x in
+             enumerate(rng.integers(0, 5, m).astype(np.uint64) for m in (4, 9, 20))]
+    h, d = rng.integers(0, 9, 3000).astype(np.uint64), np.repeat([0, 1, 3, 4], [5, 95, 2400, 500])
+    edges, size = np.searchsorted(d, np.arange(6)), np.array([4, 9, 20])
+    pairs = np.unique(np.concatenate([x.astype(np.int64) * 3 + i for i, x, _, _ in items]))
+
+    def run():
+        cover, best = set(), Counter()
+        for w in decontam._windows(h, d, edges, 3, decontam._index(items)[3], size):
+            k, t, s, e = decontam._pieces(*w, size)
+            top = decontam._bounds(h.astype(np.int64), pairs, 3, k, s, e)
+            for i, j, a, z, b in zip(k.tolist(), t.tolist(), s.tolist(), e.tolist(), top.tolist()):
+                score = decontam.align(items[i][1], h[a:z])
+                assert b >= score and (d[a:z] == j).all()
+                cover |= {(i, x) for x in range(a, z)}
+                best[i, j] = max(best[i, j], score)
+        return cover, best
+    whole = run()
+    monkeypatch.setattr(decontam, "HITS", 7)
+    assert run() == whole and len(whole[1]) > 6

@@ -2,7 +2,7 @@
 
 Base kinds are found leftmost and non-overlapping per kind: ``assign``
 (keyword, separator, value), ``access`` (AKIA...) and ``hex`` runs; matches that
-are too short are dropped after matching.  The battery adds kind ``random``: runs
+are too short are dropped after matching.  The battery adds kind ``random``: pieces
 of 20 or more key characters whose encoding is inferred (hex, base32, base36,
 base62, base64) and which
 
@@ -15,6 +15,11 @@ base62, base64) and which
   Benjamini-Hochberg at ``fdr`` (on a grid of 1/20 decades, each rounded up, so never
   less strict).
 
+A run of key characters is tested in its maximal pieces of one encoding: '=' ends a piece,
+and where there are '/', '+', '_' or '-', the pieces of base64, of URL-safe base64 and of
+letters and digits alone are each a test (equal ones once).  So a key glued to a name or
+a path is tested by itself.  Of found pieces inside one another the longest counts.
+
 Only DataFrame functions are used.  Offsets are code points, ends exclusive.
 
 Defined cases: a null text is an empty text (no spans, hash of the empty text);
@@ -35,6 +40,7 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+PIECES = (r"[A-Za-z0-9+/]{20,}=*", r"[A-Za-z0-9_-]{20,}=*", r"[A-Za-z0-9]{20,}=*")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
     (r"^[0-9a-f]+$", "0123456789abcdef"),
@@ -82,6 +88,17 @@ def _upper(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * z + 0.070565 * z * z * z))
 
 
+def _candidates(text: Column) -> Column:
+    """Structs (start, hit) of the candidates: runs of key characters, those with other
+    characters than letters and digits as their maximal pieces of one encoding."""
+    def pieces(m: Column) -> Column:
+        cut = F.array_distinct(F.flatten(F.array(*[F.transform(_matches(m["hit"], p), lambda x: F.struct(
+            (m["start"] + x["start"]).alias("start"), x["hit"].alias("hit"))) for p in PIECES])))
+        return F.when(m["hit"].rlike("[+/_=-]"), cut).otherwise(
+            F.array(F.struct(m["start"].alias("start"), m["hit"].alias("hit"))))
+    return F.flatten(F.transform(_matches(text, CANDIDATE), pieces))
+
+
 def battery(token: Column) -> Column:
     """Struct (fits, p0) of one candidate: ``fits``: it passes the three tests;
     ``p0``: how likely ordinary text of its length would look as uniform.  Null
@@ -136,7 +153,7 @@ def _found(docs: DataFrame, keep: Column, fdr: float) -> DataFrame:
                     _spans(_matches(text, ACCESS), "access", "hit").alias("k"),
                     F.when(text.rlike(r"[0-9a-f]{32}"), _spans(_matches(text, HEX), "hex", "hit"))
                     .otherwise(none).alias("h"),
-                    _matches(text, CANDIDATE).alias("c"))
+                    _candidates(text).alias("c"))
     d = d.withColumn("c", F.transform("c", lambda m: F.struct(
         m["start"].alias("start"), (m["start"] + F.length(m["hit"])).alias("end"), battery(m["hit"]).alias("b"))))
     d = materialise(d.withColumn("c", F.filter("c", lambda m: m["b"]["p0"].isNotNull())), "secrets")
@@ -151,6 +168,8 @@ def _found(docs: DataFrame, keep: Column, fdr: float) -> DataFrame:
     d = d.withColumn("base", F.array_sort(F.concat("a", "k", "h")))
     extra = F.filter("c", lambda m: m["b"]["fits"] & (_grid(m["b"]["p0"]) >= line)
                      & ~F.exists("base", lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+    extra = F.transform(F.array(extra), lambda x: F.filter(x, lambda m: ~F.exists(x, lambda o: (
+        o["start"] <= m["start"]) & (m["end"] <= o["end"]) & (m["end"] - m["start"] < o["end"] - o["start"]))))[0]
     extra = F.transform(extra, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"),
                                                   m["end"].alias("end"))).cast(SPAN)
     return d.withColumn("found", F.array_sort(F.concat("base", extra)))

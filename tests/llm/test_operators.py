@@ -292,6 +292,30 @@ def test_secrets(spark, docs, rows, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_secrets_glued_to_names(spark):
+    rng = np.random.default_rng(11)
+    base62 = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+    def random(n, more=""):
+        return "".join(rng.choice(base62 + list(more), n - 2)) + "7k"
+    shapes = [("export AWS_SECRET_ACCESS_KEY=", random(40, "+/"), ""), ("session=", random(28), "; path"),
+              ("GET https://host/x?auth=", random(32), "&b=1"), ("see files/a_b/", random(32), " there"),
+              ("long_name-of_a_key/", random(30, "-_"), "=="), ("A=b=c=", random(32), "=/etc/some_path"),
+              ("/srv/data/files/of/that/user/", random(28), "/and/some/other/folder/of/words"), ("blank ", random(32), " end")]
+    d = frame(spark, [(i, a + t + z, None, None, 0) for i, (a, t, z) in enumerate(shapes)]
+              + [(99, "a_long_name/of-some_thing/in=the_configuration/file-of_words/" * 3, None, None, 0)])
+    for r in secret_scan.scan(d).collect():
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("random")]
+        if r.doc_id == 99:
+            assert not spans
+            continue
+        a, t, _ = shapes[r.doc_id]
+        assert len(spans) == 1 and spans[0][0] <= len(a) and len(a) + len(t) <= spans[0][1], (a, r.spans)
+        assert spans[0][0] == len(a) or r.doc_id in (3, 4, 6), (a, r.spans)  # these may hold a piece of the path
+    clean = {r.doc_id: r.text for r in secret_scan.redact(d).collect()}
+    assert clean[1] == "session=[secret]; path" and clean[2] == "GET https://host/x?auth=[secret]&b=1"
+
+
 def test_redaction(spark, docs, empty):
     d = frame(spark, [(1, "x token=abcdefgh12 y " + "0123456789abcdef" * 2, "en", "s", 53), (2, "clean", "en", "s", 5),
                       (3, None, None, None, None), (4, "token=" + "0123456789abcdef" * 2, "en", "s", 38)]).withColumn("a", F.lit(1))

@@ -3,8 +3,8 @@
 Base kinds are found leftmost and non-overlapping per kind: ``assign``
 (keyword, separator, value), ``access`` (AKIA...) and ``hex`` runs; matches that
 are too short are dropped after matching.  The battery adds kind ``random``: pieces
-of 20 or more key characters whose encoding is inferred (hex, base32, base36,
-base62, base64) and which
+of 20 or more key characters whose encoding is inferred (decimal, letters of one
+case or of both, hex, base32, base36, base62, base64) and which
 
 * pass three tests of uniform randomness over that alphabet -- chi-squared
   frequency, Wald-Wolfowitz runs about the alphabet's middle, lag-one serial
@@ -43,6 +43,10 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 PIECES = (r"[A-Za-z0-9+/]{20,}=*", r"[A-Za-z0-9_-]{20,}=*", r"[A-Za-z0-9]{20,}=*")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
+    (r"^[0-9]+$", DIGITS),
+    (r"^[a-z]+$", LOWER),
+    (r"^[A-Z]+$", UPPER),
+    (r"^[A-Za-z]+$", UPPER + LOWER),
     (r"^[0-9a-f]+$", "0123456789abcdef"),
     (r"^[0-9A-F]+$", "0123456789ABCDEF"),
     (r"^[A-Z2-7]+=*$", UPPER + "234567"),
@@ -102,7 +106,7 @@ def _candidates(text: Column) -> Column:
 def battery(token: Column) -> Column:
     """Struct (fits, p0) of one candidate: ``fits``: it passes the three tests;
     ``p0``: how likely ordinary text of its length would look as uniform.  Null
-    p0: not a candidate (no encoding, or letters or digits only)."""
+    p0: not a candidate (no encoding, or neither a letter nor a digit)."""
     body = F.rtrim(token, F.lit("="))
     alphabet = None
     for pattern, letters in ENCODINGS:
@@ -135,7 +139,7 @@ def _stats(x: Column) -> Column:
     mean = (1 + (n - 1) * F.greatest(r, 1.5 / k)) * k - n
     sd = F.sqrt(2 * r * (1 - r) * n * (n - 1)) * k / n
     p0 = _upper((mean - chi) / sd)
-    ok = a.isNotNull() & t.rlike("[0-9]") & t.rlike("[A-Za-z]") & (n >= 20)
+    ok = a.isNotNull() & t.rlike("[0-9A-Za-z]") & (n >= 20)
     return F.struct((F.least(p1, p2, p3) * 3 >= PASS_P).alias("fits"), F.when(ok, p0).alias("p0"))
 
 

@@ -316,6 +316,18 @@ def test_secrets_glued_to_names(spark):
     assert clean[1] == "session=[secret]; path" and clean[2] == "GET https://host/x?auth=[secret]&b=1"
 
 
+def test_secrets_of_letters_or_digits_only(spark):
+    rng = np.random.default_rng(12)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    keys = {i: "".join(rng.choice(list(a), n)) for i, (a, n) in enumerate(
+        [(lower, 48), (upper, 48), (lower + upper, 32), (digits, 31), (lower + upper, 40), (upper + "234567", 48)])}
+    plain = {20: lower + lower, 21: "=" * 30 + "-" * 30 + "_" * 30, 22: "z" * 40, 23: "0" * 31,
+             24: "internationalisationcommitteerepresentatives"}
+    d = frame(spark, [(i, f"one {t} two", None, None, 0) for i, t in (keys | plain).items()])
+    got = {r.doc_id: r.spans for r in secret_scan.scan(d).collect()}
+    assert got == {i: f"random:4:{4 + len(t)}" for i, t in keys.items()} | {i: "" for i in plain}
+
+
 def test_redaction(spark, docs, empty):
     d = frame(spark, [(1, "x token=abcdefgh12 y " + "0123456789abcdef" * 2, "en", "s", 53), (2, "clean", "en", "s", 5),
                       (3, None, None, None, None), (4, "token=" + "0123456789abcdef" * 2, "en", "s", 38)]).withColumn("a", F.lit(1))

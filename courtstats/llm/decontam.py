@@ -7,8 +7,8 @@ gram of an item is a seed, however frequent it is: which grams an edited copy ke
 not depend on their frequency.  One pass finds the seeds in every document, cuts the
 document about them into windows, skips windows whose words cannot reach the threshold,
 and aligns the others (match 2, mismatch -1, gap -1).  A window whose score is at least
-``THRESHOLD`` of the item's best possible score is contaminated; a document and an item
-form one row, with their best window.  A copy that keeps no ``GRAM`` consecutive words
+``THRESHOLD`` of the item's best possible score, or that of ``PASSAGE`` matching words, is
+contaminated; a document and an item form one row, with their best window.  A copy that keeps no ``GRAM`` consecutive words
 has no seed and is not found.
 
 Defined cases: null and empty texts are never contaminated; items without a word are
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from courtstats.llm.common import BASE_A, BASE_B, RangeHash, binary_column, byte_symbols, slices, word_bounds
 
-GRAM, THRESHOLD, BLOCK_ITEMS = 3, 0.5, 5_000
+GRAM, THRESHOLD, PASSAGE, BLOCK_ITEMS = 3, 0.5, 13, 5_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 SLICE, HITS = 1 << 19, 1 << 19
 
@@ -81,6 +81,11 @@ def align(item: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
+def least(size):
+    """The score from which an item of so many words counts as found."""
+    return np.ceil(np.minimum(THRESHOLD * MATCH * size, MATCH * PASSAGE)).astype(np.int64)
+
+
 class Lookup:
     """Set of 64-bit hashes: a bit filter in front of a sorted array."""
 
@@ -128,7 +133,8 @@ def _index(items: list[tuple]):
 def _windows(h: np.ndarray, d: np.ndarray, edges: np.ndarray, n: int, entry, size: np.ndarray):
     """(items, texts, starts, ends) of the windows about seeds that are near each other,
     from about HITS seeds at a time.  An alignment that reaches the threshold has at most
-    twice the item's words, so it lies in the window of any seed it holds."""
+    ``reach`` words (all matches, and gaps down to the threshold), so it lies in the window
+    of any seed it holds."""
     look, start, owner = entry
     g, first = grams(h, d, n)
     at, rank = look.find(g)
@@ -146,7 +152,7 @@ def _windows(h: np.ndarray, d: np.ndarray, edges: np.ndarray, n: int, entry, siz
         p, t = np.repeat(place[i:j], c), np.repeat(doc[i:j], c)
         order = np.lexsort((p, k, t))
         k, p, t = k[order], p[order], t[order]
-        reach = 2 * size[k]
+        reach = (1 + MATCH) * size[k] - least(size[k])
         new = np.flatnonzero(np.concatenate([[True], (np.diff(k) != 0) | (np.diff(t) != 0) | (np.diff(p) > reach[1:])]))
         last = np.append(new[1:], len(k)) - 1
         yield (k[new], t[new], np.maximum(edges[t[new]], p[new] - reach[new]),
@@ -156,7 +162,7 @@ def _windows(h: np.ndarray, d: np.ndarray, edges: np.ndarray, n: int, entry, siz
 
 def _pieces(k, t, a, z, size):
     """The windows; a long one as overlapping pieces."""
-    step = 4 * size[k]
+    step = 2 * ((1 + MATCH) * size[k] - least(size[k]))
     many = -(-(z - a) // step)
     k, t, a, z, step = (np.repeat(x, many) for x in (k, t, a, z, step))
     c = a + step * (np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many))
@@ -211,7 +217,7 @@ def _find(docs: DataFrame, items: list[tuple]) -> DataFrame:
                     for window in _windows(h, d, edges, n, entry, size):
                         k, t, s, e = _pieces(*window, size)
                         top = np.minimum(_bounds(word, pairs, len(things), k, s, e), MATCH * size[k])
-                        for x in np.flatnonzero(top >= THRESHOLD * MATCH * size[k]).tolist():
+                        for x in np.flatnonzero(top >= least(size[k])).tolist():
                             pair = int(t[x]), int(k[x])
                             if pair in best and top[x] <= best[pair][0]:
                                 continue
@@ -220,7 +226,7 @@ def _find(docs: DataFrame, items: list[tuple]) -> DataFrame:
                                 best[pair] = score, int(s[x] - edges[pair[0]])
                 for (doc, k), (score, place) in sorted(best.items()):
                     m = len(things[k][1])
-                    if score >= THRESHOLD * MATCH * m:
+                    if score >= least(m):
                         out.append((ids[base + doc], things[k][0], score, score / (MATCH * m), place))
                 base += part.num_rows
             cols = list(zip(*out)) or [()] * 5

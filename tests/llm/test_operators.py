@@ -576,3 +576,10 @@ def test_windows_do_not_depend_on_blocks(monkeypatch):
     whole = run()
     monkeypatch.setattr(decontam, "HITS", 7)
     assert run() == whole and len(whole[1]) > 6
+
+
+def test_long_passage_of_a_longer_item(spark):
+    w = [f"word{i}" for i in range(59)]
+    bench = frame(spark, [(1, " ".join(w))], "item_id long, text string")
+    d = frame(spark, [(n, "before it " + " ".join(w[20:20 + n]) + " and after") for n in (12, 13, 25)], "doc_id long, text string")
+    assert {r.doc_id: r.align_score for r in decontam.contaminated(d, bench).collect()} == {13: 26, 25: 50}

@@ -4,8 +4,8 @@ Input: an event log with the columns of ``courtstats.plans.views.pbp``
 (GAME_ID, EVENTNUM, PERIOD, PCTIMESTRING, HOMEDESCRIPTION,
 VISITORDESCRIPTION, SCORE, SCOREMARGIN, PLAYERk_ID / _NAME,
 PLAYER1_TEAM_ABBREVIATION).  Ordered logic goes through
-``courtstats.operators.sequence`` (chunked windows); per-game results are
-aggregations joined back on the game key, never whole-game windows.
+``courtstats.operators.sequence`` (one exchange, hot games cut into ranges);
+``cuts`` of the log (``find_cuts``) may be passed on, so that it is sampled once.
 """
 
 from __future__ import annotations
@@ -15,17 +15,17 @@ from pyspark.sql import functions as F
 
 from courtstats.functions.predicates import text_any
 from courtstats.functions.text import clock_seconds
-from courtstats.operators.sequence import DEFAULT_CHUNK, fill, neighbours
+from courtstats.operators.sequence import DEFAULT_CHUNK, Cuts, fill, neighbours, scan
 
 SIDES = ["HOMEDESCRIPTION", "VISITORDESCRIPTION"]
 GAME, ORDER = "GAME_ID", "EVENTNUM"
 
 
-def score_timeline(log: DataFrame, chunk_size=DEFAULT_CHUNK) -> DataFrame:
+def score_timeline(log: DataFrame, chunk_size=DEFAULT_CHUNK, cuts: Cuts | None = None) -> DataFrame:
     """Score known at every event: SCORE / SCOREMARGIN filled forward per game,
     '0 - 0' / 'TIE' before the first basket, margin as int (TIE = 0), and the
     score split into ``visitor_score`` / ``home_score``."""
-    f = fill(log, GAME, ORDER, ["SCORE", "SCOREMARGIN"], "down", chunk_size=chunk_size)
+    f = fill(log, GAME, ORDER, ["SCORE", "SCOREMARGIN"], "down", chunk_size=chunk_size, cuts=cuts)
     f = f.na.fill({"SCORE": "0 - 0", "SCOREMARGIN": "TIE"})
     return f.withColumns({
         "SCOREMARGIN": F.when(F.col("SCOREMARGIN") == "TIE", F.lit(0))
@@ -64,18 +64,22 @@ def segment_differential(df: DataFrame, flag: Column, fail: Column, key: str,
                           "differential": ip - op})
 
 
-def game_results(timeline: DataFrame) -> DataFrame:
-    """Final score per game (running scores never fall, so max = final),
-    winner ('home' only if strictly ahead) and the loser's points."""
-    g = timeline.groupBy(GAME).agg(F.max("visitor_score").alias("vis_final"),
-                                   F.max("home_score").alias("home_final"))
+def _decided(finals: DataFrame) -> DataFrame:
+    """Winner ('home' only if strictly ahead) and the loser's points from the final score."""
     home_won = F.col("home_final") > F.col("vis_final")
-    return g.withColumns({
+    return finals.withColumns({
         "winner": F.when(home_won, "home").otherwise("visitor"),
         "loser_points": F.when(home_won, F.col("vis_final")).otherwise(F.col("home_final")),
     })
 
 
+def game_results(timeline: DataFrame) -> DataFrame:
+    """Final score per game (running scores never fall, so max = final),
+    winner and the loser's points."""
+    return _decided(timeline.groupBy(GAME).agg(F.max("visitor_score").alias("vis_final"),
+                                               F.max("home_score").alias("home_final")))
+
+
 def shot_value(home: Column, visitor: Column) -> Column:
     """1 for a free throw, 3 for a three, else 2."""
     ft = F.coalesce(home.contains("Free Throw"), F.lit(False)) | \
@@ -85,12 +89,12 @@ def shot_value(home: Column, visitor: Column) -> Column:
     return F.when(ft, 1).when(three, 3).otherwise(2)
 
 
-def first_crossing(timeline: DataFrame) -> DataFrame:
-    """Game-winning event per game: the first event at which the winner's
-    score passes the loser's final total.  Per-game results are aggregated
-    and joined back; the first event is a ``min_by`` aggregate."""
-    res = game_results(timeline)
-    j = timeline.join(res, GAME)
+def first_crossing(timeline: DataFrame, chunk_size=DEFAULT_CHUNK, cuts: Cuts | None = None) -> DataFrame:
+    """Game-winning event per game: the first event at which the winner's score
+    passes the loser's final total.  The final score comes onto the events in the
+    scan of the log; the first event is a ``min_by`` aggregate."""
+    finals = {"vis_final": ("max", "visitor_score"), "home_final": ("max", "home_score")}
+    j = _decided(scan(timeline, GAME, ORDER, groups=finals, chunk_size=chunk_size, cuts=cuts))
     cross = ((F.col("winner") == "home") & (F.col("home_score") > F.col("loser_points"))) | \
             ((F.col("winner") == "visitor") & (F.col("visitor_score") > F.col("loser_points")))
     cols = [c for c in timeline.columns if c != GAME]
@@ -99,9 +103,9 @@ def first_crossing(timeline: DataFrame) -> DataFrame:
     return first.select(GAME, "_e.*")
 
 
-def game_winners(timeline: DataFrame) -> DataFrame:
+def game_winners(timeline: DataFrame, chunk_size=DEFAULT_CHUNK, cuts: Cuts | None = None) -> DataFrame:
     """Per actor: game-winning threes / twos / free throws and points."""
-    fc = first_crossing(timeline).withColumn(
+    fc = first_crossing(timeline, chunk_size, cuts).withColumn(
         "shot_value", shot_value(F.col("HOMEDESCRIPTION"), F.col("VISITORDESCRIPTION")))
     sv = F.col("shot_value")
     return fc.groupBy("PLAYER1_NAME").agg(

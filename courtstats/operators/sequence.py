@@ -1,141 +1,225 @@
-"""Ordered-sequence windows that survive a hot partition key.
-
-An event log is ordered inside a partition key (a game).  A plain
-``Window.partitionBy(game)`` puts a whole game into one task; if one key
-holds a large share of all rows that task becomes the job.  Every function
-here therefore takes ``chunk_size``: a key with more rows than that is cut
-into ranges of its own order values (about ``chunk_size`` rows each, from the
-key's count, minimum and maximum); all other keys stay whole.  Rows are
-windowed inside ``(partition, chunk)`` and the values that cross a chunk
-boundary -- running totals, the last non-missing value, the rows next to the
-boundary -- are carried by a summary (one row per chunk) that is windowed per
-partition and joined back.  The table of cut keys holds at most
-``rows / chunk_size`` rows.
-
-Results do not depend on ``chunk_size``: missing partition keys are a
-partition of their own, a missing measure adds nothing to a running sum
-(which is missing until the first value), missing order values come first,
-and any neighbour offset is allowed.  ``chunk_size=None`` is the plain window.
+"""Ordered-sequence scans that survive a hot partition key.
+
+An event log is ordered inside a partition key (a game).  ``scan`` computes running
+sums, fills, neighbouring rows and whole-partition values of such sequences in one
+exchange: rows are dealt by (key, range) and every range is windowed by itself.
+
+``find_cuts`` looks where ranges are needed at all.  It reads the key and order columns
+once, takes a random sample of ``SAMPLE`` rows of them and cuts every key that holds more
+than ``chunk_size`` rows (by the sample) at quantiles of its own order values, so
+that ranges hold about the same number of rows whatever the values look like.  A
+key below that size stays whole; without a key to cut the plan is the plain window.  At
+most ``MAX_CUTS`` cuts are made: with one key of a third of 10^12 rows a range holds
+1.3 * 10^9 rows, sorted by a spilling sort; give a larger ``MAX_CUTS`` where that is too much.
+
+What crosses a cut -- totals, the last or next non-missing value, the rows next to the
+cut, the values of the whole partition -- is one summary row per range of a cut key,
+merged over the ranges and joined back by broadcast: at most 2 * ``MAX_CUTS`` rows.
+
+The order may be one column or several, of any atomic type: number, text, date, time, ...
+Missing order values come first.  Rows with the same key and order values have no order
+among themselves and are never parted by a cut; name more columns to order them.
+
+Results do not depend on the cuts: missing partition keys are a partition of their
+own, a missing measure adds nothing to a running sum (which is missing until the first
+value), and any neighbour offset is allowed.  ``chunk_size=None`` is the plain window.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _CHUNK = "_seq_chunk"
 DEFAULT_CHUNK = 1 << 20
+SAMPLE = 8192
+MAX_CUTS = 256
+_MERGE = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
 
 def _as_list(x):
     return [x] if isinstance(x, str) else list(x)
 
 
-def _join_back(df: DataFrame, small: DataFrame, keys) -> DataFrame:
-    """Left join on null-safe keys; the small side's copies of the keys go."""
-    r = small.withColumnsRenamed({k: "_jb_" + k for k in keys})
-    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(r["_jb_" + k]) for k in keys])
-    return df.join(r, on, "left").drop(*["_jb_" + k for k in keys])
+@dataclass(frozen=True)
+class Cuts:
+    """Range limits of the cut keys of one log: ``bounds`` are (key..., order...) values,
+    a row's range is the number of bounds at or below it; ``hot`` the keys cut."""
 
+    part: tuple[str, ...]
+    order: tuple[str, ...]
+    types: tuple[str, ...] = ()
+    bounds: tuple[tuple, ...] = ()
+    hot: tuple[tuple, ...] = ()
 
-def _with_chunk(df: DataFrame, part, order: str, chunk_size):
-    size = F.lit(chunk_size)
-    cut = (df.groupBy(*part).agg(F.count(F.lit(1)).alias("_seq_n"), F.min(order).alias("_seq_lo"),
-                                 F.max(order).alias("_seq_hi"))
-           .filter(F.col("_seq_n") > size))
-    d = _join_back(df, cut, part)
-    at = (F.col(order) - F.col("_seq_lo")) / (F.col("_seq_hi") - F.col("_seq_lo") + 1)
-    chunk = F.floor(at * F.ceil(F.col("_seq_n") / size)).cast("long")
-    return d.withColumn(_CHUNK, F.coalesce(chunk, F.lit(0).cast("long"))).drop("_seq_n", "_seq_lo", "_seq_hi")
 
+def _comparable(df: DataFrame, names) -> list[Column]:
+    """The columns as values that go to the driver and back into a literal unchanged, in
+    the same order: times as microseconds."""
+    kind = dict(df.dtypes)
+    as_is = {"timestamp": lambda c: F.unix_micros(c), "timestamp_ntz": lambda c: c.cast("string")}
+    return [as_is.get(kind[n], lambda c: c)(F.col(n)) for n in names]
 
-def running_sum(df: DataFrame, partition, order: str, cols, chunk_size=DEFAULT_CHUNK,
-                suffix: str = "_run") -> DataFrame:
+
+def find_cuts(df: DataFrame, partition, order, chunk_size=DEFAULT_CHUNK, sample: int = SAMPLE,
+              max_cuts: int = MAX_CUTS) -> Cuts:
+    """Cuts for keys of more than ``chunk_size`` rows, from a random sample of the key
+    and order columns.  The sample decides how rows are dealt, never a result."""
+    part, order = tuple(_as_list(partition)), tuple(_as_list(order))
+    if chunk_size is None:
+        return Cuts(part, order)
+    names = [f"_{i}" for i in range(len(part) + len(order))]
+    keys = df.select(*[c.alias(n) for c, n in zip(_comparable(df, part + order), names)])
+    types = tuple(t for _, t in keys.dtypes)
+    rows = (keys.withColumn("_r", F.rand(7)).orderBy("_r").limit(sample).orderBy(*names).collect())
+    if not rows:
+        return Cuts(part, order)
+    each = 1.0 if len(rows) < sample else (sample - 1) / max(r["_r"] for r in rows) / sample  # rows a sampled row stands for
+    groups: dict[str, list[tuple]] = {}
+    for r in rows:
+        groups.setdefault(repr(tuple(r)[:len(part)]), []).append(tuple(r)[:-1])
+    hot = [g for g in groups.values() if len(g) * each > chunk_size]
+    size = max(chunk_size, sum(map(len, hot)) * each / max_cuts)
+    bounds, cut = [], []
+    for g in hot:
+        n = int(min(len(g), -(-len(g) * each // size)))
+        at = sorted({i * len(g) // n for i in range(1, n)})
+        inner = [g[i] for j, i in enumerate(at) if repr(g[i]) != repr(g[at[j - 1] if j else 0])]
+        if inner:
+            bounds += inner
+            cut.append(g[0][:len(part)])
+    return Cuts(part, order, types, tuple(bounds), tuple(cut))
+
+
+def _range_of(df: DataFrame, cuts: Cuts) -> Column:
+    """Number of bounds at or below the row: a search tree of comparisons."""
+    row = F.struct(*_comparable(df, cuts.part + cuts.order))
+
+    def tree(lo, hi):
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        bound = F.struct(*[F.lit(v).cast(t) for v, t in zip(cuts.bounds[mid], cuts.types)])
+        return F.when(row >= bound, tree(mid + 1, hi)).otherwise(tree(lo, mid))
+
+    return tree(0, len(cuts.bounds))
+
+
+def _is_cut(df: DataFrame, cuts: Cuts) -> Column:
+    cols = _comparable(df, cuts.part)
+    same = [reduce(lambda a, b: a & b, [c.eqNullSafe(F.lit(v).cast(t)) for c, v, t in zip(cols, key, cuts.types)],
+                   F.lit(True)) for key in cuts.hot]
+    return reduce(lambda a, b: a | b, same)
+
+
+def scan(df: DataFrame, partition, order, sums: dict | None = None, down: dict | None = None, up: dict | None = None,
+         near: dict | None = None, groups: dict | None = None, number: str | None = None,
+         chunk_size=DEFAULT_CHUNK, cuts: Cuts | None = None) -> DataFrame:
+    """Add columns to the rows of every partition, in ``order``:
+
+    * ``sums``   {new: column}: sum up to and including the row;
+    * ``down`` / ``up`` {new: column}: last / next non-missing value, the row's own first;
+    * ``near``   {new: (column, offset)}: value of the offset-th next (+) or previous (-) row;
+    * ``groups`` {new: (sum|max|min|count, column)}: value over the whole partition;
+    * ``number`` new: position of the row, from 1.
+
+    ``cuts`` of an earlier :func:`find_cuts` over the same rows may be given, so that a
+    log that is scanned several times is sampled once; without it the input is sampled."""
+    part, order = _as_list(partition), _as_list(order)
+    sums, down, up, near, groups = (dict(x or {}) for x in (sums, down, up, near, groups))
+    if number:
+        df = df.withColumn("_seq_one", F.lit(1).cast("long"))
+        sums[number] = "_seq_one"
+    if cuts is None:
+        cuts = find_cuts(df, part, order, chunk_size)
+    elif (cuts.part, cuts.order) != (tuple(part), tuple(order)):
+        raise ValueError(f"cuts of {cuts.part}, {cuts.order} do not fit {part}, {order}")
+    keys = part
+    if cuts.bounds:
+        df, keys = df.withColumn(_CHUNK, _range_of(df, cuts)), [*part, _CHUNK]
+    ahead = Window.partitionBy(*keys).orderBy(*[F.col(o).asc_nulls_first() for o in order])
+    back = Window.partitionBy(*keys).orderBy(*[F.col(o).desc_nulls_last() for o in order])
+    so_far = (Window.unboundedPreceding, 0)
+    new = {n: F.sum(c).over(ahead.rowsBetween(*so_far)) for n, c in sums.items()}
+    new |= {n: F.last(c, ignorenulls=True).over(ahead.rowsBetween(*so_far)) for n, c in down.items()}
+    new |= {n: F.last(c, ignorenulls=True).over(back.rowsBetween(*so_far)) for n, c in up.items()}
+    new |= {n: (F.lead(c, o) if o > 0 else F.lag(c, -o)).over(ahead) for n, (c, o) in near.items()}
+    new |= {n: _MERGE[f](c).over(Window.partitionBy(*keys)) for n, (f, c) in groups.items()}
+    if not cuts.bounds:
+        return df.withColumns(new).drop("_seq_one")
+    if near:
+        new |= {"_seq_rn": F.row_number().over(ahead), "_seq_nr": F.row_number().over(back)}
+    # new columns may replace the ones they are taken from: those are kept aside
+    src = sorted({*sums.values(), *down.values(), *up.values(), *(c for c, _ in near.values()), *(c for _, c in groups.values())})
+    local = df.withColumns({"_seq_v_" + c: F.col(c) for c in src}).withColumns(new)
+    return _carry(local, part, order, cuts, sums, down, up, near, groups).drop(
+        _CHUNK, "_seq_rn", "_seq_nr", "_seq_one", *["_seq_v_" + c for c in src])
+
+
+def _carry(local, part, order, cuts, sums, down, up, near, groups) -> DataFrame:
+    """Add to the ranges of cut keys what the other ranges of the key hold."""
+    val = lambda c: F.col("_seq_v_" + c)
+    far_on = max([o for _, o in near.values() if o > 0], default=0)
+    far_back = max([-o for _, o in near.values() if o < 0], default=0)
+    # the order as a struct: a missing order value still ranks (first)
+    at = [x for o in order for x in (F.col(o).isNotNull(), F.col(o))]
+    held = lambda c: F.when(val(c).isNotNull(), F.struct(*[a.alias(f"_{i}") for i, a in enumerate(at)], val(c).alias("_v")))
+    row = F.struct(F.col("_seq_rn"), *[val(c).alias("_v_" + c) for c in sorted({c for c, _ in near.values()})]) if near else None
+    aggs = [F.sum(val(c)).alias(f"_seq_s_{n}") for n, c in sums.items()]
+    aggs += [F.max(held(c)).getField("_v").alias(f"_seq_d_{n}") for n, c in down.items()]
+    aggs += [F.min(held(c)).getField("_v").alias(f"_seq_u_{n}") for n, c in up.items()]
+    aggs += [_MERGE[f](val(c)).alias(f"_seq_g_{n}") for n, (f, c) in groups.items()]
+    if near:
+        aggs += [F.array_sort(F.collect_list(F.when(F.col("_seq_rn") <= far_on, row))).alias("_seq_head"),
+                 F.array_sort(F.collect_list(F.when(F.col("_seq_nr") <= far_back, row))).alias("_seq_tail")]
+    each = local.filter(_is_cut(local, cuts)).groupBy(*part, _CHUNK).agg(*aggs)
+    w = Window.partitionBy(*part).orderBy(_CHUNK)
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    merged = [F.sum(f"_seq_s_{n}").over(before).alias(f"_seq_s_{n}") for n in sums]
+    merged += [F.last(f"_seq_d_{n}", ignorenulls=True).over(before).alias(f"_seq_d_{n}") for n in down]
+    merged += [F.first(f"_seq_u_{n}", ignorenulls=True).over(after).alias(f"_seq_u_{n}") for n in up]
+    merged += [(F.sum if f == "count" else _MERGE[f])(f"_seq_g_{n}").over(Window.partitionBy(*part)).alias(f"_seq_g_{n}")
+               for n, (f, _) in groups.items()]
+    if near:  # a range has a row at least: as many ranges as the largest offset are enough
+        merged += [F.flatten(F.collect_list("_seq_head").over(w.rowsBetween(1, max(far_on, 1)))).alias("_seq_next"),
+                   F.flatten(F.collect_list("_seq_tail").over(w.rowsBetween(-max(far_back, 1), -1))).alias("_seq_prev")]
+    small = each.select(*[F.col(k).alias("_seq_k_" + k) for k in [*part, _CHUNK]], *merged)
+    on = reduce(lambda a, b: a & b, [local[k].eqNullSafe(small["_seq_k_" + k]) for k in [*part, _CHUNK]])
+    out = local.join(F.broadcast(small), on, "left")  # at most 2 * MAX_CUTS rows
+    fixed = {n: F.coalesce(F.col(n) + F.col(f"_seq_s_{n}"), F.col(n), F.col(f"_seq_s_{n}")) for n in sums}
+    fixed |= {n: F.coalesce(F.col(n), F.col(f"_seq_d_{n}")) for n in down}
+    fixed |= {n: F.coalesce(F.col(n), F.col(f"_seq_u_{n}")) for n in up}
+    fixed |= {n: F.coalesce(F.col(f"_seq_g_{n}"), F.col(n)) for n in groups}
+    for n, (c, o) in near.items():
+        if o > 0:  # past the range's end: the (o - rows left)-th row of the next ranges
+            over, there = F.col("_seq_nr") <= o, F.try_element_at("_seq_next", (F.lit(o) - F.col("_seq_nr") + 1).cast("int"))
+        else:
+            over, there = F.col("_seq_rn") <= -o, F.try_element_at("_seq_prev", (F.col("_seq_rn") - F.lit(-o) - 1).cast("int"))
+        fixed[n] = F.when(over, there.getField("_v_" + c)).otherwise(F.col(n))
+    return out.withColumns(fixed).drop(*small.columns)
+
+
+def running_sum(df: DataFrame, partition, order, cols, chunk_size=DEFAULT_CHUNK, suffix: str = "_run",
+                cuts: Cuts | None = None) -> DataFrame:
     """Add ``<col><suffix>`` = sum of ``col`` over rows up to and including the
     current one, per partition, in ``order``."""
-    part, cols = _as_list(partition), _as_list(cols)
-    if chunk_size is None:
-        w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({c + suffix: F.sum(c).over(w) for c in cols})
-    d = _with_chunk(df, part, order, chunk_size)
-    w = Window.partitionBy(*part, _CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = d.withColumns({c + suffix: F.sum(c).over(w) for c in cols})
-    totals = d.groupBy(*part, _CHUNK).agg(*[F.sum(c).alias("_tot_" + c) for c in cols])
-    wc = Window.partitionBy(*part).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*part, _CHUNK, *[F.sum("_tot_" + c).over(wc).alias("_off_" + c) for c in cols])
-    out = _join_back(local, offsets, [*part, _CHUNK])
-    return out.withColumns({
-        c + suffix: F.coalesce(F.col(c + suffix) + F.col("_off_" + c), F.col(c + suffix), F.col("_off_" + c))
-        for c in cols}).drop(_CHUNK, *["_off_" + c for c in cols])
-
-
-def fill(df: DataFrame, partition, order: str, cols, direction: str = "down",
-         chunk_size=DEFAULT_CHUNK) -> DataFrame:
+    return scan(df, partition, order, sums={c + suffix: c for c in _as_list(cols)}, chunk_size=chunk_size, cuts=cuts)
+
+
+def fill(df: DataFrame, partition, order, cols, direction: str = "down", chunk_size=DEFAULT_CHUNK,
+         cuts: Cuts | None = None) -> DataFrame:
     """Replace missing values by the last (``down``) or next (``up``)
     non-missing value of the same partition, in ``order`` (tidyr ``fill``)."""
-    part, cols = _as_list(partition), _as_list(cols)
-    down = direction == "down"
     if direction not in ("down", "up"):
         raise ValueError(direction)
-    frame = (Window.unboundedPreceding, 0) if down else (0, Window.unboundedFollowing)
-    pick = (lambda c: F.last(c, ignorenulls=True)) if down else (lambda c: F.first(c, ignorenulls=True))
-    if chunk_size is None:
-        w = Window.partitionBy(*part).orderBy(order).rowsBetween(*frame)
-        return df.withColumns({c: pick(c).over(w) for c in cols})
-    d = _with_chunk(df, part, order, chunk_size)
-    w = Window.partitionBy(*part, _CHUNK).orderBy(order).rowsBetween(*frame)
-    local = d.withColumns({c: pick(c).over(w) for c in cols})
-    # the order key as a struct: a missing order value still ranks (first)
-    edge = F.max if down else F.min
-    summary = d.groupBy(*part, _CHUNK).agg(
-        *[edge(F.when(F.col(c).isNotNull(), F.struct(F.col(order).isNotNull(), F.col(order), F.col(c).alias("_v"))))
-          .getField("_v").alias("_edge_" + c) for c in cols])
-    cframe = (Window.unboundedPreceding, -1) if down else (1, Window.unboundedFollowing)
-    wc = Window.partitionBy(*part).orderBy(_CHUNK).rowsBetween(*cframe)
-    carry = summary.select(*part, _CHUNK, *[pick("_edge_" + c).over(wc).alias("_carry_" + c) for c in cols])
-    out = _join_back(local, carry, [*part, _CHUNK])
-    return out.withColumns({c: F.coalesce(F.col(c), F.col("_carry_" + c)) for c in cols}) \
-              .drop(_CHUNK, *["_carry_" + c for c in cols])
-
-
-def neighbours(df: DataFrame, partition, order: str, spec: dict, chunk_size=DEFAULT_CHUNK) -> DataFrame:
-    """Add values of other rows: ``spec = {new_name: (col, offset)}`` with offset
-    +k = the k-th next row (``lead``), -k = the k-th previous row (``lag``)."""
-    part = _as_list(partition)
+    return scan(df, partition, order, **{direction: {c: c for c in _as_list(cols)}}, chunk_size=chunk_size, cuts=cuts)
 
-    def shifted(w):
-        return {n: (F.lead(c, o) if o > 0 else F.lag(c, -o)).over(w) for n, (c, o) in spec.items()}
 
-    if chunk_size is None:
-        return df.withColumns(shifted(Window.partitionBy(*part).orderBy(order)))
-    d = _with_chunk(df, part, order, chunk_size)
-    w = Window.partitionBy(*part, _CHUNK).orderBy(order)
-    back = Window.partitionBy(*part, _CHUNK).orderBy(F.col(order).desc_nulls_last())
-    local = d.withColumns({**shifted(w), "_seq_rn": F.row_number().over(w), "_seq_nr": F.row_number().over(back)})
-    # the rows next to a boundary: as many of each chunk as the largest offset, and,
-    # as a chunk has a row at least, as many chunks
-    src = sorted({c for c, _ in spec.values()})
-    ahead = max([o for _, o in spec.values() if o > 0], default=0)
-    behind = max([-o for _, o in spec.values() if o < 0], default=0)
-    row = F.struct("_seq_rn", *[F.col(c).alias("_seq_v_" + c) for c in src])
-    edges = (local.filter((F.col("_seq_rn") <= ahead) | (F.col("_seq_nr") <= behind)).groupBy(*part, _CHUNK)
-             .agg(F.array_sort(F.collect_list(F.when(F.col("_seq_rn") <= ahead, row))).alias("_seq_head"),
-                  F.array_sort(F.collect_list(F.when(F.col("_seq_nr") <= behind, row))).alias("_seq_tail")))
-    wc = Window.partitionBy(*part).orderBy(_CHUNK)
-    edges = edges.select(
-        *part, _CHUNK,
-        F.flatten(F.collect_list("_seq_head").over(wc.rowsBetween(1, max(ahead, 1)))).alias("_seq_next"),
-        F.flatten(F.collect_list("_seq_tail").over(wc.rowsBetween(-max(behind, 1), -1))).alias("_seq_prev"))
-    out = _join_back(local, edges, [*part, _CHUNK])
-    fixed = {}
-    for n, (c, o) in spec.items():
-        if o > 0:  # past the chunk's end: the (o - rows left)-th row of the next chunks
-            at, over = F.lit(o) - F.col("_seq_nr") + 1, F.col("_seq_nr") <= o
-            value = F.try_element_at("_seq_next", at.cast("int"))
-        else:
-            at, over = F.lit(-o) - F.col("_seq_rn") + 1, F.col("_seq_rn") <= -o
-            value = F.try_element_at("_seq_prev", (-at).cast("int"))
-        fixed[n] = F.when(over, value.getField("_seq_v_" + c)).otherwise(F.col(n))
-    return out.withColumns(fixed).drop(_CHUNK, "_seq_rn", "_seq_nr", "_seq_next", "_seq_prev")
+def neighbours(df: DataFrame, partition, order, spec: dict, chunk_size=DEFAULT_CHUNK,
+               cuts: Cuts | None = None) -> DataFrame:
+    """Add values of other rows: ``spec = {new_name: (col, offset)}`` with offset
+    +k = the k-th next row (``lead``), -k = the k-th previous row (``lag``)."""
+    return scan(df, partition, order, near=spec, chunk_size=chunk_size, cuts=cuts)

@@ -54,7 +54,7 @@ def award_blocked_dunks_by_shooter_boards(spark, sf):
     f"SELECT SEASON, least(PLAYER1_NAME, PLAYER2_NAME) AS p1, greatest(PLAYER1_NAME, PLAYER2_NAME) AS p2 FROM ({_MADE_ALLEY_SQL}) a",
     "p1, p2"))
 def award_pair_boards(spark, sf):
-    made = V.pbp(spark, sf).filter(text_any(S, "Alley")).filter(~text_any(S, "MISS", kind="starts")).filter(
+    made = V.log(spark, sf).filter(text_any(S, "Alley")).filter(~text_any(S, "MISS", kind="starts")).filter(
         F.col("PLAYER2_NAME").isNotNull())
     return _board(made.select("SEASON", F.least("PLAYER1_NAME", "PLAYER2_NAME").alias("p1"),
                               F.greatest("PLAYER1_NAME", "PLAYER2_NAME").alias("p2")), ["p1", "p2"])
@@ -67,7 +67,7 @@ def award_pair_boards(spark, sf):
 def award_event_count_boards(spark, sf):
     from courtstats.operators.aggregate import season_and_career
 
-    log = V.pbp(spark, sf).filter(text_any(S, EVENT_COUNT_PATTERN)).withColumn("kind", _text_kind(EVENT_COUNT_PATTERN))
+    log = V.log(spark, sf).filter(text_any(S, EVENT_COUNT_PATTERN)).withColumn("kind", _text_kind(EVENT_COUNT_PATTERN))
     g = season_and_career(log, ["PLAYER1_NAME", "kind"], "SEASON", [F.count(F.lit(1)).alias("count")])
     return top_n(g, "count", 10, partition=["scope", "kind"])
 
@@ -77,12 +77,12 @@ _SM_SEASON = _SM_SQL.replace("f.GAME_ID\n", "f.GAME_ID, f.SEASON\n")
 
 @register("award_same_moment_fouls_boards", _event_sql("SELECT * FROM matches", "PLAYER1_NAME_x", _SM_SEASON))
 def award_same_moment_fouls_boards(spark, sf):
-    return _board(EV.same_moment_counts(V.pbp(spark, sf), extra=["SEASON"]), "PLAYER1_NAME_x", agg=F.sum("n"))
+    return _board(EV.same_moment_counts(V.log(spark, sf), extra=["SEASON"]), "PLAYER1_NAME_x", agg=F.sum("n"))
 
 
 @register("award_same_moment_drawn_boards", _event_sql("SELECT * FROM matches", "PLAYER1_NAME_y", _SM_SEASON))
 def award_same_moment_drawn_boards(spark, sf):
-    return _board(EV.same_moment_counts(V.pbp(spark, sf), extra=["SEASON"]), "PLAYER1_NAME_y", agg=F.sum("n"))
+    return _board(EV.same_moment_counts(V.log(spark, sf), extra=["SEASON"]), "PLAYER1_NAME_y", agg=F.sum("n"))
 
 
 @register("award_same_moment_drawn_rate", O.with_views(_SM_SQL, body=f"""
@@ -93,7 +93,7 @@ JOIN (SELECT PLAYER1_NAME, count(*) AS attempts FROM pbp WHERE {sql_any(_rx('3PT
 QUALIFY rank() OVER (ORDER BY m.drawn / a.attempts DESC) <= 5"""))
 def award_same_moment_drawn_rate(spark, sf):
     """Fouls drawn on threes per three-point attempt."""
-    log = V.pbp(spark, sf)
+    log = V.log(spark, sf)
     drawn = EV.same_moment_counts(log).groupBy(F.col("PLAYER1_NAME_y").alias("player")).agg(F.sum("n").alias("drawn"))
     tries = log.filter(text_any(S, "3PT")).groupBy(F.col("PLAYER1_NAME").alias("_p")).agg(F.count(F.lit(1)).alias("attempts"))
     j = drawn.join(tries, drawn["player"] == tries["_p"]).withColumn("drawn_per_attempt", safe_div("drawn", "attempts"))
@@ -282,7 +282,7 @@ CHUNK = 7
 SELECT GAME_ID, EVENTNUM, CAST(sum(PLAYER2_ID) OVER (PARTITION BY SEASON ORDER BY EVENTNUM
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM pbp"""))
 def running_sum_chunked(spark, sf):
-    d = running_sum(V.pbp(spark, sf), "SEASON", "EVENTNUM", ["PLAYER2_ID"], chunk_size=CHUNK)
+    d = running_sum(V.log(spark, sf), "SEASON", "EVENTNUM", ["PLAYER2_ID"], chunk_size=CHUNK)
     return d.select("GAME_ID", "EVENTNUM", F.col("PLAYER2_ID_run").cast("long").alias("total"))
 
 

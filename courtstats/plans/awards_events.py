@@ -29,7 +29,7 @@ def _ends(p):
 
 
 def _blocked_dunks(spark, sf):
-    log = V.pbp(spark, sf)
+    log = V.log(spark, sf)
     return (log.filter(text_any(S, "MISS", kind="starts")).filter(text_any(S, "Dunk"))
                .filter(text_any(S, "BLOCK")))
 
@@ -75,7 +75,7 @@ SELECT kind, PLAYER1_NAME, count(*) AS count FROM (
 GROUP BY kind, PLAYER1_NAME
 QUALIFY rank() OVER (PARTITION BY kind ORDER BY count(*) DESC) <= 10"""))
 def award_event_count(spark, sf, pattern=EVENT_COUNT_PATTERN):
-    log = V.pbp(spark, sf).filter(text_any(S, pattern))
+    log = V.log(spark, sf).filter(text_any(S, pattern))
     log = log.withColumn("kind", _text_kind(pattern))
     return top_n(group_count(log, ["kind", "PLAYER1_NAME"]), "count", 10, partition="kind")
 
@@ -83,14 +83,14 @@ def award_event_count(spark, sf, pattern=EVENT_COUNT_PATTERN):
 @register("any_text_match", O.with_views(O.PBP, body=f"""
 SELECT count(*) AS n_rows, count(DISTINCT GAME_ID) AS n_games FROM pbp WHERE {sql_any(_rx('S.FOUL'))}"""))
 def any_text_match(spark, sf):
-    log = V.pbp(spark, sf).filter(text_any(S, "S.FOUL"))
+    log = V.log(spark, sf).filter(text_any(S, "S.FOUL"))
     return log.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("GAME_ID").alias("n_games"))
 
 
 @register("any_text_prefix", O.with_views(O.PBP, body=f"""
 SELECT PERIOD, count(*) AS misses FROM pbp WHERE {sql_any(_starts('MISS'))} GROUP BY PERIOD"""))
 def any_text_prefix(spark, sf):
-    log = V.pbp(spark, sf).filter(text_any(S, "MISS", kind="starts"))
+    log = V.log(spark, sf).filter(text_any(S, "MISS", kind="starts"))
     return log.groupBy("PERIOD").agg(F.count(F.lit(1)).alias("misses"))
 
 
@@ -100,7 +100,7 @@ GROUP BY PERIOD"""))
 def none_text_prefix(spark, sf):
     from courtstats.functions.predicates import text_none
 
-    log = V.pbp(spark, sf).filter(text_any(S, "PTS")).filter(text_none(S, "MISS", kind="starts"))
+    log = V.log(spark, sf).filter(text_any(S, "PTS")).filter(text_none(S, "MISS", kind="starts"))
     return log.groupBy("PERIOD").agg(F.count(F.lit(1)).alias("made"))
 
 
@@ -109,7 +109,7 @@ SELECT count_if({sql_any(_rx('S.FOUL'))}) AS regex_hits,
        count_if({sql_any("contains({c}, 'S.FOUL')")}) AS literal_hits,
        count_if({sql_any(_ends('Rebound'))}) AS ends_hits FROM pbp"""))
 def regex_match(spark, sf):
-    log = V.pbp(spark, sf)
+    log = V.log(spark, sf)
     return log.agg(F.count_if(text_any(S, "S.FOUL")).alias("regex_hits"),
                    F.count_if(text_any(S, "S.FOUL", kind="contains")).alias("literal_hits"),
                    F.count_if(text_any(S, "Rebound", kind="ends")).alias("ends_hits"))
@@ -126,14 +126,14 @@ SELECT least(PLAYER1_NAME, PLAYER2_NAME) AS p1, greatest(PLAYER1_NAME, PLAYER2_N
        count(*) AS count FROM ({_MADE_ALLEY_SQL}) a GROUP BY 1, 2
 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 10"""))
 def award_pair(spark, sf):
-    return top_n(EV.pair_leaderboard(V.pbp(spark, sf)), "count", 10)
+    return top_n(EV.pair_leaderboard(V.log(spark, sf)), "count", 10)
 
 
 @register("pair_leaderboard", O.with_views(O.PBP, body=f"""
 SELECT least(PLAYER1_NAME, PLAYER2_NAME) AS p1, greatest(PLAYER1_NAME, PLAYER2_NAME) AS p2,
        count(*) AS count FROM ({_MADE_ALLEY_SQL}) a GROUP BY 1, 2"""))
 def pair_leaderboard(spark, sf):
-    return EV.pair_leaderboard(V.pbp(spark, sf))
+    return EV.pair_leaderboard(V.log(spark, sf))
 
 
 @register("pair_key", O.with_views(O.PBP, body="""
@@ -141,7 +141,7 @@ SELECT least(PLAYER1_ID, PLAYER2_ID) AS lo, greatest(PLAYER1_ID, PLAYER2_ID) AS
 FROM pbp GROUP BY 1, 2"""))
 def pair_key(spark, sf):
     """Row-wise min / max of two columns; a missing side is ignored."""
-    log = V.pbp(spark, sf)
+    log = V.log(spark, sf)
     return log.groupBy(F.least("PLAYER1_ID", "PLAYER2_ID").alias("lo"),
                        F.greatest("PLAYER1_ID", "PLAYER2_ID").alias("hi")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -151,7 +151,7 @@ def _season_career_role(spark, sf, role):
     career from one grouping-sets pass."""
     from courtstats.operators.aggregate import grouping_sets_leaderboard
 
-    log = V.pbp(spark, sf).filter(text_any(S, "Alley")).filter(
+    log = V.log(spark, sf).filter(text_any(S, "Alley")).filter(
         ~text_any(S, "MISS", kind="starts")).filter(F.col("PLAYER2_NAME").isNotNull())
     return grouping_sets_leaderboard(log, role, "SEASON", [F.count(F.lit(1)).alias("count")], "count", 5)
 
@@ -208,15 +208,20 @@ timeline_c AS (
 TIMELINE = O.PBP + _TIMELINE_SQL
 
 
+def _scored(spark, sf):
+    """The score timeline and the cuts of its log (sampled once)."""
+    cuts = V.pbp_cuts(spark, sf)
+    return EV.score_timeline(V.pbp(spark, sf, cuts), cuts=cuts), cuts
+
+
 def _timeline(spark, sf):
-    tl = EV.score_timeline(V.pbp(spark, sf))
-    return tl.withColumn("clutch", EV.clutch_flag())
+    return _scored(spark, sf)[0].withColumn("clutch", EV.clutch_flag())
 
 
 @register("score_timeline", O.with_views(TIMELINE, body="""
 SELECT GAME_ID, EVENTNUM, SCORE, SCOREMARGIN, visitor_score, home_score FROM timeline"""))
 def score_timeline(spark, sf):
-    return EV.score_timeline(V.pbp(spark, sf)).select(
+    return _scored(spark, sf)[0].select(
         "GAME_ID", "EVENTNUM", "SCORE", "SCOREMARGIN", "visitor_score", "home_score")
 
 
@@ -225,7 +230,8 @@ SELECT GAME_ID, EVENTNUM, f_score AS score_filled FROM tl_fill"""))
 def forward_fill(spark, sf):
     from courtstats.operators.sequence import fill
 
-    return fill(V.pbp(spark, sf), "GAME_ID", "EVENTNUM", "SCORE", "down") \
+    cuts = V.pbp_cuts(spark, sf)
+    return fill(V.pbp(spark, sf, cuts), "GAME_ID", "EVENTNUM", "SCORE", "down", cuts=cuts) \
         .select("GAME_ID", "EVENTNUM", F.col("SCORE").alias("score_filled"))
 
 
@@ -237,7 +243,8 @@ FROM pbp"""))
 def backward_fill(spark, sf):
     from courtstats.operators.sequence import fill
 
-    return fill(V.pbp(spark, sf), "GAME_ID", "EVENTNUM", "SCORE", "up") \
+    cuts = V.pbp_cuts(spark, sf)
+    return fill(V.pbp(spark, sf, cuts), "GAME_ID", "EVENTNUM", "SCORE", "up", cuts=cuts) \
         .select("GAME_ID", "EVENTNUM", F.col("SCORE").alias("score_next"))
 
 
@@ -254,7 +261,7 @@ FROM pbp GROUP BY 1, 2"""))
 def clock_seconds_q(spark, sf):
     from courtstats.functions.text import clock_seconds
 
-    log = V.pbp(spark, sf)
+    log = V.log(spark, sf)
     return log.groupBy("PCTIMESTRING", clock_seconds("PCTIMESTRING").alias("seconds")) \
               .agg(F.count(F.lit(1)).alias("n"))
 
@@ -334,20 +341,22 @@ gw_players AS (
 
 @register("game_results", O.with_views(_GW_SQL, body="SELECT * FROM results"))
 def game_results(spark, sf):
-    return EV.game_results(EV.score_timeline(V.pbp(spark, sf)))
+    return EV.game_results(_scored(spark, sf)[0])
 
 
 @register("first_crossing", O.with_views(_GW_SQL, body="""
 SELECT GAME_ID, EVENTNUM, PLAYER1_NAME, home_score, visitor_score FROM crossing"""))
 def first_crossing(spark, sf):
-    return EV.first_crossing(EV.score_timeline(V.pbp(spark, sf))).select(
+    timeline, cuts = _scored(spark, sf)
+    return EV.first_crossing(timeline, cuts=cuts).select(
         "GAME_ID", "EVENTNUM", "PLAYER1_NAME", "home_score", "visitor_score")
 
 
 @register("award_game_winners", O.with_views(_GW_SQL, body="""
 SELECT * FROM gw_players QUALIFY rank() OVER (ORDER BY game_winning_points DESC) <= 5"""))
 def award_game_winners(spark, sf):
-    return top_n(EV.game_winners(EV.score_timeline(V.pbp(spark, sf))), "game_winning_points", 5)
+    timeline, cuts = _scored(spark, sf)
+    return top_n(EV.game_winners(timeline, cuts=cuts), "game_winning_points", 5)
 
 
 # --- E12 / I6 / L46: neighbours ----------------------------------------------
@@ -366,7 +375,7 @@ SELECT GAME_ID, EVENTNUM, next_home_play, next_player, last_player FROM nb"""))
 def lead_lag(spark, sf):
     from courtstats.operators.sequence import neighbours
 
-    n = neighbours(V.pbp(spark, sf), "GAME_ID", "EVENTNUM", {
+    n = neighbours(V.log(spark, sf), "GAME_ID", "EVENTNUM", {
         "next_home_play": ("HOMEDESCRIPTION", 1), "next_player": ("PLAYER1_ID", 1),
         "last_player": ("PLAYER1_ID", -1)})
     return n.select("GAME_ID", "EVENTNUM", "next_home_play", "next_player", "last_player")
@@ -385,13 +394,13 @@ GROUP BY PLAYER1_NAME"""
 
 @register("neighbour_pattern", O.with_views(_NB_SQL, body=_OWN_REB_SQL))
 def neighbour_pattern(spark, sf):
-    return EV.neighbour_pattern(V.pbp(spark, sf))
+    return EV.neighbour_pattern(V.log(spark, sf))
 
 
 @register("award_own_rebound", O.with_views(_NB_SQL, body=f"""
 SELECT * FROM ({_OWN_REB_SQL}) q QUALIFY rank() OVER (ORDER BY fixed_points DESC) <= 10"""))
 def award_own_rebound(spark, sf):
-    return top_n(EV.neighbour_pattern(V.pbp(spark, sf)), "fixed_points", 10)
+    return top_n(EV.neighbour_pattern(V.log(spark, sf)), "fixed_points", 10)
 
 
 # --- I7 / L12: block outcomes --------------------------------------------------
@@ -421,7 +430,7 @@ rates AS (
 
 
 def _rates(spark, sf):
-    r = EV.event_outcome_rates(V.pbp(spark, sf))
+    r = EV.event_outcome_rates(V.log(spark, sf))
     return r.withColumn("percent_blk_recovered_by_own", r6("percent_blk_recovered_by_own"))
 
 
@@ -458,7 +467,7 @@ matches AS (
 @register("same_moment_union", O.with_views(_SM_SQL, body="""
 SELECT GAME_ID, PLAYER1_NAME_x, PLAYER1_NAME_y, count(*) AS n FROM matches GROUP BY 1, 2, 3"""))
 def same_moment_union(spark, sf):
-    m = EV.same_moment_counts(V.pbp(spark, sf))
+    m = EV.same_moment_counts(V.log(spark, sf))
     return m.groupBy("GAME_ID", "PLAYER1_NAME_x", "PLAYER1_NAME_y").agg(F.sum("n").alias("n"))
 
 
@@ -466,7 +475,7 @@ def same_moment_union(spark, sf):
 SELECT PLAYER1_NAME_x, count(*) AS count FROM matches GROUP BY 1
 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 10"""))
 def award_same_moment_fouls(spark, sf):
-    m = EV.same_moment_counts(V.pbp(spark, sf))
+    m = EV.same_moment_counts(V.log(spark, sf))
     return top_n(m.groupBy("PLAYER1_NAME_x").agg(F.sum("n").alias("count")), "count", 10)
 
 
@@ -474,7 +483,7 @@ def award_same_moment_fouls(spark, sf):
 SELECT PLAYER1_NAME_y, count(*) AS count FROM matches GROUP BY 1
 QUALIFY rank() OVER (ORDER BY count(*) DESC) <= 10"""))
 def award_same_moment_drawn(spark, sf):
-    m = EV.same_moment_counts(V.pbp(spark, sf))
+    m = EV.same_moment_counts(V.log(spark, sf))
     return top_n(m.groupBy("PLAYER1_NAME_y").agg(F.sum("n").alias("count")), "count", 10)
 
 
@@ -485,7 +494,7 @@ JOIN (SELECT * FROM pbp WHERE {sql_any(_rx('PTS'))}) s
   ON f.GAME_ID = s.GAME_ID AND f.PERIOD = s.PERIOD AND f.PCTIMESTRING = s.PCTIMESTRING
 GROUP BY 1, 2, 3"""))
 def same_moment_pairs(spark, sf):
-    log = V.pbp(spark, sf)
+    log = V.log(spark, sf)
     keys = ["GAME_ID", "PERIOD", "PCTIMESTRING"]
     f = log.filter(text_any(S, "S.FOUL")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_f"))
     s = log.filter(text_any(S, "PTS")).groupBy(*keys).agg(F.count(F.lit(1)).alias("_s"))
@@ -502,7 +511,7 @@ made_dunks AS (SELECT d.* FROM dunks d ANTI JOIN missed m ON m.GAME_ID = d.GAME_
 
 
 def _made_dunks(spark, sf):
-    log = V.pbp(spark, sf)
+    log = V.log(spark, sf)
     dunks = log.filter(text_any(S, "Dunk"))
     missed = dunks.filter(text_any(S, "MISS"))
     return row_difference(dunks, missed)
@@ -561,7 +570,7 @@ budget AS (
 
 
 def _budget(spark, sf):
-    b = EV.timeout_budget(V.pbp(spark, sf), V.teams(spark, sf), two_words=(V.TWO_WORDS,))
+    b = EV.timeout_budget(V.log(spark, sf), V.teams(spark, sf), two_words=(V.TWO_WORDS,))
     return b.select("team", "team_name", "games", "overtimes", "num_timeouts", "num_timeouts_used",
                     r6("timeout_use_percent").alias("timeout_use_percent"))
 
@@ -584,7 +593,7 @@ SELECT PLAYER1_TEAM_ABBREVIATION AS team, count(*) AS periods FROM (
   SELECT DISTINCT GAME_ID, PERIOD, PLAYER1_TEAM_ABBREVIATION FROM pbp WHERE PLAYER1_TEAM_ABBREVIATION IS NOT NULL) s
 GROUP BY 1"""))
 def distinct_periods(spark, sf):
-    s = V.pbp(spark, sf).filter(F.col("PLAYER1_TEAM_ABBREVIATION").isNotNull()) \
+    s = V.log(spark, sf).filter(F.col("PLAYER1_TEAM_ABBREVIATION").isNotNull()) \
         .select("GAME_ID", "PERIOD", F.col("PLAYER1_TEAM_ABBREVIATION").alias("team")).distinct()
     return s.groupBy("team").agg(F.count(F.lit(1)).alias("periods"))
 
@@ -594,7 +603,7 @@ SELECT GAME_ID, count_if({sql_any(_rx('MISS'))}) AS misses, count_if(PERIOD <= 4
        count_if({sql_any(_rx('3PT'))}) AS threes
 FROM pbp GROUP BY GAME_ID"""))
 def count_if_q(spark, sf):
-    log = V.pbp(spark, sf)
+    log = V.log(spark, sf)
     return log.groupBy("GAME_ID").agg(F.count_if(text_any(S, "MISS")).alias("misses"),
                                       (F.count_if(F.col("PERIOD") <= 4) / 4).alias("games"),
                                       F.count_if(text_any(S, "3PT")).alias("threes"))

@@ -602,7 +602,7 @@ blk_h AS (
 def _size_gap(spark, sf):
     from courtstats.functions.predicates import text_any
 
-    log = V.pbp(spark, sf).filter(text_any(["HOMEDESCRIPTION", "VISITORDESCRIPTION"], "BLOCK"))
+    log = V.log(spark, sf).filter(text_any(["HOMEDESCRIPTION", "VISITORDESCRIPTION"], "BLOCK"))
     # counts per pair of players first: the joins see one row per pair
     log = log.filter(F.col("PLAYER1_ID").isNotNull() & F.col("PLAYER3_ID").isNotNull()).groupBy(
         "PLAYER1_ID", "PLAYER3_ID", "PLAYER3_NAME").agg(F.count(F.lit(1)).alias("n"))

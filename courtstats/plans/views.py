@@ -12,7 +12,7 @@
 * ``cap``                 -- a yearly scalar (``cap``) from ``orders``
 
 All are plain DataFrame plans; the equivalent DuckDB SQL lives in
-``courtstats.plans.oracle`` and must stay in step with this module.
+``courtstats.plans.oracle_views`` and must stay in step with this module.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtstats.operators.rank import prefer_total_row
-from courtstats.operators.sequence import running_sum
+from courtstats.operators.sequence import Cuts, find_cuts, running_sum
 from courtstats.sources.tables import table
 
 # Fixed values of the synthetic event texts (the words the awards search for).
@@ -72,11 +72,39 @@ def teams(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("n_regionkey").alias("region"))
 
 
-def pbp(spark: SparkSession, sf_dir: str, chunk_size=None) -> DataFrame:
-    """Play-by-play log: one row per event, key (GAME_ID, EVENTNUM)."""
-    from courtstats.operators.sequence import DEFAULT_CHUNK
+def pbp_cuts(spark: SparkSession, sf_dir: str) -> Cuts:
+    """Where the sequences of ``pbp`` are cut (one pass over game and event number)."""
+    ev = table(spark, sf_dir, "events")
+    return find_cuts(ev.select(F.col("user_id").alias("GAME_ID"), F.col("event_id").alias("EVENTNUM")),
+                     "GAME_ID", "EVENTNUM")
 
-    chunk_size = DEFAULT_CHUNK if chunk_size is None else chunk_size
+
+def pbp(spark: SparkSession, sf_dir: str, cuts: Cuts | None = None) -> DataFrame:
+    """Play-by-play log with the running score (SCORE, SCOREMARGIN)."""
+    d = running_sum(_events(spark, sf_dir), "GAME_ID", "EVENTNUM", ["_hp", "_vp"],
+                    cuts=cuts or pbp_cuts(spark, sf_dir))
+    h, v = F.col("_hp_run"), F.col("_vp_run")
+    scoring = F.col("_pts") > 0
+    return d.select(
+        *LOG[:7],
+        F.when(scoring, F.concat(v.cast("string"), F.lit(" - "), h.cast("string"))).alias("SCORE"),
+        F.when(scoring, F.when(h == v, F.lit("TIE")).otherwise((h - v).cast("string"))).alias("SCOREMARGIN"),
+        *LOG[7:])
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pbp`` without the score: a projection of the event table, for the queries
+    that do not read the score."""
+    return _events(spark, sf_dir).select(*LOG)
+
+
+LOG = ["GAME_ID", "EVENTNUM", "SEASON", "PERIOD", "PCTIMESTRING", "HOMEDESCRIPTION", "VISITORDESCRIPTION",
+       "PLAYER1_ID", "PLAYER1_NAME", "PLAYER2_ID", "PLAYER2_NAME", "PLAYER3_ID", "PLAYER3_NAME",
+       "PLAYER1_TEAM_ABBREVIATION"]
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per event, key (GAME_ID, EVENTNUM), and the points it scores."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     e, t, g = F.col("event_id"), F.col("event_type"), F.col("user_id")
     home = e % 2 == 0
@@ -109,7 +137,7 @@ def pbp(spark: SparkSession, sf_dir: str, chunk_size=None) -> DataFrame:
     p1 = F.when(~team_event, e % 7)
     p2 = F.when((pts >= 2) & (e % 5 != 0), e % 23)
     p3 = F.when(blocked, e % 29)
-    d = d.select(
+    return d.select(
         "GAME_ID", "EVENTNUM", "SEASON", "PERIOD", "PCTIMESTRING",
         F.when(home, text).otherwise(other).alias("HOMEDESCRIPTION"),
         F.when(home, other).otherwise(text).alias("VISITORDESCRIPTION"),
@@ -121,16 +149,6 @@ def pbp(spark: SparkSession, sf_dir: str, chunk_size=None) -> DataFrame:
         F.when(home, pts).otherwise(0).alias("_hp"),
         F.when(home, 0).otherwise(pts).alias("_vp"),
     )
-    d = running_sum(d, "GAME_ID", "EVENTNUM", ["_hp", "_vp"], chunk_size=chunk_size)
-    h, v = F.col("_hp_run"), F.col("_vp_run")
-    scoring = F.col("_pts") > 0
-    return d.select(
-        "GAME_ID", "EVENTNUM", "SEASON", "PERIOD", "PCTIMESTRING", "HOMEDESCRIPTION", "VISITORDESCRIPTION",
-        F.when(scoring, F.concat(v.cast("string"), F.lit(" - "), h.cast("string"))).alias("SCORE"),
-        F.when(scoring, F.when(h == v, F.lit("TIE")).otherwise((h - v).cast("string"))).alias("SCOREMARGIN"),
-        "PLAYER1_ID", "PLAYER1_NAME", "PLAYER2_ID", "PLAYER2_NAME", "PLAYER3_ID", "PLAYER3_NAME",
-        "PLAYER1_TEAM_ABBREVIATION",
-    )
 
 
 def _order_box(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from courtstats.llm import bwt_dedup, decontam, embed_dedup, langid, lattice_lm, mixing, secret_scan, simhash, suffix_tree, toxicity
+from courtstats.llm import (
+    bwt_dedup, conv_trie, decontam, embed_dedup, hard_negatives, langid, lattice_lm, mixing, quality_rules, secret_scan,
+    simhash, suffix_tree, toxicity,
+)
 from courtstats.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +77,30 @@ def op2_bwt_substring_dedup(spark, sf_dir):
 @query
 def op6_suffix_tree_dedup(spark, sf_dir):
     return suffix_tree.dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_risk_controlled_quality(spark, sf_dir):
+    d = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return d.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
+ORACLES["op11_risk_controlled_quality"] = quality_rules.oracle()
+
+
+@query
+def op12_conversation_trie(spark, sf_dir):
+    return conv_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_conversation_trie"] = conv_trie.ORACLE
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op13_hard_negatives"] = hard_negatives.ORACLE

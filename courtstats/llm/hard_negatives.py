@@ -7,11 +7,12 @@ between ``low`` and ``high`` percent of the positive's are its hard negatives.
 
 Index, one row per vector: the integer vector v is rotated by a seeded orthonormal matrix
 (r = R v) and kept as one bit a dimension, b = sign(r) / sqrt(d), with its alignment
-a = <b, r> and the length e of what the code misses (e^2 = |v|^2 - a^2).  An anchor
-q is rotated the same way and cut into ``PLANES`` bit planes, so <b, q> is a weighted sum of
-popcounts, exact up to the rounding t of the planes.  As v = a b + (a part normal to b),
+a = <b, r>.  What that code misses, r - a b, gets a one-bit code and alignment of its own, and so
+on: ``LEVELS`` codes, and the length e of what they all miss.  An anchor q is rotated the
+same way and cut into ``PLANES`` bit planes, so <b, q> is a weighted sum of
+popcounts, exact up to the rounding t of the planes.  As the rest is normal to the last b,
 
-    |<v, q> - a <b, q>|  <=  e * sqrt(|q|^2 - <b, q>^2)        (Cauchy-Schwarz)
+    |<v, q> - sum of a <b, q>|  <=  e * sqrt(|q|^2 - <last b, q>^2)        (Cauchy-Schwarz)
 
 which holds for every pair, not on average.  A row whose interval cannot reach the
 anchor's best ones (by the lower ends of the others) or its score bands is out; all
@@ -43,11 +44,11 @@ SCALE = 256
 POSITIVES, NEGATIVES = 5, 3
 LOW, HIGH = 50, 95
 BLOCK = 8192
-PLANES = 6
+LEVELS, PLANES = 6, 8
 SEED = 13
 CHUNK = 1 << 21  # cells of a score matrix held at once
 
-INDEX = "uid long, vec_id long, label long, anchor boolean, dim int, ints binary, code binary, align double, rest double"
+INDEX = "uid long, vec_id long, label long, anchor boolean, dim int, ints binary, code binary, align binary, rest double"
 HIT = "uid long, band int, other long, score long"
 
 
@@ -68,17 +69,20 @@ def integers(x: np.ndarray) -> np.ndarray:
 
 
 def encode(v: np.ndarray):
-    """(codes as uint64 words, alignment, length of the rest) of integer vectors."""
+    """Codes (rows, levels, uint64 words), alignments (rows, levels) and length of the
+    rest of integer vectors."""
     n, d = v.shape
+    codes, align = np.zeros((n, LEVELS, -(-d // 64)), np.uint64), np.zeros((n, LEVELS))
     if not d:
-        return np.zeros((n, 0), np.uint64), np.zeros(n), np.zeros(n)
+        return codes, align, np.zeros(n)
     r = v @ rotation(d).T
-    bits = np.zeros((n, -(-d // 64) * 64), np.uint8)
-    bits[:, :d] = r > 0
-    code = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-    align = np.abs(r).sum(axis=1) / np.sqrt(d)
-    rest = np.sqrt(np.maximum((r * r).sum(axis=1) - align * align, 0))
-    return code, align, rest
+    for level in range(LEVELS):
+        bits = np.zeros((n, -(-d // 64) * 64), np.uint8)
+        bits[:, :d] = r > 0
+        codes[:, level] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        align[:, level] = np.abs(r).sum(axis=1) / np.sqrt(d)
+        r = r - (align[:, level] / np.sqrt(d))[:, None] * np.where(r > 0, 1.0, -1.0)
+    return codes, align, np.sqrt((r * r).sum(axis=1))
 
 
 def planes(q: np.ndarray):
@@ -98,18 +102,22 @@ def planes(q: np.ndarray):
 def intervals(index, at: slice, code: np.ndarray, align: np.ndarray, rest: np.ndarray, d: int):
     """Lower and upper ends of the scores of anchors ``at`` with all rows."""
     words, step, lo, total, off, size = (x[at] for x in index)
-    ones = np.bitwise_count(code).sum(axis=1, dtype=np.int32)
-    hits = np.zeros((len(step), len(code)))
-    for p in range(PLANES):
-        for w in range(code.shape[1]):
-            hits += float(1 << p) * np.bitwise_count(words[:, p, w, None] & code[None, :, w])
-    # <b, q> from the set bits: twice their sum less the sum of all components
-    dot = (2 * (lo[:, None] * ones[None, :] + step[:, None] * hits) - total[:, None]) / np.sqrt(d)
     slip = (off / np.sqrt(d))[:, None]
+    mid, wide = np.zeros((len(step), len(code))), 0.0
+    for level in range(LEVELS):
+        c = code[:, level]
+        ones = np.bitwise_count(c).sum(axis=1, dtype=np.int64)
+        hits = np.zeros(mid.shape, np.float32)  # whole numbers below 2**24: exact
+        for p in range(PLANES):
+            for w in range(c.shape[1]):
+                hits += np.float32(1 << p) * np.bitwise_count(words[:, p, w, None] & c[None, :, w])
+        # <b, q> from the set bits: twice their sum less the sum of all components
+        dot = (2 * (lo[:, None] * ones[None, :] + step[:, None] * hits) - total[:, None]) / np.sqrt(d)
+        mid += align[:, level] * dot
+        wide = wide + align[:, level] * slip
     sure = np.maximum(np.abs(dot) - slip, 0)
-    wide = align * slip + rest * np.sqrt(np.maximum((size * size)[:, None] - sure * sure, 0))
-    wide += 1e-9 * (size[:, None] * (align + rest) + 1) + 1e-6  # rounding of this arithmetic
-    mid = align * dot
+    wide = wide + rest * np.sqrt(np.maximum((size * size)[:, None] - sure * sure, 0))
+    wide += 1e-9 * (size[:, None] * (align.sum(axis=1) + rest) + 1) + 1e-6  # rounding of this arithmetic
     return mid - wide, mid + wide
 
 
@@ -178,9 +186,10 @@ def _search(rows: pa.Table, anchors: pa.Table, pos: int, neg: int, low: int, hig
             continue
         dim = int(dim)
         v = _ints(r["ints"], dim)
-        code = np.frombuffer(b"".join(r["code"].to_pylist()), np.uint64).reshape(len(v), -(-dim // 64))
+        code = np.frombuffer(b"".join(r["code"].to_pylist()), np.uint64).reshape(len(v), LEVELS, -(-dim // 64))
         q = _ints(a["a_ints"], dim)
-        align, rest = np.asarray(r["align"]), np.asarray(r["rest"])
+        align = np.frombuffer(b"".join(r["align"].to_pylist()), np.float64).reshape(len(v), LEVELS)
+        rest = np.asarray(r["rest"])
         ids, label = np.asarray(r["vec_id"]), np.asarray(r["label"])
         a_id, a_label, uid = np.asarray(a["anchor_id"]), np.asarray(a["a_label"]), np.asarray(a["uid"])
         index = planes(q) if dim else None
@@ -252,7 +261,8 @@ def index(vectors: DataFrame, anchor: Column) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({
                     **{c: b.column(c).take(pa.array(at)) for c in ("uid", "vec_id", "label", "anchor")},
                     "dim": np.full(len(at), dim, np.int32), "ints": [x.tobytes() for x in ints],
-                    "code": [x.tobytes() for x in code], "align": align, "rest": rest})
+                    "code": [x.tobytes() for x in code],
+                    "align": [x.tobytes() for x in align], "rest": rest})
 
     return materialise(d.mapInArrow(pack, INDEX), "negatives")
 

@@ -75,9 +75,6 @@ def _key(depth: Column, lanes: list[Column]) -> list[Column]:
     return [F.xxhash64(depth, *lanes), F.xxhash64(*lanes, depth)]
 
 
-ROOT = [F.lit(0).cast("long")] * 4
-
-
 def prefixes(rebuilt: DataFrame) -> DataFrame:
     """conv_id, depth, words, (k1, k2): key of the prefix, (p1, p2): of the one before it."""
     e1, e2 = F.xxhash64("depth", "c1"), F.xxhash64("depth", "c2")
@@ -91,17 +88,13 @@ def prefixes(rebuilt: DataFrame) -> DataFrame:
 
 
 def _root_key(n: str) -> Column:
-    return _key(ROOT[0], ROOT)[int(n[-1]) - 1].alias(n)
-
-
-def _on(left: DataFrame, right: DataFrame, a: str, b: str):
-    return (left[a + "1"] == right[b + "1"]) & (left[a + "2"] == right[b + "2"])
+    zero = F.lit(0).cast("long")
+    return _key(zero, [zero] * len(LANES))[int(n[-1]) - 1].alias(n)
 
 
 def subtree_totals(nodes: DataFrame, values: list[str]) -> DataFrame:
     """``nodes``: k1, k2, p1, p2 (null for the one root), depth and longs ``values``.
     Returns k1, k2 and the values summed over every node's subtree."""
-    spark = nodes.sparkSession
     count = nodes.where("p1 is not null").groupBy(F.col("p1").alias("_p1"), F.col("p2").alias("_p2")).agg(F.count("*").alias("m"))
     state = materialise(nodes.join(count, (F.col("k1") == F.col("_p1")) & (F.col("k2") == F.col("_p2")), "left")
                         .select("k1", "k2", "p1", "p2", "depth", *values, F.coalesce("m", F.lit(0)).alias("m")), "trie")

@@ -137,3 +137,25 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return remove(docs, spec(width, gram)).select(
         "doc_id", F.col("total").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
+#: the same in DuckDB SQL, where no two rows share a doc_id
+ORACLE = f"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY md5(substr(x, 2 * pos + 1, {2 * WIDTH})) ORDER BY doc_id, pos) AS nth
+  FROM (SELECT doc_id, x, unnest(range(0, n - {WIDTH - 1})) AS pos FROM t)),
+later AS (
+  SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + {WIDTH} THEN 0 ELSE 1 END AS new
+  FROM w WHERE nth > 1),
+runs AS (
+  SELECT doc_id, min(pos) AS a, max(pos) + {WIDTH} AS z
+  FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM later) GROUP BY doc_id, run),
+gaps AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_z FROM runs),
+cut AS (
+  SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(x, 2 * from_z + 1, 2 * (a - from_z)), '' ORDER BY a) || any_value(substr(x, 2 * last_z + 1)) AS kept
+  FROM gaps JOIN (SELECT doc_id, max(z) AS last_z FROM runs GROUP BY doc_id) USING (doc_id) JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM t LEFT JOIN cut USING (doc_id)"""

@@ -191,20 +191,23 @@ def _bounds(word: np.ndarray, pairs: np.ndarray, things: int, k: np.ndarray, s:
     return out
 
 
-def _find(docs: DataFrame, items: list[tuple]) -> DataFrame:
+def _result(docs: DataFrame, keep: list[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    return ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", item_id long, align_score long, share double, first_word long"
+
+
+def _find(docs: DataFrame, items: list[tuple], keep: list[str]) -> DataFrame:
     import pyarrow as pa
 
     vocab = Lookup(np.concatenate([i[1] for i in items]))
     pairs = np.unique(np.concatenate([np.searchsorted(vocab.keys, i[1]) * len(items) + k for k, i in enumerate(items)]))
     shared = docs.sparkSession.sparkContext.broadcast(
         ([(i[0], i[1]) for i in items], _index(items), vocab, pairs))
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches):
         things, index, vocab, pairs = shared.value
         size = np.array([len(w) for _, w in things])
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
             out, base = [], 0
             for part in slices(b, SLICE):
                 h, d = words(*binary_column(part.column("text")))
@@ -227,23 +230,25 @@ def _find(docs: DataFrame, items: list[tuple]) -> DataFrame:
                 for (doc, k), (score, place) in sorted(best.items()):
                     m = len(things[k][1])
                     if score >= least(m):
-                        out.append((ids[base + doc], things[k][0], score, score / (MATCH * m), place))
+                        out.append((base + doc, things[k][0], score, score / (MATCH * m), place))
                 base += part.num_rows
             cols = list(zip(*out)) or [()] * 5
+            row = pa.array(cols[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], b.schema.field("doc_id").type), pa.array(cols[1], pa.int64()),
+                [*(b.column(c).take(row) for c in keep), pa.array(cols[1], pa.int64()),
                  pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int64())],
-                ["doc_id", "item_id", "align_score", "share", "first_word"])
+                [*keep, "item_id", "align_score", "share", "first_word"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kinds['doc_id']}, item_id long, align_score long, share double, first_word long")
+    return docs.select(*keep, "text").mapInArrow(run, _result(docs, keep))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """doc_id, item_id, align_score, share (of the item's best possible score) and
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS,
+                 keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of the document, item_id, align_score, share (of the item's best possible score) and
     first_word (the aligned window's first word in the document) of every
     contaminated pair."""
-    d = docs.select("doc_id", F.col("text"))
+    keep = list(keep)
+    d = docs.select(*keep, F.col("text"))
     b = benchmark.select("item_id", "text")
     blocks = max(1, -(-b.count() // block_items))
     out = None
@@ -251,14 +256,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
         rows = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()  # about block_items rows
         items = _items(rows)
         if items:
-            found = _find(d, items)
+            found = _find(d, items, keep)
             out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame(
-        [], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, align_score long, share double, first_word long")
+    return out if out is not None else docs.sparkSession.createDataFrame([], _result(d, keep))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with all their columns (rows
-    that share the doc_id of a contaminated row go with it)."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]), "left_anti")
+    """The rows of ``docs`` that hold no test item, with all their columns.  A row is told
+    by its id and a hash of all its columns: rows that share the id of a contaminated
+    row, or have none like it, stay unless they are equal to it."""
+    cols = list(docs.columns)
+    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in cols])
+    d = docs.select(F.struct(*cols).alias("__row"), "doc_id", "text", F.xxhash64(*cols, nulls).alias("__h"))
+    bad = contaminated(d, benchmark, keep=("doc_id", "__h")).select(F.col("doc_id").alias("__id"), F.col("__h").alias("__k")).distinct()
+    same = d["__h"].eqNullSafe(bad["__k"]) & d["doc_id"].eqNullSafe(bad["__id"])
+    return d.join(bad, same, "left_anti").select("__row.*")

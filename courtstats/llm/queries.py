@@ -74,11 +74,17 @@ def op2_bwt_substring_dedup(spark, sf_dir):
     return bwt_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op2_bwt_substring_dedup"] = bwt_dedup.ORACLE
+
+
 @query
 def op6_suffix_tree_dedup(spark, sf_dir):
     return suffix_tree.dedup(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op6_suffix_tree_dedup"] = suffix_tree.ORACLE
+
+
 @query
 def op11_risk_controlled_quality(spark, sf_dir):
     d = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

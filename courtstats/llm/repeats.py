@@ -37,11 +37,11 @@ from courtstats.llm.common import (
 
 HOT, BUCKET, SEGMENT, SLICE = 10_000, 2 << 20, 1 << 19, 1 << 20
 NO_ID = -(1 << 63)
-#: a run in four numbers: anchor hash; content hash with its number of windows and a
-#: mark for known repeats in the low bits; document id; text hash and first window
-RUN = "h long, c long, dk long, at long"
-PLACE_BITS = 31  # first window: texts of up to two billion symbols
-SPAN = "dk long, th int, first long, n int"
+#: a run: anchor hash; content hash with its number of windows and a mark for known
+#: repeats in the low bits; document id; text hash; first window (texts of up to two
+#: billion symbols)
+RUN = "h long, c long, dk long, th long, first int"
+SPAN = "dk long, th long, first long, n int"
 
 
 @dataclass(frozen=True)
@@ -116,7 +116,7 @@ class Spec:
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("dk"),
-                       F.hash(text).alias("th"))
+                       F.xxhash64(text).alias("th"))
 
 
 def _runs(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -156,16 +156,16 @@ def packed(h, c, dk, th, first, n, dup):
     import pyarrow as pa
 
     c = (c.astype(np.uint64) & ~np.uint64(511)) | (n.astype(np.uint64) << np.uint64(1)) | dup.astype(np.uint64)
-    at = (th.astype(np.int64) << PLACE_BITS) | first.astype(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(h.astype(np.uint64).view(np.int64)), pa.array(c.view(np.int64)),
-                                       pa.array(dk.astype(np.int64)), pa.array(at)], ["h", "c", "dk", "at"])
+                                       pa.array(dk.astype(np.int64)), pa.array(th.astype(np.int64)),
+                                       pa.array(first.astype(np.int32))], ["h", "c", "dk", "th", "first"])
 
 
 def _marked(runs: DataFrame) -> DataFrame:
     """Runs that are repeated (kind 0), that need their text (1) or a finer split (2).
     One exchange, by anchor, and one sort serve both windows."""
-    place = F.struct("dk", "at")
-    same = Window.partitionBy("h", "c").orderBy("dk", "at")
+    place = F.struct("dk", "th", "first")
+    same = Window.partitionBy("h", "c").orderBy("dk", "th", "first")
     anchor = Window.partitionBy("h")
     r = (runs.repartition("h").withColumn("low", F.first(place).over(same)).withColumn("nth", F.row_number().over(same))
          .withColumn("many", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(anchor)))
@@ -173,9 +173,7 @@ def _marked(runs: DataFrame) -> DataFrame:
     kind = (F.when(repeated, 0).when((F.col("nth") > 1) | (F.col("many") < 2), F.lit(None))
             .when(F.col("many") > HOT, 2).otherwise(1))
     return r.withColumn("kind", kind).where("kind is not null").select(
-        "kind", F.when(F.col("kind") > 0, F.col("h")).alias("h"), "dk",
-        F.shiftright("at", PLACE_BITS).cast("int").alias("th"),
-        F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("first"),
+        "kind", F.when(F.col("kind") > 0, F.col("h")).alias("h"), "dk", "th", F.col("first").cast("long").alias("first"),
         F.shiftright(F.col("c").bitwiseAND(F.lit(511)), 1).cast("int").alias("n"))
 
 
@@ -198,10 +196,10 @@ def _texts(joined: DataFrame, spec: Spec) -> DataFrame:
                     rows += [(r["h"], dk, th, r["first"], r["n"], cut(r["first"], r["n"])) for r in runs]
                 yield pa.RecordBatch.from_pylist(
                     [dict(zip(("h", "dk", "th", "first", "n", "text"), r)) for r in rows],
-                    pa.schema([("h", pa.int64()), ("dk", pa.int64()), ("th", pa.int32()), ("first", pa.int64()),
+                    pa.schema([("h", pa.int64()), ("dk", pa.int64()), ("th", pa.int64()), ("first", pa.int64()),
                                ("n", pa.int32()), ("text", pa.binary())]))
 
-    return joined.mapInArrow(run, "h long, dk long, th int, first long, n int, text binary")
+    return joined.mapInArrow(run, "h long, dk long, th long, first long, n int, text binary")
 
 
 def _single(joined: DataFrame, spec: Spec) -> DataFrame:
@@ -272,7 +270,7 @@ def _searched(texts: DataFrame, spec: Spec, buckets: int) -> DataFrame:
             tail = np.r_[cut[1:], len(first)] - 1
             n = first[tail] - first[cut] + 1 if len(cut) else n
             dk, th, first = dk[cut], th[cut], first[cut]
-        return pa.table({"dk": pa.array(dk.astype(np.int64)), "th": pa.array(th.astype(np.int32)),
+        return pa.table({"dk": pa.array(dk.astype(np.int64)), "th": pa.array(th.astype(np.int64)),
                          "first": pa.array(first.astype(np.int64)), "n": pa.array(n.astype(np.int32))})
 
     return (texts.withColumn("bucket", F.pmod("h", F.lit(buckets))).drop("h").groupBy("bucket").applyInArrow(one, SPAN))

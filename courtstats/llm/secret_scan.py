@@ -35,8 +35,8 @@ from courtstats.llm.common import materialise
 
 # fixed values: the base patterns, their least lengths and the alphabets
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+ACCESS = r"AKIA[A-Z0-9]{12,}"  # 16 characters and more: the class is greedy, a shorter match holds no longer one
+HEX = r"[0-9a-f]{32,}"
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
@@ -61,22 +61,45 @@ PASS_P, FDR, TEXT_REPEAT = 0.001, 0.01, 0.075
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(values: Column) -> Column:
+    """The sum of the values before each value."""
+    none = F.expr("cast(array() as array<int>)")
+    return F.aggregate(values, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, v: F.struct(
+        (acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def _offsets(values: Column, block: int = 128) -> Column:
+    """As ``_before``, for long arrays: in blocks, so that little is copied (appending to
+    an array copies it)."""
+    def blocks(v):
+        many = F.greatest(F.ceil(F.size(v) / block).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), many - 1), lambda b: F.slice(v, b * block + 1, F.lit(block)))
+
+    def joined(parts):
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
+        return F.flatten(F.zip_with(parts, _before(totals), lambda p, o: F.transform(_before(p), lambda x: x + o)))
+    return _let(values, lambda v: _let(blocks(v), joined))
+
+
 def _matches(text: Column, pattern: str, value: int = 0) -> Column:
-    """All matches as structs (start, match, value): the pieces between the
-    matches give the offsets.  Rows without a match cost one failing search."""
-    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else whole
-    parts = F.arrays_zip(pieces.alias("gap"), whole.alias("hit"), group.alias("val"))
-    step = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,hit:string,val:string>>)").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + F.coalesce(F.length(p["hit"]), F.lit(0))).alias("at"),
-            F.when(p["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + p["gap"]).alias("start"), p["hit"].alias("hit"), p["val"].alias("val"))))).alias("out")),
-        lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), step).otherwise(
+    """All matches as structs (start, hit, val): the pieces between the matches give the
+    offsets.  Rows without a match cost one failing search."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    vals = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else hits
+
+    def placed(g, h, v):
+        steps = F.zip_with(F.slice(g, F.lit(1), F.size(h)), h, lambda a, b: a + F.length(b))
+        spots = F.zip_with(_offsets(steps), g, lambda a, b: a + b)  # one gap more than matches
+        return F.transform(F.arrays_zip(F.slice(spots, F.lit(1), F.size(h)).alias("start"), h.alias("hit"), v.alias("val")),
+                           lambda m: F.struct(m["start"].alias("start"), m["hit"].alias("hit"), m["val"].alias("val")))
+    found = _let(F.struct(gaps.alias("g"), hits.alias("h"), vals.alias("v")), lambda x: placed(x["g"], x["h"], x["v"]))
+    return F.when(text.rlike(pattern), found).otherwise(
         F.expr("cast(array() as array<struct<start:int,hit:string,val:string>>)"))
 
 
@@ -150,13 +173,11 @@ def _grid(p: Column) -> Column:
 
 def _found(docs: DataFrame, keep: Column, fdr: float) -> DataFrame:
     """``keep`` as _row, base spans by kind (a, k, h), base and found."""
-    none = F.expr(f"cast(array() as {SPAN})")
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select(keep.alias("_row"),
                     _spans(_matches(text, ASSIGN, 1), "assign", "val").alias("a"),
                     _spans(_matches(text, ACCESS), "access", "hit").alias("k"),
-                    F.when(text.rlike(r"[0-9a-f]{32}"), _spans(_matches(text, HEX), "hex", "hit"))
-                    .otherwise(none).alias("h"),
+                    _spans(_matches(text, HEX), "hex", "hit").alias("h"),
                     _candidates(text).alias("c"))
     d = d.withColumn("c", F.transform("c", lambda m: F.struct(
         m["start"].alias("start"), (m["start"] + F.length(m["hit"])).alias("end"), battery(m["hit"]).alias("b"))))
@@ -203,12 +224,13 @@ def redact(docs: DataFrame, mark: str = "[secret]", fdr: float = FDR) -> DataFra
     text = F.col("_row.text")
 
     def step(acc, s):
-        gap = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        gap = F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"])))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
                         F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-                        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    none = F.expr("cast(array() as array<string>)")
+    clean = F.aggregate("found", F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: F.array_join(
+        F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, F.length(text)))), mark))
     d = d.withColumn("_clean", F.when(F.size("found") > 0, clean))
     out = {"text": F.coalesce(F.col("_clean"), text),
            "n_chars": F.when(F.col("_clean").isNotNull(), F.length("_clean").cast("long")).otherwise(

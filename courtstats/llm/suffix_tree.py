@@ -90,3 +90,19 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     return remove(docs, spec(width, gram)).select(
         "doc_id", F.col("total").alias("n_words"), "n_removed", "kept_sha256")
+
+
+#: the same in DuckDB SQL, where no two rows share a doc_id
+ORACLE = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+u AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY md5(array_to_string(words[pos:pos + {WIDTH - 1}], ' ')) ORDER BY doc_id, pos) AS nth
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WIDTH - 2})) AS pos FROM t)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + {WIDTH})) AS pos FROM u WHERE nth > 1),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept
+  FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM t) w ANTI JOIN gone USING (doc_id, pos)
+  GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)"""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from courtstats.functions._cols import as_col
 from courtstats.operators.rank import top_n
+from courtstats.operators.sequence import DEFAULT_CHUNK, find_cuts, scan
 
 
 def _keys(k):
@@ -66,6 +67,60 @@ def leave_one_out(df: DataFrame, partition, by: str, x, w, extreme: str = "max",
                                           F.col("_sw") - F.col("_ex.w")).alias(name))
 
 
+def _nan_as_missing(df: DataFrame, col: str) -> DataFrame:
+    kind = dict(df.dtypes)[col]
+    return df.withColumn(col, F.nanvl(F.col(col), F.lit(None).cast(kind))) if kind in ("double", "float") else df
+
+
+def order_statistics(df: DataFrame, keys, col: str, positions: dict[str, Column], chunk_size=DEFAULT_CHUNK) -> DataFrame:
+    """Exact order statistics per group: ``positions`` = {name: 1-based position, an expression
+    of ``_n``, the group's number of non-missing values}; a position outside 1.._n gives null.
+
+    Rows are counted per (group, value) -- partial aggregates, so a value many rows share is
+    one row -- and the running count of the values finds the positions.  A group with more than
+    ``chunk_size`` values is cut into ranges (see ``sequence``), so no group is in one task.
+    NaN is missing.  Groups without a value are not returned."""
+    keys = _keys(keys)
+    d = _nan_as_missing(df.select(*keys, col), col).filter(F.col(col).isNotNull())
+    counts = d.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_c"))
+    s = scan(counts, keys, col, sums={"_to": "_c"}, groups={"_n": ("sum", "_c")}, cuts=find_cuts(d, keys, col, chunk_size))
+    at = {n: F.when((p <= F.col("_to")) & (p > F.col("_to") - F.col("_c")), F.col(col)) for n, p in positions.items()}
+    hit = reduce(lambda a, b: a | b, [x.isNotNull() for x in at.values()])
+    return s.filter(hit | (F.col("_to") == F.col("_n"))).groupBy(*keys).agg(
+        *[F.max(x).alias(n) for n, x in at.items()], F.max("_n").alias("_n"))
+
+
+def _middle(n: Column) -> tuple[Column, Column]:
+    return F.floor((n + 1) / 2), F.floor((n + 2) / 2)
+
+
+def exact_median(df: DataFrame, keys, col: str, name: str = "median", chunk_size=DEFAULT_CHUNK) -> DataFrame:
+    """Exact median per group (mean of the two middle values), no group in one task."""
+    lo, hi = _middle(F.col("_n"))
+    m = order_statistics(df, keys, col, {"_lo": lo, "_hi": hi}, chunk_size)
+    return m.select(*_keys(keys), ((F.col("_lo") + F.col("_hi")) / 2).alias(name))
+
+
+def leave_one_out_median(df: DataFrame, partition, by: str, x: str, extreme: str = "max", tiebreak=None,
+                         name: str = "median_wo", chunk_size=DEFAULT_CHUNK) -> DataFrame:
+    """Per partition: median of ``x`` over all rows but the extreme one by ``by``.
+
+    The middle values of the rest are among the values at the middle positions of all rows and
+    the next ones: a position moves up by one where the value there is not below the removed
+    row's.  Null where no value is left."""
+    part = _keys(partition)
+    gone = (F.max_by if extreme == "max" else F.min_by)(F.struct(F.col(x).alias("x")), F.struct(F.col(by), *[F.col(t) for t in (tiebreak or [])]))
+    d = _nan_as_missing(_nan_as_missing(df, by), x)
+    out = d.filter(F.col(by).isNotNull()).groupBy(*[F.col(p).alias("_g_" + p) for p in part]).agg(gone.alias("_out"))
+    lo, hi = _middle(F.col("_n") - 1)
+    m = order_statistics(d, part, x, {"_a": lo, "_b": hi, "_a2": lo + 1, "_b2": hi + 1, "_m": _middle(F.col("_n"))[0],
+                                      "_m2": _middle(F.col("_n"))[1]}, chunk_size)
+    j = m.join(out, reduce(lambda a, b: a & b, [m[p].eqNullSafe(out["_g_" + p]) for p in part]), "left")
+    v = F.col("_out.x")
+    rest = (F.when(F.col("_a") < v, F.col("_a")).otherwise(F.col("_a2")) + F.when(F.col("_b") < v, F.col("_b")).otherwise(F.col("_b2"))) / 2
+    return j.select(*part, F.when(v.isNull(), (F.col("_m") + F.col("_m2")) / 2).when(F.col("_n") > 1, rest).alias(name))
+
+
 def with_mean_row(df: DataFrame, keys, label_col: str, label: str, aggs: dict[str, str]) -> DataFrame:
     """Append one summary row per ``keys`` group labelled ``label`` in
     ``label_col`` (e.g. the 'TOT' row = mean games of all teams)."""

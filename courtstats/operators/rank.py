@@ -6,24 +6,30 @@ Contract
   total order: ``tiebreak`` columns, by default all other columns, are appended
   to the ordering, so a result never depends on the partitioning.
 * Missing values sort last in both directions; NaN is treated as missing.
-* A global top-n (no partition) plans as a partial ``WindowGroupLimit`` in
-  every task before the single-partition exchange, so only about n rows per
-  task move.
-* Percentile ranks are computed over the *distinct values* of the ranked
-  column (``groupBy(x).count()``), so a value that many rows share is one row.
-  The values of a partition are cut into ranges at approximate quantiles; ranks
-  are counted inside a range and the counts of the ranges before it are added,
-  so a partition is spread over as many tasks as there are shuffle partitions.
+* A global top-n with ties takes n rows without ties first (n rows per task move);
+  their values, at most n, are broadcast and all rows that have one are kept where they are.
+  However many rows share the n-th value, no task gathers them.
+* A top-n per partition plans as a partial ``WindowGroupLimit`` in every task before the
+  exchange, so n rows per task and partition value move, and the rows tied with the n-th.
+* Percentile ranks are added to the rows in one exchange by the partition: no join on a
+  value and none back.  A sample of the ranked columns shows where that would not do: a
+  partition of more than ``chunk_size`` rows is cut into ranges of the ranked values, and a
+  value that alone has so many rows is spread over tasks and counted.  What the ranges
+  hold is at most a few hundred rows, merged and broadcast.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtstats.functions._cols import as_col
+from courtstats.operators.sequence import DEFAULT_CHUNK, MAX_CUTS, Cuts, _is_cut, _range_of, draw, literal_types
+
+SALTS = 64
 
 
 def _key(c, descending: bool) -> Column:
@@ -71,14 +77,32 @@ def top_n(df: DataFrame, by, n: int, descending=True, ties: bool = True, partiti
     kinds = dict(zip([str(i) for i in range(len(by))], df.select(*[as_col(b).alias(str(i)) for i, b in enumerate(by)]).dtypes))
     by = [F.nanvl(b, F.lit(None).cast("double")) if isinstance(b, Column) and kinds[str(i)][1] in ("double", "float") else b
           for i, b in enumerate(by)]
+    r = rank_col or "_rk"
+    if ties and not _parts(partition):
+        return _top_values(df, by, n, descending, r, bool(rank_col))
     w = Window.partitionBy(*_parts(partition)).orderBy(
         *_order(by, descending, None if ties else _total(df, by, tiebreak)))
     fn = F.rank() if ties else F.row_number()
-    r = rank_col or "_rk"
     out = df.filter(as_col(by[0]).isNotNull()).withColumn(r, fn.over(w)).filter(F.col(r) <= n)
     return out if rank_col else out.drop(r)
 
 
+def _top_values(df: DataFrame, by, n: int, descending, r: str, with_rank: bool) -> DataFrame:
+    """All rows whose ``by`` values are among those of the n best rows."""
+    cols, names = df.columns, [f"_by{i}" for i in range(len(by))]
+    d = df.withColumns({k: as_col(b) for k, b in zip(names, by)}).filter(F.col(names[0]).isNotNull())
+    best = d.orderBy(*_order(names, descending)).limit(n)
+    # the n rows as one array of whole rows: both readers of `df` then need the same
+    # columns of it, so that what is below (an aggregate) is computed once
+    best = best.agg(F.collect_list(F.struct(*d.columns)).alias("_best")).select(F.explode("_best").alias("_row"))
+    best = best.select(*[F.col("_row." + k).alias(k + "v") for k in names])
+    w = Window.partitionBy().orderBy(*_order([k + "v" for k in names], descending))  # n rows
+    best = best.withColumn(r, F.rank().over(w)).distinct()
+    same = reduce(lambda a, b: a & b, [d[k].eqNullSafe(best[k + "v"]) for k in names])
+    out = d.join(F.broadcast(best), same)  # at most n rows
+    return out.select(*cols, r) if with_rank else out.select(*cols)
+
+
 def slice_range(df: DataFrame, partition, order, lo: int, hi: int, descending=True,
                 tiebreak=None) -> DataFrame:
     """Rows at positions lo..hi (1-based) of each partition, ties cut by the
@@ -130,114 +154,119 @@ def prefer_total_row(df: DataFrame, keys, col: str, total: str = "TOT") -> DataF
     return df.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") == 1).drop("_pos")
 
 
-def _range_ranks(counts: DataFrame, part: list[str], col: str, descending: bool) -> DataFrame:
-    """From (part..., col, _cnt) over distinct values: the lowest and highest rank of
-    each value and the partition's number of rows."""
-    k = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    steps = F.array(*[F.lit(i / k) for i in range(1, k)]) if k > 1 else None
-    whole = counts.groupBy(*[F.col(p).alias("_g_" + p) for p in part]).agg(
-        F.sum("_cnt").alias("_n"),
-        (F.percentile_approx(F.col(col), steps, F.lit(1000)) if k > 1 else F.array().cast("array<double>")).alias("_cuts"))
-
-    def on(left, right, names):
-        conds = [left[n].eqNullSafe(right["_g_" + n]) for n in names]
-        return reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
-
-    if part:
-        c = counts.join(whole, on(counts, whole, part), "left").drop(*["_g_" + p for p in part])
-    else:  # one row
-        c = counts.withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    c = c.withColumn("_rng", F.size(F.filter("_cuts", lambda x: x < F.col(col)))).drop("_cuts")
-    key = F.col(col).desc() if descending else F.col(col).asc()
-    run = Window.partitionBy(*part, "_rng").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    near = Window.partitionBy(*part).orderBy(F.col("_rng").desc() if descending else F.col("_rng").asc())
-    before = (c.groupBy(*part, "_rng").agg(F.sum("_cnt").alias("_t"))
-              .withColumn("_off", F.coalesce(F.sum("_t").over(near.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .select(*[F.col(p).alias("_g_" + p) for p in [*part, "_rng"]], "_off"))
-    c = c.withColumn("_maxr", F.sum("_cnt").over(run))
-    c = c.join(before, on(c, before, [*part, "_rng"]), "left")
-    return c.select(*part, col, (F.col("_off") + F.col("_maxr")).alias("_maxr"),
-                    (F.col("_off") + F.col("_maxr") - F.col("_cnt") + 1).alias("_minr"), "_n")
-
-
-def _value_ranks(df: DataFrame, col: str, part: list[str], descending: bool) -> DataFrame:
-    """Per distinct non-missing value: min rank, max rank and the partition's
-    non-missing count."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*part, col).agg(F.count(F.lit(1)).alias("_cnt"))
-    return _range_ranks(counts, part, col, descending)
-
-
-def _pct_expr(method: str):
-    if method == "average":
-        return (F.col("_minr") + F.col("_maxr")) / F.lit(2.0) / F.col("_n")
-    if method == "min":
-        return F.col("_minr") / F.col("_n")
-    raise ValueError(method)
+@dataclass(frozen=True)
+class RankCuts:
+    """Where the values of one column are cut: ``heavy`` are the ranges (numbers of bounds at
+    or below) that hold a single value with very many rows."""
+
+    cuts: Cuts
+    heavy: tuple[int, ...] = ()
+
+
+def rank_cuts(df: DataFrame, cols, partition=None, chunk_size=DEFAULT_CHUNK, max_cuts: int = MAX_CUTS) -> dict[str, RankCuts]:
+    """Cuts of every column from one sample of all of them."""
+    cols, part = list(cols), tuple(_parts(partition))
+    plain = {c: RankCuts(Cuts(part, (c, "_seq_z"))) for c in cols}
+    if chunk_size is None:
+        return plain
+    rows, each = draw(df, [*part, *cols])
+    p = len(part)
+    if len(rows) * each <= chunk_size:
+        return plain
+    out = {}
+    for i, c in enumerate(cols):
+        groups: dict[str, list[tuple]] = {}
+        for r in rows:
+            if r[p + i] is not None:
+                groups.setdefault(repr(r[:p]), []).append((r[:p], r[p + i]))
+        hot = [sorted(g, key=lambda x: x[1]) for g in groups.values() if len(g) * each > chunk_size]
+        step = max(chunk_size, sum(map(len, hot)) * each / max_cuts) / each  # sampled rows of a range
+        bounds, heavy, keys = [], [], []
+        for g in hot:
+            at, since = 0, 0
+            while at < len(g):
+                end = at
+                while end < len(g) and g[end][1] == g[at][1]:
+                    end += 1
+                key, v = g[at]
+                if end - at > step:
+                    bounds.append((*key, v, 0))
+                    heavy.append(len(bounds))
+                    bounds.append((*key, v, 1))
+                    since = end
+                elif at and end - since > step:
+                    bounds.append((*key, v, 0))
+                    since = at
+                at = end
+            keys.append(g[0][0])
+        types = literal_types(df, [*part, c])
+        out[c] = replace(plain[c], cuts=Cuts(part, (c, "_seq_z"), (*types, "int"), tuple(bounds), tuple(keys)), heavy=tuple(heavy))
+    return out
+
+
+def value_ranks(df: DataFrame, col: str, partition=None, cuts: RankCuts | None = None, chunk_size=DEFAULT_CHUNK) -> DataFrame:
+    """Rows with _lo (1 + rows of the partition with a smaller value), _same (rows with the
+    same value) and _n (rows with a value); all null where ``col`` is missing."""
+    part = _parts(partition)
+    cuts = cuts or rank_cuts(df, [col], part, chunk_size)[col]
+    d, keys, bounds = df, part, cuts.cuts.bounds
+    if bounds:
+        # missing values are not ranked: each of them may go anywhere
+        d = d.withColumn("_seq_z", F.lit(0))
+        d = d.withColumn("_rng", F.when(F.col(col).isNotNull(), _range_of(d, cuts.cuts)).otherwise(-1))
+        heavy = F.col("_rng").isin([-1, *cuts.heavy])
+        d = d.withColumn("_salt", F.when(heavy, F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith(("map", "variant"))]),
+                                                       F.lit(SALTS))).otherwise(0))
+        keys = [*part, "_rng", "_salt"]
+    d = d.withColumns({
+        "_lo": F.rank().over(Window.partitionBy(*keys).orderBy(F.col(col).asc_nulls_last())).cast("long"),
+        "_same": F.count(col).over(Window.partitionBy(*keys, col)),
+        "_n": F.count(col).over(Window.partitionBy(*keys))})
+    if bounds:
+        ranges = d.filter(F.col(col).isNotNull() & _is_cut(d, cuts.cuts)) if part else d.filter(F.col(col).isNotNull())
+        ranges = ranges.groupBy(*part, "_rng").agg(F.count(F.lit(1)).alias("_k"))
+        w = Window.partitionBy(*part).orderBy("_rng")
+        ranges = ranges.select(*[F.col(p).alias("_g_" + p) for p in [*part, "_rng"]], "_k",
+                               (F.sum("_k").over(w) - F.col("_k")).alias("_off"), F.sum("_k").over(Window.partitionBy(*part)).alias("_all"))
+        on = reduce(lambda a, b: a & b, [d[p].eqNullSafe(ranges["_g_" + p]) for p in [*part, "_rng"]])
+        d = d.join(F.broadcast(ranges), on, "left")  # a row per range: at most a few hundred
+        alone = F.col("_rng").isin(list(cuts.heavy)) if cuts.heavy else F.lit(False)
+        d = d.withColumns({"_lo": F.when(alone, F.col("_off") + 1).otherwise(F.col("_lo") + F.coalesce("_off", F.lit(0))),
+                           "_same": F.when(alone, F.col("_k")).otherwise(F.col("_same")), "_n": F.coalesce("_all", "_n")})
+        d = d.drop("_rng", "_salt", "_seq_z", "_k", "_off", "_all", *["_g_" + p for p in [*part, "_rng"]])
+    return d.withColumns({c: F.when(F.col(col).isNotNull(), F.col(c)) for c in ("_lo", "_same", "_n")})
+
+
+def _low(descending: bool) -> Column:
+    """Lowest tied position in the direction asked for."""
+    return F.col("_n") - F.col("_lo") - F.col("_same") + 2 if descending else F.col("_lo")
 
 
 def pct_rank(df: DataFrame, cols, method: str = "average", partition=None, descending=False,
-             suffix: str = "_pct_rank", key=None) -> DataFrame:
+             suffix: str = "_pct_rank", chunk_size=DEFAULT_CHUNK) -> DataFrame:
     """Percentile rank of each column over its non-missing values.
 
     method='average': mean of tied positions / n (``rank(pct=True)``)
     method='min'    : lowest tied position / n (``rank(method='min', pct=True)``)
-    Missing stays missing.  ``cols`` may be a list; each gets ``<c><suffix>``.
-
-    With a unique row ``key`` (which must contain the partition columns) all
-    columns are ranked in one long-form pass: unpivot, one distinct-value
-    rank table partitioned by (partition, column), pivot back on the key --
-    a fixed number of shuffles however many columns are ranked, and the input
-    is read twice instead of once per column.
-    """
+    Missing stays missing.  ``cols`` may be a list; each gets ``<c><suffix>``.  All columns share
+    one sample and, where no partition is cut, one exchange."""
+    if method not in ("average", "min"):
+        raise ValueError(method)
     cols = [cols] if isinstance(cols, str) else list(cols)
-    part = _parts(partition)
-    df = _nan_to_null(df, cols)
-    if key is not None and len(cols) > 1:
-        key = [key] if isinstance(key, str) else list(key)
-        long = unpivot_for_rank(df.select(*key, *cols), key, cols)
-        counts = long.filter(F.col("_val").isNotNull()).groupBy(*part, "_stat", "_val") \
-                     .agg(F.count(F.lit(1)).alias("_cnt"))
-        ranks = _range_ranks(counts, [*part, "_stat"], "_val", descending)
-        ranks = ranks.select(*[F.col(p).alias("_p_" + p) for p in part], F.col("_stat").alias("_s"),
-                             F.col("_val").alias("_v"), _pct_expr(method).alias("_pct"))
-        same = [long["_stat"] == ranks["_s"], long["_val"] == ranks["_v"]]
-        same += [long[p].eqNullSafe(ranks["_p_" + p]) for p in part]
-        lr = long.join(ranks, reduce(lambda a, b: a & b, same), "left")
-        wide = lr.groupBy(*key).agg(*[F.first(F.when(F.col("_stat") == c, F.col("_pct")), ignorenulls=True)
-                                      .alias(c + suffix) for c in cols])
-        wide = wide.withColumnsRenamed({k: "_k_" + k for k in key})
-        back = reduce(lambda a, b: a & b, [df[k].eqNullSafe(wide["_k_" + k]) for k in key])
-        return df.join(wide, back, "left").drop(*["_k_" + k for k in key])
-    out = df
+    out = _nan_to_null(df, cols)
+    cuts = rank_cuts(out, cols, partition, chunk_size)
     for c in cols:
-        r = _value_ranks(df.select(*part, c), c, part, descending)
-        val = _pct_expr(method)
-        r = r.select(*[F.col(p).alias("_p_" + p) for p in part], F.col(c).alias("_v"),
-                     val.alias(c + suffix))
-        cond = [F.col(c) == F.col("_v")] + [F.col(p).eqNullSafe(F.col("_p_" + p)) for p in part]
-        out = out.join(r, cond, "left").drop("_v", *["_p_" + p for p in part])
+        low = _low(descending)
+        place = low / F.col("_n") if method == "min" else (low + low + F.col("_same") - 1) / F.lit(2.0) / F.col("_n")
+        out = value_ranks(out, c, partition, cuts[c]).withColumn(c + suffix, place).drop("_lo", "_same", "_n")
     return out
 
 
 def percent_rank_ignore_null(df: DataFrame, col: str, name: str, partition=None,
-                             descending: bool = False) -> DataFrame:
+                             descending: bool = False, chunk_size=DEFAULT_CHUNK, cuts: RankCuts | None = None) -> DataFrame:
     """(min_rank - 1) / (n - 1) over the non-missing values of each partition
     (``dplyr::percent_rank``); missing stays missing; a single non-missing
     value gets 0.0."""
-    part = _parts(partition)
-    df = _nan_to_null(df, col)
-    r = _value_ranks(df.select(*part, col), col, part, descending)
-    val = F.when(F.col("_n") > 1, (F.col("_minr") - 1) / (F.col("_n") - 1)).otherwise(F.lit(0.0))
-    r = r.select(*[F.col(p).alias("_p_" + p) for p in part], F.col(col).alias("_v"), val.alias(name))
-    j = df.join(r, [F.col(col) == F.col("_v")] + [F.col(p).eqNullSafe(F.col("_p_" + p)) for p in part],
-                "left")
-    return j.drop("_v", *["_p_" + p for p in part])
-
-
-def unpivot_for_rank(df: DataFrame, key, cols) -> DataFrame:
-    """(key..., _stat, _val) long form of ``cols``: as doubles, or, where all are whole
-    numbers, as longs (doubles would merge values beyond 2**53)."""
-    whole = {f.name: f.dataType.typeName() in ("byte", "short", "integer", "long") for f in df.schema.fields}
-    kind = "long" if all(whole[c] for c in cols) else "double"
-    d = df.select(*key, *[F.col(c).cast(kind).alias(c) for c in cols])
-    return d.unpivot(key, cols, "_stat", "_val")
+    d = value_ranks(_nan_to_null(df, col), col, partition, cuts, chunk_size)
+    val = F.when(F.col("_n") > 1, (_low(descending) - 1) / (F.col("_n") - 1)).when(F.col("_n") == 1, F.lit(0.0))
+    return d.withColumn(name, val).drop("_lo", "_same", "_n")

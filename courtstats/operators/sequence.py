@@ -64,6 +64,21 @@ def _comparable(df: DataFrame, names) -> list[Column]:
     return [as_is.get(kind[n], lambda c: c)(F.col(n)) for n in names]
 
 
+def draw(df: DataFrame, names, sample: int = SAMPLE) -> tuple[list[tuple], float]:
+    """A uniform random sample of at most ``sample`` rows of the named columns, in
+    order, and the number of rows one of them stands for (all rows, and 1, where the
+    input is no larger).  One pass; no task and not the driver holds more than ``sample`` rows."""
+    cols = [c.alias(f"_{i}") for i, c in enumerate(_comparable(df, names))]
+    rows = df.select(*cols, F.rand(7).alias("_r")).orderBy("_r").limit(sample)
+    rows = rows.orderBy(*[f"_{i}" for i in range(len(cols))]).collect()
+    each = 1.0 if len(rows) < sample else (sample - 1) / max(r["_r"] for r in rows) / sample
+    return [tuple(r)[:-1] for r in rows], each
+
+
+def literal_types(df: DataFrame, names) -> tuple[str, ...]:
+    return tuple(t for _, t in df.select(*_comparable(df, names)).dtypes)
+
+
 def find_cuts(df: DataFrame, partition, order, chunk_size=DEFAULT_CHUNK, sample: int = SAMPLE,
               max_cuts: int = MAX_CUTS) -> Cuts:
     """Cuts for keys of more than ``chunk_size`` rows, from a random sample of the key
@@ -71,16 +86,10 @@ def find_cuts(df: DataFrame, partition, order, chunk_size=DEFAULT_CHUNK, sample:
     part, order = tuple(_as_list(partition)), tuple(_as_list(order))
     if chunk_size is None:
         return Cuts(part, order)
-    names = [f"_{i}" for i in range(len(part) + len(order))]
-    keys = df.select(*[c.alias(n) for c, n in zip(_comparable(df, part + order), names)])
-    types = tuple(t for _, t in keys.dtypes)
-    rows = (keys.withColumn("_r", F.rand(7)).orderBy("_r").limit(sample).orderBy(*names).collect())
-    if not rows:
-        return Cuts(part, order)
-    each = 1.0 if len(rows) < sample else (sample - 1) / max(r["_r"] for r in rows) / sample  # rows a sampled row stands for
+    rows, each = draw(df, part + order, sample)
     groups: dict[str, list[tuple]] = {}
     for r in rows:
-        groups.setdefault(repr(tuple(r)[:len(part)]), []).append(tuple(r)[:-1])
+        groups.setdefault(repr(r[:len(part)]), []).append(r)
     hot = [g for g in groups.values() if len(g) * each > chunk_size]
     size = max(chunk_size, sum(map(len, hot)) * each / max_cuts)
     bounds, cut = [], []
@@ -91,7 +100,7 @@ def find_cuts(df: DataFrame, partition, order, chunk_size=DEFAULT_CHUNK, sample:
         if inner:
             bounds += inner
             cut.append(g[0][:len(part)])
-    return Cuts(part, order, types, tuple(bounds), tuple(cut))
+    return Cuts(part, order, literal_types(df, part + order), tuple(bounds), tuple(cut))
 
 
 def _range_of(df: DataFrame, cuts: Cuts) -> Column:

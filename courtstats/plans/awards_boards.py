@@ -9,8 +9,8 @@ from courtstats.functions.arith import safe_div
 from courtstats.functions.predicates import text_any
 from courtstats.functions.text import game_season, height_inches, split_typed
 from courtstats.operators import events as EV
-from courtstats.operators.aggregate import grouping_sets_leaderboard
-from courtstats.operators.rank import slice_range, top_n
+from courtstats.operators.aggregate import exact_median, grouping_sets_leaderboard
+from courtstats.operators.rank import leader_flag, slice_range, top_n
 from courtstats.operators.sequence import fill, neighbours, running_sum
 from courtstats.plans import oracle_views as O
 from courtstats.plans import views as V
@@ -243,8 +243,9 @@ def award_gap_median(spark, sf):
     """Best player against the median player of the team."""
     npm = "net_plus_minus_per_100_poss"
     p = _qualified(spark, sf, 0.5).filter((F.col("tm") != "TOT") & (F.col("mp") / F.col("g") >= 10))
-    m = p.groupBy("tm", SEASON).agg(F.median(npm).alias("median"), F.max(npm).alias("best"))
-    j = p.select("tm", SEASON, "player", npm).join(m, ["tm", SEASON]).filter(F.col(npm) == F.col("best"))
+    m = exact_median(p, ["tm", SEASON], npm)
+    best = leader_flag(p, ["tm", SEASON], npm).filter("leader").withColumn("best", F.col(npm))
+    j = best.select("tm", SEASON, "player", "best").join(m, ["tm", SEASON])
     j = j.withColumn("gap", r6(F.col("best") - F.col("median")))
     return top_n(j, "gap", 5, partition=SEASON).select(SEASON, "tm", "player", r6("best").alias("best"),
                                                        r6("median").alias("median"), "gap")

@@ -11,7 +11,7 @@ from courtstats.operators.aggregate import leave_one_out, ordered_listagg, sum_c
 from courtstats.operators.filters import group_size_filter, qualify_min, qualify_share
 from courtstats.operators.joins import natural_join
 from courtstats.operators.rank import (
-    group_argmax, leader_flag, pct_rank, percent_rank_ignore_null, slice_range, top_n,
+    group_argmax, leader_flag, pct_rank, percent_rank_ignore_null, rank_cuts, slice_range, top_n,
 )
 from courtstats.plans import oracle_views as O
 from courtstats.plans import views as V
@@ -21,8 +21,8 @@ SEASON = "season"
 
 
 def _ps_ts(spark, sf):
-    pts = V.player_team_season(spark, sf)
-    return V.player_season(spark, sf), V.team_season(spark, sf, pts=pts)
+    pts = V.box(spark, sf)
+    return V.player_season(spark, sf, pts=pts), V.team_season(spark, sf, pts=pts)
 
 
 def _qualified(spark, sf, share):
@@ -86,7 +86,7 @@ def _composite(spark, sf):
     q = _qualified(spark, sf, 0.5)
     per36 = q.select(SEASON, "player_id", "player",
                      *[(safe_div(c, "mp") * 36).alias(c) for c in COMPOSITE])
-    ranked = pct_rank(per36, COMPOSITE, method="average", partition=SEASON, key=[SEASON, "player_id"])
+    ranked = pct_rank(per36, COMPOSITE, method="average", partition=SEASON)
     return ranked.withColumn("sum", sum_cols([c + "_pct_rank" for c in COMPOSITE]))
 
 
@@ -150,7 +150,7 @@ SELECT season, player_id, round(fga_percentile, 6) AS fga_percentile, round(freq
 FROM l2 QUALIFY row_number() OVER (PARTITION BY season
     ORDER BY fga_percentile + freq_percentile + eff_percentile DESC, player_id) <= 10""".replace("\n, l1", ",\nl1", 1)))
 def award_late_composite(spark, sf):
-    ps = V.player_season(spark, sf).select(SEASON, "player_id", "player", "fga", "x3p_ar", "ts_percent")
+    ps = V.player_season(spark, sf, pts=V.box(spark, sf)).select(SEASON, "player_id", "player", "fga", "x3p_ar", "ts_percent")
     a = pct_rank(ps, "fga", method="min", partition=SEASON, suffix="_percentile")
     a = a.filter(F.col("fga_percentile") > 0.5)
     a = pct_rank(a, ["x3p_ar", "ts_percent"], method="min", partition=SEASON, suffix="_pctl") \
@@ -165,7 +165,7 @@ def award_late_composite(spark, sf):
 SELECT season, player_id, round(rank() OVER (PARTITION BY season ORDER BY fga) / count(fga) OVER (PARTITION BY season), 6)
        AS fga_percentile FROM player_season"""))
 def pct_rank_min(spark, sf):
-    ps = V.player_season(spark, sf).select(SEASON, "player_id", "fga")
+    ps = V.player_season(spark, sf, pts=V.box(spark, sf)).select(SEASON, "player_id", "fga")
     a = pct_rank(ps, "fga", method="min", partition=SEASON, suffix="_percentile")
     return a.select(SEASON, "player_id", r6("fga_percentile").alias("fga_percentile"))
 
@@ -174,7 +174,7 @@ def pct_rank_min(spark, sf):
 SELECT season, player_id, fga FROM player_season
 QUALIFY rank() OVER (PARTITION BY season ORDER BY fga) / count(fga) OVER (PARTITION BY season) > 0.5"""))
 def top_half(spark, sf):
-    ps = V.player_season(spark, sf).select(SEASON, "player_id", "fga")
+    ps = V.player_season(spark, sf, pts=V.box(spark, sf)).select(SEASON, "player_id", "fga")
     a = pct_rank(ps, "fga", method="min", partition=SEASON, suffix="_percentile")
     return a.filter(F.col("fga_percentile") > 0.5).select(SEASON, "player_id", "fga")
 
@@ -390,9 +390,10 @@ def _empty(spark, sf):
     q = _qualified(spark, sf, 0.5).select(SEASON, "player_id", "player", nth_word("pos", 1, "-").alias("pos"),
                                           "tm", "ts_percent", "usg_percent", "vorp")
     part = ["pos", SEASON]
-    q = percent_rank_ignore_null(q, "ts_percent", "ts_rank", part, descending=True)
-    q = percent_rank_ignore_null(q, "usg_percent", "usg_rank", part)
-    q = percent_rank_ignore_null(q, "vorp", "vorp_rank", part, descending=True)
+    cuts = rank_cuts(q, ["ts_percent", "usg_percent", "vorp"], part)
+    q = percent_rank_ignore_null(q, "ts_percent", "ts_rank", part, descending=True, cuts=cuts["ts_percent"])
+    q = percent_rank_ignore_null(q, "usg_percent", "usg_rank", part, cuts=cuts["usg_percent"])
+    q = percent_rank_ignore_null(q, "vorp", "vorp_rank", part, descending=True, cuts=cuts["vorp"])
     return q.withColumn("empty_stats", F.col("ts_rank") + F.col("usg_rank") + F.col("vorp_rank"))
 
 
@@ -448,7 +449,7 @@ gap_worst AS (
 
 
 def _onoff(spark, sf, extreme):
-    pts = V.player_team_season(spark, sf)
+    pts = V.box(spark, sf)
     ts = V.team_season(spark, sf, pts=pts)
     named = pts.join(V._customer_dim(spark, sf).select("player_id", "player"), "player_id", "left")
     p = named.filter(F.col("tm") != "TOT").join(ts.select("tm", SEASON, "g_total"), ["tm", SEASON])
@@ -492,7 +493,7 @@ def award_gap_worst(spark, sf):
 @register("leave_one_out", O.with_views(_ONOFF_SQL, body="""
 SELECT tm, season, round(avg_wo_leader, 6) AS avg_wo_leader FROM wo_lead"""))
 def leave_one_out_q(spark, sf):
-    pts = V.player_team_season(spark, sf)
+    pts = V.box(spark, sf)
     ts = V.team_season(spark, sf, pts=pts)
     p = pts.filter(F.col("tm") != "TOT").join(ts.select("tm", SEASON, "g_total"), ["tm", SEASON])
     p = p.filter((F.col("g") / F.col("g_total") >= 0.5) & (F.col("mp") / F.col("g") >= 10))
@@ -507,7 +508,7 @@ SELECT coalesce(b.season, w.season) AS season, coalesce(b.tm, w.tm) AS tm,
        round(b.avg_wo_leader, 6) AS avg_wo_leader, round(w.avg_wo_trailer, 6) AS avg_wo_trailer
 FROM wo_lead b FULL JOIN wo_trail w ON b.tm = w.tm AND b.season = w.season"""))
 def full_natural(spark, sf):
-    pts = V.player_team_season(spark, sf)
+    pts = V.box(spark, sf)
     ts = V.team_season(spark, sf, pts=pts)
     p = pts.filter(F.col("tm") != "TOT").join(ts.select("tm", SEASON, "g_total"), ["tm", SEASON])
     p = p.filter((F.col("g") / F.col("g_total") >= 0.5) & (F.col("mp") / F.col("g") >= 10))

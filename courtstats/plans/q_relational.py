@@ -12,7 +12,7 @@ from courtstats.functions.text import (
     season_slug, title_case, words_range,
 )
 from courtstats.operators.aggregate import (
-    block_sums, group_count, group_stat_onto_rows, pivot_counts, unpivot, weighted_mean,
+    block_sums, exact_median, group_count, group_stat_onto_rows, pivot_counts, unpivot, weighted_mean,
 )
 from courtstats.operators.filters import qualify_min
 from courtstats.operators.joins import (
@@ -503,8 +503,9 @@ def weighted_mean_q(spark, sf):
 SELECT tm, season, round(median(net_plus_minus_per_100_poss), 6) AS median_npm FROM player_team_season
 WHERE tm <> 'TOT' GROUP BY 1, 2"""))
 def group_median(spark, sf):
-    p = V.player_team_season(spark, sf).filter(F.col("tm") != "TOT")
-    return p.groupBy("tm", "season").agg(r6(F.median("net_plus_minus_per_100_poss")).alias("median_npm"))
+    p = V.box(spark, sf).filter(F.col("tm") != "TOT")
+    m = exact_median(p, ["tm", "season"], "net_plus_minus_per_100_poss", "median_npm")
+    return m.withColumn("median_npm", r6("median_npm"))
 
 
 # --- G: sorts, unions ----------------------------------------------------------------------------

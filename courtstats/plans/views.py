@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from courtstats.operators.rank import prefer_total_row
 from courtstats.operators.sequence import Cuts, find_cuts, running_sum
+from courtstats.session import written
 from courtstats.sources.tables import table
 
 # Fixed values of the synthetic event texts (the words the awards search for).
@@ -250,11 +251,17 @@ def _customer_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("c_custkey") % 15).cast("int").alias("experience"))
 
 
-def player_season(spark: SparkSession, sf_dir: str, with_all_teams: bool = False) -> DataFrame:
+def box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``player_team_season`` as a written table, for queries that read it more than
+    once (players and their teams, a sample and the ranks): the lines are aggregated once."""
+    return written(player_team_season(spark, sf_dir), "box")
+
+
+def player_season(spark: SparkSession, sf_dir: str, with_all_teams: bool = False, pts: DataFrame | None = None) -> DataFrame:
     """One row per (player, season): the TOT row if the player changed teams.
 
     ``with_all_teams=True`` keeps every team row as well (joined to names)."""
-    pts = player_team_season(spark, sf_dir)
+    pts = player_team_season(spark, sf_dir) if pts is None else pts
     if not with_all_teams:
         pts = prefer_total_row(pts, ["player_id", "season"], "tm", "TOT")
     dim = _customer_dim(spark, sf_dir)

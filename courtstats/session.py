@@ -7,8 +7,9 @@ exists for tests, the bench and local experiments only.
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -53,4 +54,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: for a result that several passes
+    read (small beside its input), so that its plan runs once.  ``forget`` removes
+    the tables of a session."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Remove the tables of ``written``; results that read them must be done."""
+    sc = spark.sparkContext
+    for path in _WRITTEN.pop(sc.applicationId, []):
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _LOCAL: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}

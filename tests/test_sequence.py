@@ -20,7 +20,7 @@ def rows(df, cols=None):
 
 
 def executed(df) -> str:
-    df.write.format("noop").mode("overwrite").save()
+    df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
 
 

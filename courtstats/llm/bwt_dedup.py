@@ -129,8 +129,14 @@ def repeated(texts: list[np.ndarray], width: int):
     return np.concatenate(text), np.concatenate(off), np.concatenate(cls)
 
 
+def places(texts: list[np.ndarray], width: int):
+    """``repeated`` with the length of the content: one window each."""
+    text, off, cls = repeated(texts, width)
+    return text, off, cls, np.full(len(text), width)
+
+
 def spec(width: int = WIDTH, gram: int = GRAM) -> Spec:
-    return Spec(width, gram, False, repeated)
+    return Spec(width, gram, False, places)
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from courtstats.llm.common import crc_mod, materialise, slices
 
 DIMS, CLUSTERS, SAMPLE, ROUNDS, SEED = 4096, 4, 400, 8, 42
+MAX_LANGUAGES = 10_000  # their cuts go to every task; more are no languages
 MARGIN, SHARPNESS, SHORT = 0.1, 20.0, 200
 CHUNK, SLICE = 1 << 19, 1 << 20
 
@@ -94,11 +95,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS, clusters: int =
 
     train = (docs.select("doc_id", "lang", "text")
              .where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    pick = (train.select("lang", "doc_id").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
-            .select(F.col("lang").alias("_l"), F.col("doc_id").alias("_i")).distinct())
-    # at most ``sample`` ids per language: small enough to send to the texts
-    rows = train.join(F.broadcast(pick), (F.col("lang") == F.col("_l")) & F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi")
+    # the ``sample`` rows of every language with the smallest hashes of id and text: a count of
+    # the hashes' upper bits tells where to cut, so no window sees more than what is kept
+    h = F.xxhash64("doc_id", "text")
+    hashed = train.withColumn("_h", h).withColumn("_b", F.shiftrightunsigned("_h", 44))
+    many = hashed.groupBy("lang", "_b").agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy("lang").orderBy("_b"))
+    cut = materialise(many.withColumn("_u", upto).where(F.col("_u") - F.col("_k") < sample).groupBy(F.col("lang").alias("_l")).agg(
+        F.max("_b").alias("_cut")), "langid")
+    if cut.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    near = hashed.join(F.broadcast(cut), (F.col("lang") == F.col("_l")) & (F.col("_b") <= F.col("_cut")))
+    one = near.dropDuplicates(["lang", "doc_id", "_h"])  # rows that repeat one another count once
+    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    rows = one.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)
 
     def vectors(frames):
         for f in frames:
@@ -109,7 +119,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS, clusters: int =
     vec = rows.select("lang", "text").mapInPandas(vectors, "lang string, n long, v binary").where("n > 0")
 
     def cluster(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["n", "v"]).head(sample)  # rows that repeat an id may exceed the bound
+        f = f.sort_values(["n", "v"])
         raw = np.log1p(np.stack([np.frombuffer(v, "<f4") for v in f.v]).astype(np.float64))
         return pd.DataFrame({"lang": [f.lang.iloc[0]], "n": [len(f)], "df": [(raw > 0).sum(axis=0).astype("<f8").tobytes()],
                              "raw": [raw.astype("<f4").tobytes()]})

@@ -4,7 +4,8 @@ Sources get weights in code-point order; the mix holds ``ratio`` times all
 words; a source's target stops at ``cap`` times its size and the excess goes to
 the others by weight.  Targets become integer numbers of equal blocks of
 ``block_words`` words by the highest quotients weight / (2k - 1): first per
-source, then per shard of a source.  A shard lays its documents out in a seeded
+source, then per shard of a source.  A document's shard is a hash of its id and its text, so rows that share an id are
+spread.  A shard lays its documents out in a seeded
 order as one run of words cut into blocks; a quota of f * N + r of N blocks takes
 every block f times and r blocks, picked by a seeded permutation, once more.
 
@@ -89,9 +90,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, ratio=RATIO, cap=CAP, block_words=BLOC
         shard_words=SHARD_WORDS, seed=SEED) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken."""
     b = F.lit(block_words).cast("long")
-    sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                                    F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_text"))
                         .withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(
-                            F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))), "mix")
+                            F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
+                        .withColumn("_t", F.md5(F.concat("_h", F.col("_text")).cast("binary"))).drop("_text"), "mix")
     want = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")),
                                weights, ratio, cap), "mix-targets")
     # whole blocks of the mix, dealt to the sources by highest quotients
@@ -103,7 +106,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, ratio=RATIO, cap=CAP, block_words=BLOC
         .withColumn("most", F.lit(1 << 60).cast("long")), [], ["source"]
     ).select(F.col("source").alias("_s"), F.col("quota").alias("seats"))
     placed = (sized.join(want.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-              .withColumn("shard", F.pmod(F.conv(F.substring("_h", 1, 15), 16, 10).cast("long"),
+              .withColumn("shard", F.pmod(F.conv(F.substring("_t", 1, 15), 16, 10).cast("long"),
                                           F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(shard_words))))))
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words")).where("words > 0")
     quotas = (apportion(
@@ -113,7 +116,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, ratio=RATIO, cap=CAP, block_words=BLOC
                 (2 * F.col("_n")).cast("long").alias("most"), F.col("_n").cast("long").alias("blocks")),
         ["source"], ["shard"])
         .select(F.col("source").alias("_s"), F.col("shard").alias("_p"), "quota", "blocks"))
-    run = Window.partitionBy("source", "shard").orderBy("_h", "doc_id", "size")
+    run = Window.partitionBy("source", "shard").orderBy("_h", "doc_id", "size", "_t")
     laid = (placed.withColumn("_end", F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("_at", F.col("_end") - F.col("size"))
             .join(quotas, F.col("source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_p")), "left"))
@@ -152,7 +155,7 @@ def oracle(weights=WEIGHTS, ratio=RATIO, cap=CAP, block_words=BLOCK_WORDS, shard
 
     return rf"""
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM {table}),
+    md5('{seed}:' || coalesce(doc_id::VARCHAR, 'null')) AS h, md5(h || md5(coalesce(text, ''))) AS t FROM {table}),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS at_ FROM s0),
 s2 AS (SELECT *, list_extract({w}, (at_ % {len(weights)} + 1)::INT) AS w, source_size * {float(cap)}::DOUBLE AS lim FROM s1),
@@ -167,14 +170,14 @@ want AS (SELECT source, source_size, CASE WHEN rank_ >= cut
 by_source AS (SELECT source, quota FROM ({seats(f'''SELECT source, target AS weight,
     round(sum(source_size) OVER () * {min(float(ratio), float(cap))}::DOUBLE / {block_words})::BIGINT AS seats, (1::BIGINT << 60) AS most FROM want WHERE target > 0''', '', 'source')})),
 placed AS (SELECT d.*, source_size, target,
-    (('0x' || substr(h, 1, 15))::BIGINT % greatest(1, ceil(source_size / {float(shard_words)})::BIGINT))::BIGINT AS shard
+    (('0x' || substr(t, 1, 15))::BIGINT % greatest(1, ceil(source_size / {float(shard_words)})::BIGINT))::BIGINT AS shard
     FROM sized d JOIN want t ON d.source IS NOT DISTINCT FROM t.source),
 shards AS (SELECT source, shard, sum(size)::BIGINT AS words FROM placed GROUP BY ALL HAVING words > 0),
 quotas AS ({seats(f'''SELECT a.source, shard, words::DOUBLE AS weight, q.quota AS seats,
     2 * ceil(words / {float(block_words)})::BIGINT AS most, ceil(words / {float(block_words)})::BIGINT AS blocks
     FROM shards a JOIN by_source q ON a.source IS NOT DISTINCT FROM q.source''', 'source', 'shard')}),
 laid AS (SELECT *, end_ - size AS at_ FROM (SELECT *, sum(size) OVER (PARTITION BY source, shard
-    ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS end_ FROM placed)),
+    ORDER BY h, doc_id, size, t ROWS UNBOUNDED PRECEDING)::BIGINT AS end_ FROM placed)),
 full_ AS (SELECT l.*, quota, blocks, quota % blocks AS extra,
     ('0x' || substr(md5('{seed}:' || coalesce(l.source, 'null') || ':' || l.shard::VARCHAR), 1, 7))::BIGINT AS shift
     FROM laid l LEFT JOIN quotas q ON l.source IS NOT DISTINCT FROM q.source AND l.shard = q.shard)

@@ -46,13 +46,16 @@ SPAN = "dk long, th long, first long, n int"
 
 @dataclass(frozen=True)
 class Spec:
-    """``search(texts, width)``: texts are symbol arrays; returns (text, offset, class)
-    of the windows that are equal to another window of the bucket."""
+    """``search(texts, width)``: texts are symbol arrays; returns (text, offset, class,
+    length) of the places where content of ``width`` symbols and more repeats in the bucket: places
+    of one class hold the same ``length`` symbols.  ``prefilter``: only the stretches of texts whose
+    windows occur twice by hash are searched."""
 
     width: int
     gram: int
     words: bool
     search: Callable
+    prefilter: bool = True
 
     def symbols(self, buf: np.ndarray, off: np.ndarray):
         """Symbol hashes (a function of a range) and the texts' offsets in symbols."""
@@ -250,26 +253,28 @@ def _searched(texts: DataFrame, spec: Spec, buckets: int) -> DataFrame:
     import pyarrow as pa
 
     def one(tab: pa.Table) -> pa.Table:
-        kept = _filtered(spec.texts(tab.column("text").to_pylist()), spec.width)
+        texts = spec.texts(tab.column("text").to_pylist())
+        kept = _filtered(texts, spec.width) if spec.prefilter else [(i, 0, t) for i, t in enumerate(texts)]
         dk = th = first = n = np.zeros(0, np.int64)
         if kept:
-            text, at, cls = spec.search([t for _, _, t in kept], spec.width)
+            text, at, cls, long = spec.search([t for _, _, t in kept], spec.width)
             row = np.array([k for k, _, _ in kept])[text]
-            place = tab.column("first").to_numpy()[row] + np.array([s for _, s, _ in kept])[text] + at
+            first = tab.column("first").to_numpy()[row] + np.array([s for _, s, _ in kept])[text] + at
             dk, th = tab.column("dk").to_numpy()[row], tab.column("th").to_numpy()[row].astype(np.int64)
-            order = np.lexsort((place, th, dk, cls))
-            dk, th, first, cls = dk[order], th[order], place[order], cls[order]
+            order = np.lexsort((first, th, dk, cls))
+            dk, th, first, cls, n = dk[order], th[order], first[order], cls[order], long[order] - spec.width + 1
             lead = np.maximum.accumulate(np.where(np.r_[True, cls[1:] != cls[:-1]], np.arange(len(cls)), 0))
             later = (dk != dk[lead]) | (th != th[lead]) | (first != first[lead])
-            dk, th, first = dk[later], th[later], first[later]
+            dk, th, first, n = dk[later], th[later], first[later], n[later]
+        if len(first):  # windows that follow or overlap one another are one row
             order = np.lexsort((first, th, dk))
-            dk, th, first = dk[order], th[order], first[order]
-            new = np.r_[True, (dk[1:] != dk[:-1]) | (th[1:] != th[:-1]) | (first[1:] > first[:-1] + 1)][:len(dk)]
-            cut = np.flatnonzero(new)
-            n = np.r_[first[1:][new[1:]] * 0, 0][:len(cut)]
+            dk, th, first, n = dk[order], th[order], first[order], n[order]
+            doc = np.cumsum(np.r_[0, (dk[1:] != dk[:-1]) | (th[1:] != th[:-1])])
+            far = int((first + n).max()) + 1  # every document in a range of its own
+            end = np.maximum.accumulate(first + n + doc * far)
+            cut = np.flatnonzero(np.r_[True, (first + doc * far)[1:] > end[:-1]])
             tail = np.r_[cut[1:], len(first)] - 1
-            n = first[tail] - first[cut] + 1 if len(cut) else n
-            dk, th, first = dk[cut], th[cut], first[cut]
+            dk, th, first, n = dk[cut], th[cut], first[cut], end[tail] - (first + doc * far)[cut]
         return pa.table({"dk": pa.array(dk.astype(np.int64)), "th": pa.array(th.astype(np.int64)),
                          "first": pa.array(first.astype(np.int64)), "n": pa.array(n.astype(np.int32))})
 

@@ -2,10 +2,12 @@
 
 Texts that share content (see ``repeats``) meet in buckets of bounded size.  A bucket's
 suffixes are split by prefixes of variable length: a group of more than ``GROUP``
-suffixes is split by its next word, again and again, until every group fits (or has
-the full width as its prefix, where all its suffixes are equal).  Every group
-becomes one subtree: its sorted suffixes and their common prefixes give the internal
-nodes; the highest internal nodes of at least ``width`` words are the repeats.
+suffixes is split by its next word, again and again, until every group fits (or
+shares a whole ``width`` of words: one deep node holds it then).  Every group is one
+subtree: its suffixes, sorted to the ends of their texts, and their common prefixes give the
+internal nodes.  A node of at least ``width`` words whose leaves are preceded by different
+words is a maximal repeat: all its places but the first are repeated over the node's
+whole length.  A node whose leaves all follow the same word is part of a longer one.
 
 Defined cases: as in ``bwt_dedup``, with words for bytes."""
 
@@ -17,10 +19,33 @@ from pyspark.sql import functions as F
 
 from courtstats.llm.repeats import Spec, remove
 
-WIDTH, GRAM, GROUP = 20, 8, 50_000
+WIDTH, GRAM, GROUP = 20, 8, 2_000
 
 
-def groups(words: np.ndarray, start: np.ndarray, width: int, group: int = GROUP):
+class Joined:
+    """The words of a bucket's texts in one array: ``left`` words from each place to the
+    end of its text, ``owner`` text of each place."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        size = np.array([len(t) for t in texts], np.int64)
+        self.words = np.concatenate(texts).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
+        self.start = np.cumsum(size) - size
+        self.owner = np.repeat(np.arange(len(texts)), size)
+        self.left = np.repeat(np.cumsum(size), size) - np.arange(len(self.words))
+
+    def columns(self, own: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Words a .. b of the suffixes; beyond the end of a text a mark of its own."""
+        at = own[:, None] + np.arange(a, b)[None, :]
+        inside = np.arange(a, b)[None, :] < self.left[own][:, None]
+        return np.where(inside, self.words[np.minimum(at, len(self.words) - 1)], -1 - self.owner[own][:, None])
+
+    def before(self, own: np.ndarray) -> np.ndarray:
+        """The word before each place; a mark of its own at the start of a text."""
+        first = own == self.start[self.owner[own]]
+        return np.where(first, -1 - self.owner[own], self.words[np.maximum(own - 1, 0)])
+
+
+def groups(joined: Joined, start: np.ndarray, width: int, group: int = GROUP):
     """Suffix starts split by variable-length prefixes: (prefix length, starts)."""
     todo = [(0, start)]
     while todo:
@@ -28,21 +53,21 @@ def groups(words: np.ndarray, start: np.ndarray, width: int, group: int = GROUP)
         if len(own) <= group or depth == width:
             yield depth, own
             continue
-        word = words[own + depth]
+        word = joined.words[own + depth]  # all have ``width`` words left
         order = np.argsort(word, kind="stable")
         cut = np.flatnonzero(np.r_[True, np.diff(word[order]) != 0, True])
         todo += [(depth + 1, own[order[a:b]]) for a, b in zip(cut[:-1], cut[1:]) if b - a > 1]
 
 
-def subtree(words: np.ndarray, own: np.ndarray, depth: int, width: int):
-    """Sorted suffixes of one group and the common prefixes of neighbours (counted up
-    to ``width``; -1 before the first)."""
-    table = words[own[:, None] + np.arange(depth, width)[None, :]]
-    order = np.lexsort(table.T[::-1]) if width > depth else np.arange(len(own))
+def subtree(joined: Joined, own: np.ndarray, depth: int):
+    """Sorted suffixes of one group and the common prefixes of neighbours, whatever their
+    length (-1 before the first)."""
+    longest = int(joined.left[own].max())
+    table = joined.columns(own, depth, longest)
+    order = np.lexsort(table.T[::-1])
     table = table[order]
-    differ = table[1:] != table[:-1]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width - depth) + depth if width > depth \
-        else np.full(len(own) - 1, width)
+    differ = table[1:] != table[:-1]  # no two suffixes are equal: they end with different marks
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), longest - depth) + depth
     return own[order], np.r_[-1, common]
 
 
@@ -58,32 +83,40 @@ def internal_nodes(common: np.ndarray):
             stack.append((c, first))
 
 
-def repeated(texts: list[np.ndarray], width: int):
-    """(text, offset, class) of the sequences of ``width`` words that occur twice."""
-    size = np.array([len(t) for t in texts])
-    off = np.cumsum(size) - size
-    words = np.concatenate(texts)
-    owner = np.repeat(np.arange(len(texts)), size - width + 1)
-    start = np.arange(len(owner)) - np.repeat(np.cumsum(size - width + 1) - (size - width + 1), size - width + 1) + off[owner]
-    found, cls, n = [], [], 0
-    for depth, own in groups(words, start, width):
+def deep_nodes(texts: list[np.ndarray], width: int):
+    """(joined texts, depth, leaves) of the internal nodes of at least ``width`` words that
+    are maximal to the left."""
+    joined = Joined(texts)
+    start = np.flatnonzero(joined.left >= width)
+    for depth, own in groups(joined, start, width, GROUP):
         if len(own) < 2:
             continue
-        leaf, common = subtree(words, own, depth, width)
+        leaf, common = subtree(joined, own, depth)
+        if common.max() < width:
+            continue
+        before = joined.before(leaf)
+        turns = np.r_[0, np.cumsum(before[1:] != before[:-1])]
         for d, a, b in internal_nodes(common):
-            if d >= width:
-                found.append(leaf[a:b + 1])
-                cls.append(np.full(b + 1 - a, n))
-                n += 1
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    at = np.concatenate(found)
-    text = np.searchsorted(off, at, side="right") - 1
-    return text, at - off[text], np.concatenate(cls)
+            if d >= width and turns[b] > turns[a]:
+                yield joined, d, leaf[a:b + 1]
+
+
+def maximal_repeats(texts: list[np.ndarray], width: int):
+    """(text, offset, class, length) of every place of every maximal repeat."""
+    at, cls, long, joined = [], [], [], None
+    for n, (joined, depth, leaf) in enumerate(deep_nodes(texts, width)):
+        at.append(leaf)
+        cls.append(np.full(len(leaf), n))
+        long.append(np.full(len(leaf), depth))
+    if joined is None:
+        return (np.zeros(0, np.int64),) * 4
+    at = np.concatenate(at)
+    text = joined.owner[at]
+    return text, at - joined.start[text], np.concatenate(cls), np.concatenate(long)
 
 
 def spec(width: int = WIDTH, gram: int = GRAM) -> Spec:
-    return Spec(width, gram, True, repeated)
+    return Spec(width, gram, True, maximal_repeats, prefilter=False)
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:

@@ -123,11 +123,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     import pandas as pd
 
     lab = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    ids = docs.where(crc_mod("doc_id", 3) != 1).select("doc_id").distinct()
-    pick = lab.join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # at most ``sample`` ids: small enough to send to the texts
-    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select(
-        "y", F.coalesce("text", F.lit("")).cast("binary").alias("text")), "toxic-train")
+    # a sample of texts, not of ids: an id that repeats brings no more rows than any other
+    text = F.coalesce("text", F.lit(""))
+    train = docs.where(crc_mod("doc_id", 3) != 1).select("doc_id", text.alias("text"), F.xxhash64(text).alias("_t"))
+    pick = lab.join(train.select("doc_id", "_t").distinct(), "doc_id").orderBy(F.xxhash64("doc_id", "_t"), "doc_id", "_t").limit(sample)
+    pick = pick.withColumnsRenamed({"doc_id": "_d", "_t": "_p"})
+    # at most ``sample`` rows: small enough to send to the texts
+    rows = train.join(F.broadcast(pick), (F.col("doc_id") == F.col("_d")) & (F.col("_t") == F.col("_p")))
+    rows = materialise(rows.dropDuplicates(["doc_id", "_t"]).select("y", F.col("text").cast("binary").alias("text")), "toxic-train")
 
     def split(frames):
         for f in frames:

@@ -152,26 +152,53 @@ def test_repeated_substrings_empty(empty):
     assert suffix_tree.dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("mod,kind", [(bwt_dedup, np.uint8), (suffix_tree, np.int64)])
-def test_searches_against_hashing(mod, kind, monkeypatch):
-    if mod is bwt_dedup:
-        monkeypatch.setattr(bwt_dedup, "SHARD", 120)
-    else:
-        monkeypatch.setattr(suffix_tree, "groups", lambda w, s, width: groups(w, s, width, 10))
-    rng = np.random.default_rng(5)
-    for width in (3, 8, 20):
-        texts = [np.array(rng.integers(97, 100, n), kind) for n in rng.integers(width, 60, 40)]
-        texts += texts[:6]
-        got, want = {}, {}
-        for t, o, c in zip(*mod.repeated(texts, width)):
-            got.setdefault(int(c), set()).add((int(t), int(o)))
-        for i, x in enumerate(texts):
-            for a in range(len(x) - width + 1):
-                want.setdefault(x[a:a + width].tobytes(), set()).add((i, a))
-        assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
-
-
-groups = suffix_tree.groups
+def windows_of(texts, width):
+    want = {}
+    for i, x in enumerate(texts):
+        for a in range(len(x) - width + 1):
+            want.setdefault(x[a:a + width].tobytes(), set()).add((i, a))
+    return [v for v in want.values() if len(v) > 1]
+
+
+def some_texts(kind, width, seed=5):
+    rng = np.random.default_rng(seed)
+    texts = [np.array(rng.integers(97, 100, n), kind) for n in rng.integers(width, 60, 40)]
+    return texts + texts[:6] + [texts[3][2:], np.concatenate([texts[4], texts[5]])]
+
+
+@pytest.mark.parametrize("width", [3, 8, 20])
+def test_merged_transforms_against_hashing(monkeypatch, width):
+    monkeypatch.setattr(bwt_dedup, "SHARD", 120)
+    texts, got = some_texts(np.uint8, width), {}
+    for t, o, c in zip(*bwt_dedup.repeated(texts, width)):
+        got.setdefault(int(c), set()).add((int(t), int(o)))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, windows_of(texts, width)))
+
+
+@pytest.mark.parametrize("width,group", [(3, 10), (8, 10), (20, 4), (20, 2000)])
+def test_suffix_trees_against_hashing(monkeypatch, width, group):
+    """Maximal repeats cover, but for their first places, just the windows that start earlier too;
+    every one is as long as its places agree and not part of a longer one."""
+    monkeypatch.setattr(suffix_tree, "GROUP", group)
+    texts = some_texts(np.int64, width, width + group)
+    found = {}
+    for t, o, c, n in zip(*suffix_tree.maximal_repeats(texts, width)):
+        found.setdefault(int(c), []).append((int(t), int(o), int(n)))
+    got, want = set(), set()
+    for places in found.values():
+        n = places[0][2]
+        content = {texts[t][o:o + n].tobytes() for t, o, _ in places}
+        assert n >= width and len(places) > 1 and len(content) == 1 and {m for _, _, m in places} == {n}
+        after = {tuple(texts[t][o + n:o + n + 1]) or (t, "end") for t, o, _ in places}
+        before = {tuple(texts[t][o - 1:o]) if o else (t, "start") for t, o, _ in places}
+        assert len(after) > 1 and len(before) > 1
+        got |= {(t, o + i) for t, o, _ in sorted(places)[1:] for i in range(n)}
+    for places in windows_of(texts, width):
+        want |= {(t, o + i) for t, o in sorted(places)[1:] for i in range(width)}
+    assert got == want
+    joined = suffix_tree.Joined(texts)
+    parts = list(suffix_tree.groups(joined, np.flatnonzero(joined.left >= width), width, group))
+    assert group > 1000 or width < 8 or len({d for d, _ in parts}) > 1  # prefixes of several lengths
 
 
 def test_merged_order_is_the_suffix_order():
@@ -534,6 +561,9 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontam.contaminated(d, bench, block_items=3).select("doc_id", "item_id").distinct().count() == len(want)
     kept = decontam.drop_contaminated(d, bench)
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in text} - {i for i, _ in want}
+    shared = frame(spark, [(None, item, None, None, 0), (None, "a clean text without id", None, None, 0), (5, "clean", None, None, 0),
+                           (5, item, "en", None, 0), (5, item, "en", None, 0), (5, None, None, None, 0)])
+    assert sorted(r.text or "" for r in decontam.drop_contaminated(shared, bench).collect()) == ["", "a clean text without id", "clean"]
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(d, bench.limit(0)).count() == 0
 
 
@@ -583,3 +613,27 @@ def test_long_passage_of_a_longer_item(spark):
     bench = frame(spark, [(1, " ".join(w))], "item_id long, text string")
     d = frame(spark, [(n, "before it " + " ".join(w[20:20 + n]) + " and after") for n in (12, 13, 25)], "doc_id long, text string")
     assert {r.doc_id: r.align_score for r in decontam.contaminated(d, bench).collect()} == {13: 26, 25: 50}
+
+
+def test_long_texts_with_very_many_matches(spark):
+    """A megabyte of hex letters with one key, and of short assignments: linear in the text."""
+    import time
+
+    prose = "bead cafe " * 50_000 + "0123456789abcdef" * 2 + " face " * 80_000
+    short = "token=a " * 60_000 + "token=abcdefgh1 " + "AKIA1 " * 40_000 + "AKIA" + "Z" * 12
+    d = frame(spark, [(1, prose, None, None, 0), (2, short, None, None, 0)])
+    secret_scan.scan(d.limit(1).withColumn("text", F.lit("warm"))).collect()
+    t = time.time()
+    got = {r.doc_id: r for r in secret_scan.scan(d).collect()}
+    assert time.time() - t < 60
+    assert (got[1].n_hex, got[2].n_assign, got[2].n_access) == (1, 1, 1)
+    at = short.index("token=abcdefgh1")
+    want = f"assign:{at}:{at + 15},access:{len(short) - 16}:{len(short)}"
+    assert got[2].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_offsets_in_blocks(spark):
+    values = [list(range(n)) for n in (0, 1, 5, 127, 128, 129, 1000)]
+    d = spark.createDataFrame([(v,) for v in values], "v array<int>")
+    for r in d.select("v", secret_scan._offsets(F.col("v")).alias("o")).collect():
+        assert r.o == [sum(r.v[:i]) for i in range(len(r.v))]

@@ -140,6 +140,19 @@ def ordered_listagg(col: str, order_sql: str, sep: str = ", ") -> Column:
     return F.expr(f"listagg(`{col}`, '{sep_sql}') WITHIN GROUP (ORDER BY {order_sql})")
 
 
+def ordered_pieces(df: DataFrame, keys, col: str, order, sep: str = ", ", piece_rows: int = 100_000,
+                   chunk_size=DEFAULT_CHUNK) -> DataFrame:
+    """The strings of a group joined in ``order`` (columns, ascending, missing first), in
+    pieces of ``piece_rows`` values: keys, piece (from 0), n, text.  The pieces of a group, in
+    order and joined by ``sep``, are its ``ordered_listagg``; a group of up to ``piece_rows`` values is
+    one piece.  Positions come from the sequence scan, so a group of any size is spread over
+    tasks and no row is larger than a piece.  Missing values are left out."""
+    keys = _keys(keys)
+    d = scan(df.filter(F.col(col).isNotNull()), keys, order, number="_pos", chunk_size=chunk_size)
+    d = d.withColumn("piece", F.floor((F.col("_pos") - 1) / piece_rows))
+    return d.groupBy(*keys, "piece").agg(F.count(F.lit(1)).alias("n"), ordered_listagg(col, "_pos", sep).alias("text"))
+
+
 def season_and_career(df: DataFrame, entity, season: str, aggs: list[Column]) -> DataFrame:
     """Season and career totals in one aggregation: GROUPING SETS
     ((season, entity...), (entity...)).  Career rows have ``season`` NULL and

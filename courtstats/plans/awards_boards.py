@@ -104,27 +104,49 @@ def award_same_moment_drawn_rate(spark, sf):
 
 #: name: (value over the career, least total, best first)
 CAREER = {
-    "award_best_pct_career": ("sum(x3p) / sum(x3pa)", "sum(x3p) >= 5", True),
-    "award_worst_pct_career": ("sum(x2p) / sum(x2pa)", "sum(fg) >= 8", False),
-    "award_most_minutes_career": ("sum(mp)", "sum(g) >= 1", True),
-    "award_minutes_per_game_career": ("sum(mp) / sum(g)", "sum(g) >= 3", True),
-    "award_share_of_total_career": ("sum(pts) / sum(pts + trb + ast + stl + blk)", "sum(g) >= 3", True),
-    "award_ratio_high_career": ("sum(fga) / sum(ast)", "sum(ast) > 0 AND sum(g) >= 3", True),
-    "award_ratio_low_career": ("sum(fga) / sum(ast)", "sum(ast) > 0 AND sum(g) >= 3", False),
+    "award_best_pct_career": (lambda t: F.try_divide(t("x3p"), t("x3pa")), lambda t: t("x3p") >= 5, True),
+    "award_worst_pct_career": (lambda t: F.try_divide(t("x2p"), t("x2pa")), lambda t: t("fg") >= 8, False),
+    "award_most_minutes_career": (lambda t: t("mp"), lambda t: t("g") >= 1, True),
+    "award_minutes_per_game_career": (lambda t: t("mp") / t("g"), lambda t: t("g") >= 3, True),
+    "award_share_of_total_career": (lambda t: F.try_divide(t("pts"), t("pts") + t("trb") + t("ast") + t("stl") + t("blk")), lambda t: t("g") >= 3, True),
+    "award_ratio_high_career": (lambda t: t("fga") / t("ast"), lambda t: (t("ast") > 0) & (t("g") >= 3), True),
+    "award_ratio_low_career": (lambda t: t("fga") / t("ast"), lambda t: (t("ast") > 0) & (t("g") >= 3), False),
 }
 
+_CAREER_TOTALS = O.PLAYER_SEASON + """,
+totals AS (
+  SELECT player_id, CAST(sum(x3p) AS DOUBLE) x3p, sum(x3pa) x3pa, CAST(sum(x2p) AS DOUBLE) x2p, sum(x2pa) x2pa, sum(fg) fg,
+    CAST(sum(fga) AS DOUBLE) fga, sum(mp) mp, sum(g) g, CAST(sum(pts) AS DOUBLE) pts, sum(trb) trb, sum(ast) ast, sum(stl) stl, sum(blk) blk
+  FROM player_season GROUP BY player_id)"""
+CAREER_SQL = {
+    "award_best_pct_career": """
+SELECT player_id, round(x3p / x3pa, 6) AS value FROM totals WHERE x3p >= 5 AND x3pa > 0
+QUALIFY rank() OVER (ORDER BY x3p / x3pa DESC) <= 10""",
+    "award_worst_pct_career": """
+SELECT player_id, round(x2p / x2pa, 6) AS value FROM totals WHERE fg >= 8 AND x2pa > 0
+QUALIFY rank() OVER (ORDER BY x2p / x2pa) <= 10""",
+    "award_most_minutes_career": """
+SELECT player_id, round(mp, 6) AS value FROM totals WHERE g >= 1 QUALIFY rank() OVER (ORDER BY mp DESC) <= 10""",
+    "award_minutes_per_game_career": """
+SELECT player_id, round(mp / g, 6) AS value FROM totals WHERE g >= 3 QUALIFY rank() OVER (ORDER BY mp / g DESC) <= 10""",
+    "award_share_of_total_career": """
+SELECT player_id, round(pts / (pts + trb + ast + stl + blk), 6) AS value FROM totals WHERE g >= 3 AND pts + trb + ast + stl + blk > 0
+QUALIFY rank() OVER (ORDER BY pts / (pts + trb + ast + stl + blk) DESC) <= 10""",
+    "award_ratio_high_career": """
+SELECT player_id, round(fga / ast, 6) AS value FROM totals WHERE ast > 0 AND g >= 3 QUALIFY rank() OVER (ORDER BY fga / ast DESC) <= 10""",
+    "award_ratio_low_career": """
+SELECT player_id, round(fga / ast, 6) AS value FROM totals WHERE ast > 0 AND g >= 3 QUALIFY rank() OVER (ORDER BY fga / ast) <= 10""",
+}
+CAREER_TOTALS = ("x3p", "x3pa", "x2p", "x2pa", "fg", "fga", "mp", "g", "pts", "trb", "ast", "stl", "blk")
 
-def _career(name, value, least, best):
-    order = "DESC" if best else "ASC"
 
+def _career(name, value, least, best):
     def build(spark, sf):
-        g = V.player_season(spark, sf).groupBy("player_id").agg(
-            F.expr(f"CASE WHEN {least} THEN {value.replace(' / ', ' * 1.0D / ')} END").cast("double").alias("value"))
+        g = V.player_season(spark, sf).groupBy("player_id").agg(*[F.sum(c).cast("double").alias(c) for c in CAREER_TOTALS])
+        g = g.filter(least(F.col)).withColumn("value", value(F.col))
         return top_n(g, "value", 10, descending=best).select("player_id", r6("value").alias("value"))
 
-    register(name, O.with_views(O.PLAYER_SEASON, body=f"""
-SELECT player_id, round(CAST({value} AS DOUBLE), 6) AS value FROM player_season GROUP BY player_id HAVING {least}
-QUALIFY rank() OVER (ORDER BY CAST({value} AS DOUBLE) {order}) <= 10"""))(build)
+    register(name, O.with_views(_CAREER_TOTALS, body=CAREER_SQL[name]))(build)
 
 
 for _name, (_value, _least, _best) in CAREER.items():
@@ -171,14 +193,6 @@ def award_best_fifth_career(spark, sf):
     return top_n(c, "vorp", 10)
 
 
-@register("award_assisted_share", O.with_views(_Q, body="""
-SELECT season, player, round(ast / fg, 6) AS assisted_share FROM q WHERE g_percent >= 0.5 AND fg > 0
-QUALIFY rank() OVER (PARTITION BY season ORDER BY ast / fg DESC) <= 5"""))
-def award_assisted_share(spark, sf):
-    q = _qualified(spark, sf, 0.5).filter(F.col("fg") > 0).withColumn("assisted_share", safe_div("ast", "fg"))
-    return top_n(q, "assisted_share", 5, partition=SEASON).select(SEASON, "player", r6("assisted_share").alias("assisted_share"))
-
-
 _REB_CAREER = O.PLAYER_SEASON + ",\n" + _BIO_SQL + """,
 car AS (SELECT p.player_id, sum(p.stl) AS stl, sum(p.trb) AS trb, any_value(b.PLAYER_HEIGHT_INCHES) AS height
         FROM player_season p JOIN bio b ON b.PLAYER_ID = p.player_id GROUP BY p.player_id HAVING sum(p.trb) >= 25)"""

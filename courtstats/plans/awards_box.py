@@ -179,19 +179,6 @@ def top_half(spark, sf):
     return a.filter(F.col("fga_percentile") > 0.5).select(SEASON, "player_id", "fga")
 
 
-# --- L24 / L25: share leaders ------------------------------------------------------
-
-@register("award_share_leaders", O.with_views(_Q, body="""
-SELECT season, player, round((fg - ast) / fg, 6) AS unassisted_share FROM q
-WHERE g_percent >= 0.5 AND fg > 0
-QUALIFY rank() OVER (PARTITION BY season ORDER BY (fg - ast) / fg DESC) <= 5"""))
-def award_share_leaders(spark, sf):
-    q = _qualified(spark, sf, 0.5).filter(F.col("fg") > 0)
-    q = q.withColumn("unassisted_share", safe_div(F.col("fg") - F.col("ast"), "fg"))
-    return top_n(q, "unassisted_share", 5, partition=SEASON).select(
-        SEASON, "player", r6("unassisted_share").alias("unassisted_share"))
-
-
 # --- L26: real sixth man ----------------------------------------------------------
 
 _SMOY_SQL = _Q + """,

@@ -61,8 +61,8 @@ pbp AS (
     CASE WHEN is_home THEN other ELSE txt END AS VISITORDESCRIPTION,
     CASE WHEN pts > 0 THEN CAST(v AS VARCHAR) || ' - ' || CAST(h AS VARCHAR) END AS SCORE,
     CASE WHEN pts > 0 THEN CASE WHEN h = v THEN 'TIE' ELSE CAST(h - v AS VARCHAR) END END AS SCOREMARGIN,
-    CASE WHEN NOT team_event THEN e % 7 END AS PLAYER1_ID,
-    CASE WHEN NOT team_event THEN 'p' || CAST(e % 7 AS VARCHAR) END AS PLAYER1_NAME,
+    CASE WHEN NOT team_event THEN e % 7 + 7 * (GAME_ID % 5) END AS PLAYER1_ID,
+    CASE WHEN NOT team_event THEN 'p' || CAST(e % 7 + 7 * (GAME_ID % 5) AS VARCHAR) END AS PLAYER1_NAME,
     CASE WHEN pts >= 2 AND e % 5 <> 0 THEN e % 23 END AS PLAYER2_ID,
     CASE WHEN pts >= 2 AND e % 5 <> 0 THEN 'p' || CAST(e % 23 AS VARCHAR) END AS PLAYER2_NAME,
     CASE WHEN blocked THEN e % 29 END AS PLAYER3_ID,

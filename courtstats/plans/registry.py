@@ -46,5 +46,5 @@ def sql_none(template: str) -> str:
 def load_all():
     """Import the query modules so they register."""
     from courtstats.plans import (  # noqa: F401
-        awards_boards, awards_box, awards_events, q_relational,
+        awards_boards, awards_box, awards_events, q_relational, q_sources,
     )

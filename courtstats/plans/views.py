@@ -135,7 +135,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = (F.when((t == "purchase") & (e % 4 != 3), 2).when((t == "signup") & (e % 5 != 4), 3)
            .when((t == "click") & (e % 3 != 0), 1).otherwise(0))
     team_event = timeout | ((t == "view") & (e % 6 == 1))
-    p1 = F.when(~team_event, e % 7)
+    p1 = F.when(~team_event, e % 7 + 7 * (g % 5))  # seven players a game
     p2 = F.when((pts >= 2) & (e % 5 != 0), e % 23)
     p3 = F.when(blocked, e % 29)
     return d.select(

@@ -73,3 +73,10 @@ def page_links(pages: DataFrame, pattern: str | None = None, html: str = "html",
     links = pages.select(key, F.explode(F.regexp_extract_all(F.col(html), F.lit(HREF), 1)).alias("link"))
     links = links.distinct()
     return links.filter(F.col("link").rlike(pattern)) if pattern else links
+
+
+def first_link(pages: DataFrame, pattern: str, html: str = "html", key: str = "page_id") -> DataFrame:
+    """The first link target of every page, in the order of its text, that matches the
+    regex; pages without one are left out."""
+    links = F.filter(F.regexp_extract_all(F.col(html), F.lit(HREF), 1), lambda x: x.rlike(pattern))
+    return pages.select(key, F.get(links, F.lit(0)).alias("link")).filter(F.col("link").isNotNull())

@@ -36,6 +36,9 @@ def op5_randomness_secrets(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+ORACLES["op5_randomness_secrets"] = secret_scan.oracle()
+
+
 @query
 def op8_simhash_groups(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))

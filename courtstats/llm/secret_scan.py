@@ -236,3 +236,74 @@ def redact(docs: DataFrame, mark: str = "[secret]", fdr: float = FDR) -> DataFra
            "n_chars": F.when(F.col("_clean").isNotNull(), F.length("_clean").cast("long")).otherwise(
                F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
     return d.select(*[out[c].alias(c) if c in out else F.col(f"_row.{c}") for c in docs.columns])
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def oracle(fdr: float = FDR) -> str:
+    """``scan`` (without ``found``) in DuckDB SQL."""
+    def found(name, source, column, pattern, value=0):
+        return f"""{name} AS (
+  SELECT * EXCLUDE (gaps, hits, vals), hits[i] AS hit, vals[i] AS val, CAST(
+    list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS at0
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+    SELECT * EXCLUDE ({column}), string_split_regex({column}, {_sql(pattern)}) AS gaps, regexp_extract_all({column}, {_sql(pattern)}) AS hits,
+      regexp_extract_all({column}, {_sql(pattern)}, {value}) AS vals FROM {source} WHERE regexp_matches({column}, {_sql(pattern)})) x) y)"""
+
+    def upper(z):
+        return f"(1 / (1 + exp(1.5976 * ({z}) + 0.070565 * pow({z}, 3))))"
+    alphabet = " ".join(f"WHEN regexp_matches(t, {_sql(p)}) THEN {_sql(a)}" for p, a in ENCODINGS)
+    pieces = ",\n".join(found(f"piece{i}", "odd", "run", p) for i, p in enumerate(PIECES))
+    every = " UNION ".join(f"SELECT rid, start0 + at0 AS s, hit FROM piece{i}" for i in range(len(PIECES)))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x FROM documents),
+{found("m0", "d", "x", ASSIGN, 1)},
+{found("m1", "d", "x", ACCESS)},
+{found("m2", "d", "x", HEX)},
+base AS (
+  SELECT rid, at0 AS s, 0 AS kind, at0 + length(hit) AS e FROM m0 WHERE length(val) >= {LEAST["assign"]}
+  UNION ALL SELECT rid, at0, 1, at0 + length(hit) FROM m1 WHERE length(hit) >= {LEAST["access"]}
+  UNION ALL SELECT rid, at0, 2, at0 + length(hit) FROM m2 WHERE length(hit) >= {LEAST["hex"]}),
+{found("runs", "d", "x", CANDIDATE)},
+odd AS (SELECT rid, at0 AS start0, hit AS run FROM runs WHERE regexp_matches(hit, '[+/_=-]')),
+{pieces},
+cand AS (SELECT rid, at0 AS s, hit FROM runs WHERE NOT regexp_matches(hit, '[+/_=-]') UNION ALL SELECT * FROM ({every}) z),
+tok AS (SELECT rid, s, s + length(hit) AS e, rtrim(hit, '=') AS t FROM cand),
+alpha AS (SELECT *, CASE {alphabet} END AS a, string_split(t, '') AS chars FROM tok),
+nums AS (
+  SELECT *, CAST(length(t) AS DOUBLE) AS n, CAST(length(a) AS DOUBLE) AS k, list_transform(chars, lambda c: instr(a, c)) AS at1
+  FROM alpha WHERE a IS NOT NULL AND regexp_matches(t, '[0-9A-Za-z]') AND length(t) >= 20),
+sums AS (
+  SELECT *, list_sum(list_transform(chars, lambda c: length(t) - length(replace(t, c, '')))) * k / n - n AS chi, k - 1 AS df, (k + 1) / 2 AS mid,
+    list_sum(list_transform(range(1, len(at1)), lambda i: CASE WHEN (at1[i] > k / 2) <> (at1[i + 1] > k / 2) THEN 1.0 ELSE 0.0 END)) AS turns,
+    list_sum(list_transform(range(1, len(at1)), lambda i: (at1[i] - (k + 1) / 2) * (at1[i + 1] - (k + 1) / 2))) AS lag1
+  FROM nums),
+zs AS (
+  SELECT *, (pow(greatest(chi, 1e-9) / df, 1.0 / 3) - (1 - 2 / (9 * df))) / sqrt(2 / (9 * df)) AS z1,
+    abs((turns - (n - 1) / 2) / sqrt((n - 1) / 4)) AS z2, abs(lag1 / ((k * k - 1) / 12) / sqrt(n - 1)) AS z3,
+    (((1 + (n - 1) * greatest({TEXT_REPEAT}::DOUBLE, 1.5::DOUBLE / k)) * k - n) - chi)
+      / (sqrt(2 * {TEXT_REPEAT}::DOUBLE * (1 - {TEXT_REPEAT}::DOUBLE) * n * (n - 1)) * k / n) AS z0
+  FROM sums),
+ps AS (
+  SELECT rid, s, e, least({upper("z1")}, 2 * {upper("z2")}, 2 * {upper("z3")}) * 3 >= {PASS_P} AS fits,
+    CAST(least(floor(-20 * log10(greatest({upper("z0")}, 1e-15))), 300) AS INTEGER) AS g FROM zs),
+grid AS (SELECT g, count(*) AS n FROM ps GROUP BY g),
+line AS (
+  SELECT coalesce(min(g), 1000) AS line FROM (SELECT g, sum(n) OVER () AS total, sum(n) OVER (ORDER BY g DESC) AS below FROM grid) q
+  WHERE pow(10.0, -g / 20) <= {fdr!r} * below / total),
+open_ AS (
+  SELECT DISTINCT rid, s, e FROM ps WHERE fits AND g >= (SELECT line FROM line)
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = ps.rid AND b.s < ps.e AND ps.s < b.e)),
+extra AS (
+  SELECT rid, s, 3 AS kind, e FROM open_ o WHERE NOT EXISTS (
+    SELECT 1 FROM open_ w WHERE w.rid = o.rid AND w.s <= o.s AND o.e <= w.e AND o.e - o.s < w.e - w.s)),
+said AS (
+  SELECT rid, string_agg(['assign', 'access', 'hex', 'random'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) AS spans,
+    string_agg(['assign', 'access', 'hex', 'random'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base,
+    count_if(kind = 0) AS a, count_if(kind = 1) AS k, count_if(kind = 2) AS h
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM extra) y GROUP BY rid)
+SELECT doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(k, 0) AS BIGINT) AS n_access, CAST(coalesce(h, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN said USING (rid)"""

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from courtstats.functions.arith import safe_div
+from courtstats.functions.columns import add_prefix, add_suffix, row_sum
 from courtstats.functions.predicates import text_any
 from courtstats.operators import contracts as K
+from courtstats.operators import events as EV
 from courtstats.operators import rules as RU
 from courtstats.operators.aggregate import leave_one_out_median, ordered_pieces
 from courtstats.operators.rank import leader_flag, top_n
@@ -22,7 +24,7 @@ from courtstats.plans import oracle_views as O
 from courtstats.plans import views as V
 from courtstats.plans.awards_box import _Q, _qualified
 from courtstats.plans.q_relational import _REB_SQL, _reb
-from courtstats.plans.registry import r6, register
+from courtstats.plans.registry import r6, register, sql_any, sql_none
 from courtstats.session import checkpoint_dir
 from courtstats.sources import headers as H
 from courtstats.sources import seasons as SE
@@ -350,3 +352,30 @@ def award_contract_predicted_career(spark, sf):
     return top_n(c, "career_diff", 10, descending=False).select(
         "player_id", "player", "n_seasons", "career_salary", r6("career_vorp").alias("career_vorp"),
         r6("career_wins_added").alias("career_wins_added"), "career_diff")
+
+
+# --- B5 / B9 / I9: affixes, row-wise sum, matched rows of a moment ------------------------------------------------------
+
+@register("affix_columns", """
+SELECT p_partkey AS key_p_partkey, p_size AS p_size_now, p_retailprice AS p_retailprice_now,
+  coalesce(p_size, 0) + coalesce(p_retailprice, 0) AS total FROM part""")
+def affix_columns(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+    p = add_prefix(add_suffix(p, ["p_size", "p_retailprice"], "_now"), ["p_partkey"], "key_")
+    return p.withColumn("total", row_sum(["p_size_now", "p_retailprice_now"]))
+
+
+_ROWS_SQL = O.PBP + f""",
+f AS (SELECT * FROM pbp WHERE {sql_any("contains({c}, 'S.FOUL')")}),
+s3 AS (SELECT * FROM pbp WHERE {sql_any("contains({c}, 'Free Throw 3 of 3')")}
+  UNION ALL SELECT * FROM pbp WHERE {sql_any("contains({c}, '3PT')")} AND {sql_none("starts_with({c}, 'MISS')")})"""
+
+
+@register("same_moment_rows", O.with_views(_ROWS_SQL, body="""
+SELECT f.GAME_ID, f.EVENTNUM AS foul, s3.EVENTNUM AS shot, f.PLAYER1_NAME AS fouler, s3.PLAYER1_NAME AS shooter
+FROM f JOIN s3 ON s3.GAME_ID = f.GAME_ID AND s3.PERIOD = f.PERIOD AND s3.PCTIMESTRING = f.PCTIMESTRING"""))
+def same_moment_rows(spark, sf):
+    """Every foul with the shots of its moment, as rows: what the award counts."""
+    m = EV.same_moment_union(V.log(spark, sf))
+    return m.select("GAME_ID", F.col("EVENTNUM_x").alias("foul"), F.col("EVENTNUM_y").alias("shot"),
+                    F.col("PLAYER1_NAME_x").alias("fouler"), F.col("PLAYER1_NAME_y").alias("shooter"))

@@ -145,23 +145,26 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         "doc_id", F.col("total").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
-#: the same in DuckDB SQL, where no two rows share a doc_id
-ORACLE = f"""
-WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
-w AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY md5(substr(x, 2 * pos + 1, {2 * WIDTH})) ORDER BY doc_id, pos) AS nth
-  FROM (SELECT doc_id, x, unnest(range(0, n - {WIDTH - 1})) AS pos FROM t)),
-later AS (
-  SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + {WIDTH} THEN 0 ELSE 1 END AS new
-  FROM w WHERE nth > 1),
-runs AS (
-  SELECT doc_id, min(pos) AS a, max(pos) + {WIDTH} AS z
-  FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM later) GROUP BY doc_id, run),
-gaps AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_z FROM runs),
+#: the same in DuckDB SQL, where no two rows share a doc_id (windows by hashes of 64 bits, put
+#: together from those of 1, 2, 4, ... bytes)
+ORACLE = """
+WITH t AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents),
+u AS (SELECT doc_id, unnest(bytes) AS b, generate_subscripts(bytes, 1) AS pos FROM t),
+h1 AS (SELECT *, hash(b) AS h1 FROM u),
+h2 AS (SELECT *, hash(h1, lead(h1, 1) OVER (PARTITION BY doc_id ORDER BY pos)) AS h2 FROM h1),
+h4 AS (SELECT *, hash(h2, lead(h2, 2) OVER (PARTITION BY doc_id ORDER BY pos)) AS h4 FROM h2),
+h8 AS (SELECT * EXCLUDE (h1, h2), hash(h4, lead(h4, 4) OVER (PARTITION BY doc_id ORDER BY pos)) AS h8 FROM h4),
+h16 AS (SELECT *, hash(h8, lead(h8, 8) OVER (PARTITION BY doc_id ORDER BY pos)) AS h16 FROM h8),
+h32 AS (SELECT *, hash(h16, lead(h16, 16) OVER (PARTITION BY doc_id ORDER BY pos)) AS h32 FROM h16),
+h64 AS (SELECT *, hash(h32, lead(h32, 32) OVER (PARTITION BY doc_id ORDER BY pos)) AS h64 FROM h32),
+h100 AS (SELECT doc_id, b, pos, hash(h64, lead(h32, 64) OVER o, lead(h4, 96) OVER o) AS h, lead(b, 99) OVER o IS NOT NULL AS whole
+  FROM h64 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+later AS (SELECT doc_id, b, pos, whole AND row_number() OVER (PARTITION BY h, whole ORDER BY doc_id, pos) > 1 AS again FROM h100),
+gone AS (SELECT doc_id, b, pos, max(again::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) = 1 AS gone FROM later),
+edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS first FROM gone),
 cut AS (
-  SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans,
-    string_agg(substr(x, 2 * from_z + 1, 2 * (a - from_z)), '' ORDER BY a) || any_value(substr(x, 2 * last_z + 1)) AS kept
-  FROM gaps JOIN (SELECT doc_id, max(z) AS last_z FROM runs GROUP BY doc_id) USING (doc_id) JOIN t USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+  SELECT doc_id, count_if(gone) AS n_removed, count_if(first) AS n_spans, string_agg(b, '' ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM edge GROUP BY doc_id)
+SELECT doc_id, CAST(len(bytes) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM t LEFT JOIN cut USING (doc_id)"""

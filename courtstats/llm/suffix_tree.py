@@ -125,17 +125,20 @@ def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
         "doc_id", F.col("total").alias("n_words"), "n_removed", "kept_sha256")
 
 
-#: the same in DuckDB SQL, where no two rows share a doc_id
-ORACLE = f"""
-WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
-u AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY md5(array_to_string(words[pos:pos + {WIDTH - 1}], ' ')) ORDER BY doc_id, pos) AS nth
-  FROM (SELECT doc_id, words, unnest(range(1, len(words) - {WIDTH - 2})) AS pos FROM t)),
-gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + {WIDTH})) AS pos FROM u WHERE nth > 1),
-kept AS (
-  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept
-  FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM t) w ANTI JOIN gone USING (doc_id, pos)
-  GROUP BY doc_id)
-SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
-  sha256(coalesce(kept, '')) AS kept_sha256
+#: the same in DuckDB SQL, where no two rows share a doc_id (windows by hashes of 64 bits, put
+#: together from those of 1, 2, 4, ... words)
+ORACLE = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+u AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM t),
+h1 AS (SELECT *, hash(word) AS h1 FROM u),
+h2 AS (SELECT *, hash(h1, lead(h1, 1) OVER (PARTITION BY doc_id ORDER BY pos)) AS h2 FROM h1),
+h4 AS (SELECT *, hash(h2, lead(h2, 2) OVER (PARTITION BY doc_id ORDER BY pos)) AS h4 FROM h2),
+h8 AS (SELECT *, hash(h4, lead(h4, 4) OVER (PARTITION BY doc_id ORDER BY pos)) AS h8 FROM h4),
+h16 AS (SELECT *, hash(h8, lead(h8, 8) OVER (PARTITION BY doc_id ORDER BY pos)) AS h16 FROM h8),
+h20 AS (SELECT doc_id, word, pos, hash(h16, lead(h4, 16) OVER o) AS h, lead(word, 19) OVER o IS NOT NULL AS whole
+  FROM h16 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+later AS (SELECT doc_id, word, pos, whole AND row_number() OVER (PARTITION BY h, whole ORDER BY doc_id, pos) > 1 AS again FROM h20),
+gone AS (SELECT doc_id, word, pos, max(again::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM later),
+kept AS (SELECT doc_id, count_if(gone) AS n, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM t LEFT JOIN kept USING (doc_id)"""

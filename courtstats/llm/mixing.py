@@ -4,14 +4,14 @@ Sources get weights in code-point order; the mix holds ``ratio`` times all
 words; a source's target stops at ``cap`` times its size and the excess goes to
 the others by weight.  Targets become integer numbers of equal blocks of
 ``block_words`` words by the highest quotients weight / (2k - 1): first per
-source, then per shard of a source.  A document's shard is a hash of its id and its text, so rows that share an id are
-spread.  A shard lays its documents out in a seeded
-order as one run of words cut into blocks; a quota of f * N + r of N blocks takes
+source, then per group of ``FAN`` shards, then per shard.  A document's shard is a hash of
+its id and its text, so rows that share an id are spread.  A shard lays its documents
+out in a seeded order as one run of words cut into blocks; a quota of f * N + r of N blocks takes
 every block f times and r blocks, picked by a seeded permutation, once more.
 
 Only DataFrame functions are used.  The one global order is over one row per
 source; a source is split into shards of about ``shard_words`` words, so a hot
-source is many windows.
+source is many windows, and of its shards at most ``FAN`` are in one.
 
 Defined cases: a null or blank text has size 0 and is taken 0 times; a null
 source is a source of its own, last in order; a null doc_id is ordered as the
@@ -29,6 +29,7 @@ WEIGHTS = (3, 1, 2)
 RATIO, CAP = 1.5, 2.0
 BLOCK_WORDS = 16
 SHARD_WORDS = 250_000
+FAN = 4096  # shards of one group: a source's blocks go to groups of shards first
 SEED = 42
 #: a prime above any number of blocks in a shard: i -> step * i + shift is a permutation
 STEP = 2_147_483_629
@@ -108,13 +109,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, ratio=RATIO, cap=CAP, block_words=BLOC
     placed = (sized.join(want.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
               .withColumn("shard", F.pmod(F.conv(F.substring("_t", 1, 15), 16, 10).cast("long"),
                                           F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(shard_words))))))
-    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words")).where("words > 0")
+    shards = (placed.groupBy("source", "shard").agg(F.sum("size").alias("words")).where("words > 0")
+              .withColumn("blocks", F.ceil(F.col("words") / b).cast("long")).withColumn("part", F.floor(F.col("shard") / FAN)))
+    # by highest quotients to groups of at most FAN shards, then to the shards of each group, so
+    # that no window holds all shards of a source
+    parts = shards.groupBy("source", "part").agg(F.sum("words").cast("double").alias("weight"), (2 * F.sum("blocks")).alias("most"))
+    parts = (apportion(parts.join(by_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), ["source"], ["part"])
+             .select(F.col("source").alias("_s"), F.col("part").alias("_p"), F.col("quota").alias("seats")))
     quotas = (apportion(
-        shards.join(by_source, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-        .withColumn("_n", F.ceil(F.col("words") / b))
-        .select("source", "shard", F.col("words").cast("double").alias("weight"), "seats",
-                (2 * F.col("_n")).cast("long").alias("most"), F.col("_n").cast("long").alias("blocks")),
-        ["source"], ["shard"])
+        shards.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
+        .select("source", "part", "shard", F.col("words").cast("double").alias("weight"), "seats",
+                (2 * F.col("blocks")).alias("most"), "blocks"),
+        ["source", "part"], ["shard"])
         .select(F.col("source").alias("_s"), F.col("shard").alias("_p"), "quota", "blocks"))
     run = Window.partitionBy("source", "shard").orderBy("_h", "doc_id", "size", "_t")
     laid = (placed.withColumn("_end", F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, 0)))
@@ -139,7 +145,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, ratio=RATIO, cap=CAP, block_words=BLOC
 
 def oracle(weights=WEIGHTS, ratio=RATIO, cap=CAP, block_words=BLOCK_WORDS, shard_words=SHARD_WORDS, seed=SEED,
            table="documents") -> str:
-    """The same mix in DuckDB SQL."""
+    """The same mix in DuckDB SQL (for sources of at most ``FAN`` shards)."""
     w = "[" + ", ".join(f"{float(x)}::DOUBLE" for x in weights) + "]"
 
     def seats(src, group, name):

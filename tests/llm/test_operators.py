@@ -256,6 +256,20 @@ def test_language_counts_do_not_depend_on_chunks(monkeypatch):
 
 # ---------------------------------------------------------------- op4
 
+def test_mix_over_groups_of_shards(spark, monkeypatch):
+    """A source of many groups of shards: totals come near the targets, no document beyond twice its size."""
+    monkeypatch.setattr(mixing, "FAN", 3)
+    d = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("en").alias("lang"),
+                                 F.when(F.col("id") % 7 > 0, F.lit("a")).otherwise(F.lit("b")).alias("source"),
+                                 F.repeat(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" ")), (F.col("id") % 40).cast("int")).alias("text"))
+    out = mixing.mix(d, shard_words=2000).collect()
+    assert len(out) == 3000 and all(0 <= r.taken <= 2 * r.size for r in out)
+    for source in "ab":
+        mine = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) < 0.01 * mine[0].target
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, mixing.mix(d.repartition(5), shard_words=2000).collect()), key=str)
+
+
 def test_mix_matches_sql_and_targets(spark, docs, empty):
     con = duck_connect(SF)
     con.register("edge", docs.select("doc_id", "text", "source").toArrow())

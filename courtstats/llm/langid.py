@@ -95,17 +95,27 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS, clusters: int =
 
     train = (docs.select("doc_id", "lang", "text")
              .where((crc_mod("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()))
-    # the ``sample`` rows of every language with the smallest hashes of id and text: a count of
-    # the hashes' upper bits tells where to cut, so no window sees more than what is kept
+    # the ``sample`` rows of every language with the smallest hashes of id and text: counts of the
+    # hashes' upper 12 bits tell where to cut, counts of the next 12 bits where to cut there, so a
+    # window sees at most 4,096 counts of a language, and in the end little more than what is kept
     h = F.xxhash64("doc_id", "text")
-    hashed = train.withColumn("_h", h).withColumn("_b", F.shiftrightunsigned("_h", 44))
-    many = hashed.groupBy("lang", "_b").agg(F.count("*").alias("_k"))
-    upto = F.sum("_k").over(Window.partitionBy("lang").orderBy("_b"))
-    cut = materialise(many.withColumn("_u", upto).where(F.col("_u") - F.col("_k") < sample).groupBy(F.col("lang").alias("_l")).agg(
-        F.max("_b").alias("_cut")), "langid")
-    if cut.count() > MAX_LANGUAGES:
+    upper, lower = F.shiftrightunsigned("_h", 52), F.shiftrightunsigned("_h", 40).bitwiseAND(F.lit(4095).cast("long"))
+    hashed = materialise(train.select("lang", h.alias("_h")), "langid")
+
+    def cut(counted: DataFrame, name: str) -> DataFrame:
+        upto = F.col("_before") + F.sum("_k").over(Window.partitionBy("lang").orderBy("_b"))
+        low = counted.withColumn("_upto", upto).where(F.col("_upto") - F.col("_k") < sample)
+        return low.groupBy(F.col("lang").alias("_l")).agg(
+            F.max("_b").alias(name), F.max_by(F.col("_upto") - F.col("_k"), "_b").alias("_seen"))
+
+    first = materialise(cut(hashed.groupBy("lang", upper.alias("_b")).agg(F.count("*").alias("_k"), F.lit(0).alias("_before")), "_cut"), "langid")
+    if first.count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    near = hashed.join(F.broadcast(cut), (F.col("lang") == F.col("_l")) & (F.col("_b") <= F.col("_cut")))
+    there = hashed.join(F.broadcast(first), (F.col("lang") == F.col("_l")) & (upper == F.col("_cut")))
+    second = cut(there.groupBy("lang", lower.alias("_b")).agg(F.count("*").alias("_k"), F.max("_seen").alias("_before")), "_fine")
+    cuts = materialise(first.drop("_seen").join(second.drop("_seen"), "_l"), "langid")  # a row per language
+    near = train.withColumn("_h", h).join(F.broadcast(cuts), (F.col("lang") == F.col("_l")) & (
+        (upper < F.col("_cut")) | ((upper == F.col("_cut")) & (lower <= F.col("_fine")))))
     one = near.dropDuplicates(["lang", "doc_id", "_h"])  # rows that repeat one another count once
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
     rows = one.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample)

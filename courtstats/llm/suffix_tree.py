@@ -63,11 +63,10 @@ def subtree(joined: Joined, own: np.ndarray, depth: int):
     """Sorted suffixes of one group and the common prefixes of neighbours, whatever their
     length (-1 before the first)."""
     longest = int(joined.left[own].max())
-    table = joined.columns(own, depth, longest)
+    table = joined.columns(own, depth, longest + 1)  # to the end marks: no two suffixes are equal
     order = np.lexsort(table.T[::-1])
     table = table[order]
-    differ = table[1:] != table[:-1]  # no two suffixes are equal: they end with different marks
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), longest - depth) + depth
+    common = (table[1:] != table[:-1]).argmax(axis=1) + depth
     return own[order], np.r_[-1, common]
 
 

@@ -163,7 +163,8 @@ def windows_of(texts, width):
 def some_texts(kind, width, seed=5):
     rng = np.random.default_rng(seed)
     texts = [np.array(rng.integers(97, 100, n), kind) for n in rng.integers(width, 60, 40)]
-    return texts + texts[:6] + [texts[3][2:], np.concatenate([texts[4], texts[5]])]
+    texts += texts[:6] + [texts[3][2:], np.concatenate([texts[4], texts[5]])]
+    return texts + [np.arange(100, 100 + width, dtype=kind)] * 12  # more copies than a group holds, without an end of their own
 
 
 @pytest.mark.parametrize("width", [3, 8, 20])

@@ -4,7 +4,7 @@ Tokens are the words, lower-cased, without leading and trailing characters other
 than letters and digits.  A token's score is its log-odds between toxic and
 other training texts under a Dirichlet prior in proportion to the corpus
 (``PRIOR`` pseudo-tokens), shrunk towards zero by ``SHRINK`` posterior standard
-deviations, minus ``DRIFT``; so ordinary text drifts down and the classic
+deviations (``FEW_SHRINK`` where that leaves no token above zero), minus ``DRIFT``; so ordinary text drifts down and the classic
 statistics of maximal segments hold.  A linear scan (Ruzzo and Tompa) finds all
 maximal-scoring passages of a text.  Under ordinary text a passage of score s in m
 tokens has E-value K m exp(-lambda s): lambda solves sum p exp(lambda s) = 1 over the
@@ -37,6 +37,8 @@ from courtstats.llm.common import crc_mod, materialise
 
 SAMPLE, PRIOR, SHRINK, DRIFT, SIGNIFICANT, CUT = 20_000, 0.05, 2.5, 0.5, 0.05, 0.7
 LEAST_COUNT = 3
+#: shrinkage where too few labels let no token speak for label 1 under ``SHRINK``
+FEW_SHRINK = 1.0
 EDGE = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
@@ -105,18 +107,27 @@ def _lambda(p: np.ndarray, s: np.ndarray) -> float:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Newton's method for P(y) = 1 / (1 + exp(-(a + b x))), b >= 0, with a light ridge."""
-    a, b = math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
+    """Newton's method for P(y) = 1 / (1 + exp(-(a + b x))), b >= 0, with a light ridge.
+    A step that does not lower the loss is halved: on (nearly) separable labels full
+    steps overshoot and never come back."""
+    def loss(a, b):
+        z = a + b * x
+        return float((np.logaddexp(0, z) - y * z).sum() + 5e-4 * (a * a + b * b))
+
+    base = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    a, b, now = base, 0.0, loss(base, 0.0)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a + b * x, -700, 700)))
         w = p * (1 - p) + 1e-9
         g = np.array([(y - p).sum() - 1e-3 * a, ((y - p) * x).sum() - 1e-3 * b])
         h = np.array([[w.sum() + 1e-3, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 1e-3]])
         step = np.linalg.solve(h, g)
-        a, b = a + step[0], b + step[1]
-        if np.abs(step).max() < 1e-9:
+        while np.abs(step).max() > 1e-9 and not (new := loss(a + step[0], b + step[1])) < now:
+            step = step / 2
+        if np.abs(step).max() <= 1e-9:
             break
-    return a, max(b, 0.0)
+        a, b, now = a + step[0], b + step[1], new
+    return (float(a), float(b)) if b > 0 else (base, 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
@@ -154,7 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     d0, alpha = d - d1, PRIOR * d
     odds = np.log((d1 + alpha) / (n1 + prior - d1 - alpha)) - np.log((d0 + alpha) / (n0 + prior - d0 - alpha))
     sd = np.sqrt(1 / (d1 + alpha) + 1 / (d0 + alpha))
-    s = np.sign(odds) * np.maximum(np.abs(odds) - SHRINK * sd, 0) - DRIFT
+    for shrink in (SHRINK, FEW_SHRINK):
+        s = np.sign(odds) * np.maximum(np.abs(odds) - shrink * sd, 0) - DRIFT
+        if (s > 0).any():
+            break
     own = np.abs(s + DRIFT) > 0
     model["token"] = {bytes(t): float(v) for t, v in zip(got.t[own], s[own])}
     c0 = got.c0.to_numpy(float)

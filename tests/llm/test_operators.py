@@ -109,6 +109,28 @@ def test_toxicity_held_out_accuracy(spark):
     assert hit[1, 1] / (hit[1, 1] + hit[0, 1]) > 0.9
 
 
+@pytest.mark.parametrize("n1, low, high, noise", [(20, 3, 6.5, 3), (200, 3, 3, 3), (20, 1.5, 3, 0)])
+def test_toxicity_fit_of_separable_labels(n1, low, high, noise):
+    x = np.r_[np.zeros(2000 - noise), np.full(noise, 1.4), np.linspace(low, high, n1)]
+    a, b = toxicity._logistic(x, np.r_[np.zeros(2000), np.ones(n1)])
+    assert b > 1 and a < 0 < a + b * low
+    a, b = toxicity._logistic(x, np.r_[np.ones(n1), np.zeros(2000)])
+    assert b == 0 and a == pytest.approx(math.log((n1 + 1) / 2001))
+
+
+@pytest.mark.parametrize("n", [60, 3000])
+def test_toxicity_ranks_held_out_rows(spark, n):
+    """Toxic words tell the labels apart, over few and over many labelled rows."""
+    rng = np.random.default_rng(3)
+    words, bad = [f"w{i}" for i in range(400)], ["scum", "trash", "moron"]
+    toxic = [i % 6 == 0 for i in range(n)]
+    text = [" ".join([*rng.choice(words, 30), *([*bad] if y else []), *rng.choice(words, 30)]) for y in toxic]
+    docs = frame(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(text)])
+    out = toxicity.score(docs, frame(spark, [(i, int(y)) for i, y in enumerate(toxic)], "doc_id long, toxic int")).where("held_out").collect()
+    pairs = [(p.score, q.score) for p in out if toxic[p.doc_id] for q in out if not toxic[q.doc_id]]
+    assert len(pairs) > 20 and sum(p > q for p, q in pairs) > 0.9 * len(pairs)
+
+
 # ---------------------------------------------------------------- op2, op6
 
 def brute_repeats(rows, words, width):

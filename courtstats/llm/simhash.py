@@ -11,6 +11,10 @@ and the links' components are the groups.
 Copies collapse to one row per distinct fingerprint before any join, so a group
 of identical texts of any size is one index row.
 
+All joins are sort-merge joins by hint: every side grows with the documents, and
+Spark estimates the index (65 rows of a fingerprint) at the size of its fingerprints,
+so that it would send an index of hundreds of MB through the driver.
+
 Defined cases: words and shingles as in the contract (lower-cased A-Z, three
 words, repeats count, XXH64 seed 42); fewer than three words: the whole sequence
 is the only shingle; null or blank texts: fingerprint zero, linked like any
@@ -79,13 +83,13 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     parts = F.array(*[F.struct(F.lit(p).alias("part"), _segment(F.col("fp"), p).alias("seg")) for p in (0, 1)])
     seg = distinct.select("fp", F.inline(parts))
     exact = seg.select("fp", "part", F.col("seg").alias("key"))
-    same = (exact.alias("x").join(exact.alias("y"), ["part", "key"])
+    same = (exact.alias("x").join(exact.alias("y").hint("merge"), ["part", "key"])
             .where("x.fp < y.fp").select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
     bits = seg.select("fp", "part", "seg", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT_BITS - 1))).alias("bit"))
     one = F.expr("shiftleft(1L, bit)")
     bits = bits.select("fp", "part", "bit", (F.col("seg").bitwiseAND(one) != 0).alias("on"),
                        F.col("seg").bitwiseAND(F.bitwise_not(one)).alias("key"))
-    flip = (bits.where("on").alias("x").join(bits.where("not on").alias("y"), ["part", "bit", "key"])
+    flip = (bits.where("on").alias("x").join(bits.where("not on").alias("y").hint("merge"), ["part", "bit", "key"])
             .select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")))
     return (same.unionByName(flip)
             .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).distinct())
@@ -97,9 +101,10 @@ def groups(docs: DataFrame, keep: list[str], shingle: int = SHINGLE_WORDS, max_b
     rows = materialise(fingerprints(docs, keep, shingle), "simhash")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     root = components(links(distinct.select("fp"), max_bits)).toDF("fp", "root")
-    distinct = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    distinct = distinct.join(root.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = distinct.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(distinct.join(least, "root").select("fp", "root", "component_id"), "fp")
+    named = distinct.join(least.hint("merge"), "root").select("fp", "root", "component_id")
+    return rows.join(named.hint("merge"), "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -120,7 +125,7 @@ def first_of_groups(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
     heads = (fps.groupBy("root", "doc_id", "__h", "fp").agg(F.count("*").alias("n"))
              .groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", F.col("__h").alias("h"), "n")).alias("o"))
              .select(F.col("o.doc_id").alias("__id"), F.col("o.h").alias("__k"), F.col("o.n").alias("__n")))
-    heads = materialise(heads, "simhash-heads")
+    heads = materialise(heads, "simhash-heads").hint("merge")
     match = F.col("__h").eqNullSafe(F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     one = d.join(heads.where("__n = 1"), match, "left_semi")
     many = d.join(heads.where("__n > 1"), match, "left_semi").dropDuplicates(["__h"])

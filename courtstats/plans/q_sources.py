@@ -103,7 +103,7 @@ def header_found(spark, sf):
     for i, order in enumerate(orders):
         part = c.filter(F.col("c_custkey") % 3 == i).select(*[F.col(x).cast("string").alias(names[x]) for x in order])
         again = spark.createDataFrame([tuple(names[x] for x in order)], part.schema)
-        part.unionByName(again).coalesce(2).write.mode("append").option("header", True).option("nullValue", "NA").option("escape", '"').csv(path)
+        part.unionByName(again).repartition(*part.columns).write.mode("append").option("header", True).option("nullValue", "NA").option("escape", '"').csv(path)
     want = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()),
                          T.StructField("c_nationkey", T.IntegerType()), T.StructField("acct_bal", T.DoubleType())])
     return H.read_headed(spark, path, want, optional=["acct_bal"], ignore=[]).drop("source_file")

@@ -33,9 +33,19 @@ def _numbered(names: Column) -> Column:
     return F.transform(names, one)
 
 
+def _small(df: DataFrame, cells: DataFrame) -> DataFrame:
+    """A table of a row per file of ``cells``: broadcast, unless there are very many files."""
+    return F.broadcast(df) if len(cells.inputFiles()) <= MAX_BROADCAST_FILES else df
+
+
 def headers(cells: DataFrame) -> DataFrame:
-    """One row per file: _file, _head (cells of the first record), _names."""
-    first = cells.groupBy("_file").agg(F.min_by("_cells", F.struct("_block", "_at")).alias("_head"))
+    """One row per file: _file, _head (cells of the first record), _names.
+
+    The number of a file's first record is found first, from numbers alone; then that
+    record's cells are read.  No other record is sorted, kept or moved for it."""
+    first = cells.groupBy("_file", "_block").agg(F.min("_at").alias("_at")).groupBy("_file").agg(F.min_by("_at", "_block").alias("_at"))
+    first = cells.select("_file", "_at", F.col("_cells").alias("_head")).join(_small(first.select("_at"), cells), "_at")
+    first = first.groupBy("_file").agg(F.any_value("_head").alias("_head"))  # one row each; below it no check of a header can move
     first = first.withColumn("_clean", F.transform("_head", clean_name))
     return first.select("_file", "_head", _numbered(F.col("_clean")).alias("_names"))
 
@@ -43,11 +53,15 @@ def headers(cells: DataFrame) -> DataFrame:
 def read_cells(spark: SparkSession, paths, multi_line: bool = True, null_value: str = "NA", max_columns: int = MAX_COLUMNS) -> DataFrame:
     """Every record as an array of cells, with its file and its place in it.  With
     ``multi_line`` (cells may hold line breaks) a file is read by one task."""
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_columns + 1)])
+    # The last column is never read.  Spark parses a selection of columns without a look at how many a record
+    # has; with all of them selected, it raises and catches an error for every cell that a record lacks.  All the
+    # others are in the test below, so that every scan reads the same ones and numbers the records alike.
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_columns + 2)])
     raw = (spark.read.schema(schema).option("header", False).option("multiLine", multi_line).option("quote", '"')
-           .option("escape", '"').option("nullValue", null_value).csv(paths))
+           .option("escape", '"').option("nullValue", null_value).option("columnPruning", True).csv(paths))
     over = F.when(F.col(f"_c{max_columns}").isNotNull(), F.raise_error(F.concat(
-        F.lit(f"more than {max_columns} columns in "), F.col("_metadata.file_path"))).cast("boolean")).otherwise(True)
+        F.lit(f"more than {max_columns} columns in "), F.col("_metadata.file_path"), F.lit(": "),
+        F.concat_ws(",", *[F.col(f"_c{i}") for i in range(max_columns)]))).cast("boolean")).otherwise(True)
     d = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
                    F.monotonically_increasing_id().alias("_at"), F.array(*[F.col(f"_c{i}") for i in range(max_columns)]).alias("_cells"),
                    over.alias("_fits"))
@@ -64,9 +78,6 @@ def read_headed(spark: SparkSession, paths, columns: T.StructType, optional=(),
     cells are NULL.  A file without a record gives no rows."""
     cells = read_cells(spark, paths, multi_line, null_value, max_columns)
     heads = headers(cells)
-    if len(cells.inputFiles()) <= MAX_BROADCAST_FILES:
-        heads = F.broadcast(heads)
-    d = cells.join(heads, "_file")
     wanted = [f.name for f in columns.fields]
     need = [n for n in wanted if n not in set(optional)]
     lack = F.array_except(F.array(*[F.lit(n) for n in need]).cast("array<string>"), F.coalesce("_names", F.array().cast("array<string>")))
@@ -76,8 +87,9 @@ def read_headed(spark: SparkSession, paths, columns: T.StructType, optional=(),
         other = F.array_except(F.array_compact("_names"), F.array(*[F.lit(n) for n in [*wanted, *ignore]]).cast("array<string>"))
         bad = bad | (F.size(other) > 0)
         said = F.concat(said, F.lit("; unknown: "), F.array_join(other, ", "))
-    d = d.filter(F.when(bad, F.raise_error(F.concat(said, F.lit(" in "), F.col("_file"))).cast("boolean")).otherwise(True))
-    d = d.filter(~F.col("_cells").eqNullSafe(F.col("_head")))
-    cell = {n: F.get("_cells", (F.array_position("_names", F.lit(n)) - 1).cast("int")) for n in wanted}
-    at = {n: F.when(F.array_contains(F.array_compact("_names"), n), F.nullif(c, F.lit(""))) for n, c in cell.items()}
-    return d.select(*[at[f.name].cast(f.dataType).alias(f.name) for f in columns.fields], F.col("_file").alias(lineage))
+    heads = heads.filter(F.when(bad, F.raise_error(F.concat(said, F.lit(" in "), F.col("_file"))).cast("boolean")).otherwise(True))
+    # where a file has each column (-1: nowhere) is found once per file
+    heads = heads.select("_file", "_head", *[(F.array_position("_names", F.lit(n)) - 1).cast("int").alias(f"_at{i}") for i, n in enumerate(wanted)])
+    d = cells.drop("_at").join(_small(heads, cells), "_file").filter(~F.col("_cells").eqNullSafe(F.col("_head")))
+    at = [F.nullif(F.get("_cells", F.col(f"_at{i}")), F.lit("")) for i in range(len(wanted))]
+    return d.select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(at, columns.fields)], F.col("_file").alias(lineage))

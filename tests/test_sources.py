@@ -110,6 +110,15 @@ def test_repeated_and_empty_names(spark, tmp_path):
     assert [tuple(r)[:3] for r in H.read_headed(spark, path, want).collect()] == [(1, 2, 4)]
 
 
+def test_only_first_records_are_kept_for_headers(spark, tmp_path):
+    want = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])
+    path = put(tmp_path, x="A,B\n" + "".join(f"{i},{-i}\n" for i in range(2000)), y='B,"A\nfirst"\n' + "".join(f"{i},{-i}\n" for i in range(2000)))
+    d = H.read_headed(spark, path, want, ignore=[])
+    assert sorted((r.a, r.b) for r in d.collect()) == sorted([(i, -i) for i in range(2000)] + [(-i, i) for i in range(2000)])
+    heads = plan(H.headers(H.read_cells(spark, path)))
+    assert "min_by(_at" in heads and "min_by(_cells" not in heads  # cells in a running minimum sort all records
+
+
 # --- seasons ----------------------------------------------------------------------------------------
 
 def test_seasons_are_pruned(spark, tmp_path):

@@ -25,7 +25,7 @@ from courtstats.plans import views as V
 from courtstats.plans.awards_box import _Q, _qualified
 from courtstats.plans.q_relational import _REB_SQL, _reb
 from courtstats.plans.registry import r6, register, sql_any, sql_none
-from courtstats.session import checkpoint_dir
+from courtstats.session import checkpoint_dir, written
 from courtstats.sources import headers as H
 from courtstats.sources import seasons as SE
 from courtstats.sources.ingest import first_link
@@ -79,7 +79,7 @@ def log_from_csv_files(spark, sf):
     log = V.pbp(spark, sf)
     slug = F.concat((F.col("SEASON") - 1).cast("string"), F.lit("-"), F.lpad((F.col("SEASON") % 100).cast("string"), 2, "0"), F.lit("_pbp.csv"))
     cols = [f.name for f in SE.INPUTS["play_by_play_log"].fields if f.name != SEASON]
-    log = log.select(*cols, "SEASON", slug.alias("file"), F.lit(0).alias("VIDEO_AVAILABLE_FLAG"))
+    log = written(log.select(*cols, "SEASON", slug.alias("file"), F.lit(0).alias("VIDEO_AVAILABLE_FLAG")), "csv-log-rows")
     for odd, order in ((1, cols), (0, [*cols[::-1], "VIDEO_AVAILABLE_FLAG"])):
         log.filter(F.col("SEASON") % 2 == odd).select(*order, "file").write.mode("append").option("header", True) \
             .option("nullValue", "NA").option("escape", '"').partitionBy("file").csv(path)

@@ -485,6 +485,12 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.first_of_groups(empty).count() == 0
 
 
+def test_simhash_sends_nothing_through_the_driver(spark):
+    links = simhash.links(frame(spark, [(i * 2654435761,) for i in range(200)], "fp long"))
+    links.collect()
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_links_meet_at_three_bits(spark):
     rng = np.random.default_rng(8)
     base = [int(x) for x in rng.integers(-2 ** 62, 2 ** 62, 15)]
